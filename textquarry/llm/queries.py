@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprint import fingerprint_query
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .reputation import judge_urls
 from .shared import table
@@ -22,6 +23,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_query(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
+        "op5_minmax_neardup": op5_minmax_neardup,
         "op7_exact_fingerprint": op7_exact_fingerprint,
         "op8_mix_sources": op8_mix_sources,
     }
