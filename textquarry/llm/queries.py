@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .fingerprint import fingerprint_query
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .pii import personal_data
 from .reputation import judge_urls
 from .shared import table
+from .toxicity import toxicity_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +25,18 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def op3_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_query(table(spark, sf_dir, "documents"))
 
@@ -38,7 +48,9 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
+        "op3_semicrf_pii": op3_semicrf_pii,
         "op5_minmax_neardup": op5_minmax_neardup,
+        "op6_toxicity_grammar": op6_toxicity_grammar,
         "op7_exact_fingerprint": op7_exact_fingerprint,
         "op8_mix_sources": op8_mix_sources,
     }
