@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprint import fingerprint_query
+from .forest import nearest
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pii import personal_data
@@ -29,6 +30,10 @@ def op3_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
         "op3_semicrf_pii": op3_semicrf_pii,
+        "op4_forest_ann": op4_forest_ann,
         "op5_minmax_neardup": op5_minmax_neardup,
         "op6_toxicity_grammar": op6_toxicity_grammar,
         "op7_exact_fingerprint": op7_exact_fingerprint,
