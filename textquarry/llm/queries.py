@@ -11,6 +11,7 @@ from .fingerprint import fingerprint_query
 from .forest import nearest
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .pieces import encode_documents
 from .pii import personal_data
 from .reputation import judge_urls
 from .shared import table
@@ -50,6 +51,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
@@ -59,4 +64,5 @@ def queries() -> dict[str, Query]:
         "op6_toxicity_grammar": op6_toxicity_grammar,
         "op7_exact_fingerprint": op7_exact_fingerprint,
         "op8_mix_sources": op8_mix_sources,
+        "op9_sentencepiece_lattice": op9_sentencepiece_lattice,
     }
