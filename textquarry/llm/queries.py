@@ -11,6 +11,7 @@ from .fingerprint import fingerprint_query
 from .forest import nearest
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .packing import pack_documents
 from .pieces import encode_documents
 from .pii import personal_data
 from .reputation import judge_urls
@@ -27,6 +28,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op9_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
+        "op2_bestfit_packing": op2_bestfit_packing,
         "op3_semicrf_pii": op3_semicrf_pii,
         "op4_forest_ann": op4_forest_ann,
         "op5_minmax_neardup": op5_minmax_neardup,
