@@ -16,6 +16,7 @@ from .pieces import encode_documents
 from .pii import personal_data
 from .reputation import judge_urls
 from .shared import table
+from .suffixes import repeated_passages
 from .toxicity import toxicity_query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,10 @@ def op9_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op10_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
@@ -71,4 +76,5 @@ def queries() -> dict[str, Query]:
         "op7_exact_fingerprint": op7_exact_fingerprint,
         "op8_mix_sources": op8_mix_sources,
         "op9_sentencepiece_lattice": op9_sentencepiece_lattice,
+        "op10_sparse_suffix_repeats": op10_sparse_suffix_repeats,
     }
