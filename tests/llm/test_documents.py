@@ -1,0 +1,401 @@
+"""Operators on documents against brute force, with the odd cases all of them share."""
+
+import hashlib
+import random
+import re
+import unicodedata
+from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.llm import fingerprint, minhash, mixing, packing, pieces, pii, suffixes, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(texts, ids=None):
+    ids = ids or range(len(texts))
+    return [(i, t, "en", f"src{k % 3}" if k % 5 else None, None if t is None else len(t)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdehnorst") for _ in range(rng.randint(2, 7)))
+    passage = [word() for _ in range(60)]
+    out = []
+    for k in range(60):
+        words = [word() for _ in range(rng.randint(1, 160))]
+        if k % 6 == 0:
+            words[len(words) // 2 : len(words) // 2] = passage
+        out.append(" ".join(words))
+    for k in range(30):  # near copies of differing nearness
+        words = out[k].split()
+        for _ in range(rng.randint(0, max(1, len(words) // 12))):
+            words[rng.randrange(len(words))] = word()
+        out.append(" ".join(words))
+    return [*out, None, "", " \t\n ", "one two", "ONE two", "x " * 3000, "é" * 5000, out[3], out[3]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    rows = [*rows_of(corpus), (3, corpus[3], "en", "src0", 1), (None, "no name here at all today", "en", "src1", 2)]
+    return spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit(1)).withColumn("key", F.lit("x")).withColumn("score", F.lit(9.0))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_duplicates(docs, empty):
+    got = minhash.near_duplicates(docs).collect()
+    sets = defaultdict(list)
+    for r in docs.collect():
+        if r["doc_id"] is not None:
+            sets[r["doc_id"]].append(shingles(r["text"]))
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in combinations(sorted(sets), 2):
+        for s in sets[a]:
+            for t in sets[b]:
+                if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    assert len(got) == docs.count()
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert r["component_id"] == find(r["doc_id"]) and r["kept"] == (r["component_id"] == r["doc_id"])
+            assert r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_many_copies_that_share_a_passage(spark):
+    """A bucket with many members none of which is linked, and one that is linked through others."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(40)]
+    texts = [" ".join([*common, *(word() for _ in range(25))]) for _ in range(80)]
+    chain = [word() for _ in range(100)]
+    for k in range(12):
+        texts.append(" ".join(chain))
+        chain = chain[:]
+        for j in range(2):
+            chain[(7 * k + 3 * j) % 100] = word()
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_bands_and_bits():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    b = np.concatenate([a[:360], rng.integers(0, 1 << 60, 40).astype(np.uint64)])
+    s = minhash.signatures([np.unique(a), np.unique(b)], 2000)
+    share = (s[0] == s[1]).mean()
+    assert abs(share - 360 / 440) < 0.04
+    for rows in minhash.ROWS:
+        n = minhash.band_count(rows)
+        assert (1 - 0.75**rows) ** n <= minhash.MISS < (1 - 0.75**rows) ** (n - 1)
+        assert minhash.band_keys(minhash.signatures([np.unique(a)], n * rows // 2), rows).shape == (1, n)
+
+
+def test_repeated_passages(docs, empty):
+    n, where, texts = suffixes.PASSAGE, defaultdict(set), defaultdict(list)
+    for r in docs.collect():
+        if r["doc_id"] is not None:
+            w = (r["text"] or "").encode().lower().split()
+            texts[r["doc_id"]].append(w)
+            for k in range(len(w) - n + 1):
+                where[tuple(w[k : k + n])].add(r["doc_id"])
+    want = {}
+    for i, ws in texts.items():
+        marks = set()
+        for w in ws:
+            for k in range(len(w) - n + 1):
+                if len(where[tuple(w[k : k + n])]) > 1:
+                    marks.update(range(k, k + n))
+        if marks:
+            want[i] = marks
+    got = {r["doc_id"]: {x for s in r["spans"] for x in range(s["start"], s["end"])} for r in suffixes.repeated_passages(docs).collect()}
+    assert got == want
+    assert suffixes.repeated_passages(empty).count() == 0
+
+
+def test_repeated_passages_of_hot_prefixes(docs, monkeypatch):
+    want = {r["doc_id"]: r["spans"] for r in suffixes.repeated_passages(docs).collect()}
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    assert {r["doc_id"]: r["spans"] for r in suffixes.repeated_passages(docs).collect()} == want
+
+
+def brute_spans(text):
+    out = []
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    for k, p in enumerate(patterns):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if (k == 1 and any(int(x) > 255 for x in m[0].split("."))) or (k == 2 and not (12 <= len(d) <= 19 and pii.luhn(d))) or (k == 3 and not 9 <= len(d) <= 15):
+                continue
+            out.append((m.start(), m.end(), pii.KINDS[k]))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        x = "".join(rng.choice("ab@.+-0123456789 ()%é") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(x) == brute_spans(x), x
+
+
+def test_personal_data(spark, docs, empty):
+    texts = ["mail a.b@c.de, call +1 (555) 555-0100 or card 4111 1111 1111 1111 at 10.0.0.1", None, "", "9" * 30_000, "write to joe [at] mail (dot) org", "version 300.1.2.3 of 2024-01-01", "@" * 500, "1." * 5000]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r["doc_id"]: r for r in pii.personal_data(df).collect()}
+    assert [got[0][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1]
+    for i, text in enumerate(texts):
+        base = brute_spans(text or "") if len(text or "") < 1000 else pii.base_spans(text)
+        assert got[i]["base_sha256"] == hashlib.sha256(pii.written(base).encode()).hexdigest()
+        assert set(filter(None, pii.written(base).split(","))) <= set(got[i]["spans"].split(","))
+    assert got[4]["spans"].startswith("email:") and got[4]["n_added"] == 1
+    assert got[5]["spans"] == ""
+    assert pii.personal_data(docs).count() == docs.count() and pii.personal_data(empty).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert clean[0] == "mail [EMAIL], call [PHONE] or card [CARD] at [IP]" and clean[1] is None
+
+
+def test_segmentation_is_the_best_of_all():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = [(s := rng.randrange(20), s + rng.randint(1, 8), rng.choice(pii.KINDS)) for _ in range(rng.randint(0, 7))]
+        scores = [rng.uniform(-2, 3) for _ in spans]
+        best = 0.0
+        for k in range(1 << len(spans)):
+            take = [i for i in range(len(spans)) if k >> i & 1]
+            if all(spans[a][1] <= spans[b][0] or spans[b][1] <= spans[a][0] for a, b in combinations(take, 2)):
+                best = max(best, sum(scores[i] for i in take))
+        total = defaultdict(list)
+        for s, x in zip(spans, scores, strict=True):
+            total[s].append(x)
+        assert abs(sum(max(total[s]) for s in pii.best_segmentation(spans, scores)) - best) < 1e-9
+
+
+def test_personal_data_on_held_out_sentences():
+    rng, weights, right, found, there = random.Random(99), pii.trained(), 0, 0, 0
+    for _ in range(400):
+        text, gold = pii.generated(rng)
+        spans = set(pii.find_spans(text, weights)[1])
+        right, found, there = right + len(spans & gold), found + len(spans), there + len(gold)
+    assert right / found > 0.9 and right / there > 0.9
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(3, 8)))
+    texts, labels = [], []
+    for k in range(400):
+        w = [word() for _ in range(60)]
+        if k % 4 == 0:
+            for x in rng.sample(["zgrob", "zgrobling", "vermok"], 2):
+                w[rng.randrange(60)] = x
+        texts.append(" ".join(w) + ".")
+        labels.append((k, int(k % 4 == 0)))
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    lab = spark.createDataFrame([*labels, (None, 1), (5, None), (9999, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity_query(df, lab).collect()
+    assert len(got) == 400
+    held = [r for r in got if r["held_out"]]
+    assert held and sum(r["predicted"] == dict(labels)[r["doc_id"]] for r in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert toxicity.toxicity_query(docs, lab.limit(0)).count() == docs.count()
+    assert toxicity.toxicity_query(empty, lab).count() == 0
+
+
+def test_clauses():
+    insult, threat, you, no, said = "insult", "threat", "target", "negation", "report"
+    assert toxicity.ends([insult]) == ["insult"]
+    assert set(toxicity.ends([you, "", insult])) == {"insult", "insult_target"}
+    assert "insult_negated" in toxicity.ends([no, "", insult]) and "insult_negated" not in toxicity.ends([no, "", "", "", insult])
+    assert set(toxicity.ends([said, threat, you])) == {"threat", "threat_target", "threat_reported"}
+    assert toxicity.ends([no, you]) == []
+
+
+def test_fingerprints(docs, empty, corpus):
+    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprint.fingerprint_query(docs).collect()}
+    order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    assert fingerprint.fingerprint_query(docs).count() == len(order)
+    for r, nxt in zip(order, order[1:] + order[:1], strict=True):
+        t, n = r["text"] or "", nxt["text"] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + n[:half]
+        mine = got[r["doc_id"], len(t)]
+        if r["doc_id"] != 3:
+            assert mine["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert mine["near_edited"] == float(mine["fingerprint"] == mine["edited_fingerprint"])
+    by_id = {r["doc_id"]: r for r in fingerprint.fingerprint_query(docs).collect()}
+    same = [i for i, t in enumerate(corpus) if t == corpus[3]]
+    assert {by_id[i]["group_id"] for i in same} == {3} and len({by_id[i]["fingerprint"] for i in same}) == 1
+    assert by_id[90]["fingerprint"] == by_id[91]["fingerprint"] == by_id[92]["fingerprint"]
+    assert by_id[93]["fingerprint"] == by_id[94]["fingerprint"]
+    assert fingerprint.fingerprint_query(empty).count() == 0
+
+
+def test_next_text_over_many_runs(spark):
+    ids = random.Random(1).sample(range(-(10**15), 10**15), 300)
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    order = sorted(ids)
+    want = dict(zip(order, order[1:] + order[:1], strict=True))
+    assert {r["doc_id"]: int(r["next_text"]) for r in fingerprint.with_next(df, run_rows=7).collect()} == want
+
+
+def test_canonical_form(spark):
+    texts = ["Ａbc\u00a0 d\u2003e", "e\u0301 STRASSE ﬁ", "", "\x85x\t\ty\n", "İ", "Ω ς Σ"]
+    got = [r["c"] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(fingerprint.canonical("text").alias("c")).collect()]
+
+    def want(t):
+        if not t.isascii():
+            t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+        else:
+            t = t.lower()
+        return re.sub(r"[\s\x85]+", " ", t).strip()
+
+    assert got == [want(t) for t in texts]
+
+
+def test_mixing(spark, docs, empty):
+    got = mixing.mix_sources(docs).collect()
+    again = mixing.mix_sources(docs.repartition(7)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again)) and len(got) == docs.count()
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert all(sizes[r["source"]] == r["source_size"] for r in got)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, want, budget = set(order), {}, 1.5 * sum(sizes.values())
+    while left:
+        share = {s: budget * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > 2 * sizes[s]}
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 2.0 * sizes[s]
+            budget -= want[s]
+        left -= over
+    largest = max(r["size"] for r in got)
+    for s in order:
+        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= largest
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_mixing_prefers_quality(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "en", "a" if i < 2000 else "b", 20) for i in range(4000)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    got = mixing.mix_sources(df, labels, weights=(1.0,), share=0.5, bins=64).collect()
+    good = sum(r["taken"] for r in got if r["doc_id"] % 2)
+    assert good > 2 * sum(r["taken"] for r in got if not r["doc_id"] % 2)
+    assert abs(sum(r["taken"] for r in got) - 20_000) <= 20
+
+
+def test_packing(docs, empty, spark):
+    import public_tokenizers
+
+    bpe = packing.load_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got, seen = packing.pack_documents(docs, row=128, pool_tokens=3000).collect(), defaultdict(list)
+    for r in got:
+        ids, at = np.frombuffer(r["input_ids"], np.int32), np.frombuffer(r["position_ids"], np.int32)
+        cuts = r["cu_seqlens"]
+        assert len(ids) == 128 and cuts[0] == 0 and cuts[-1] == r["n_tokens"] <= 128 and (ids[r["n_tokens"] :] == packing.PAD).all()
+        for k, (i, o) in enumerate(zip(r["doc_ids"], r["doc_offsets"], strict=True)):
+            assert (at[cuts[k] : cuts[k + 1]] == np.arange(cuts[k + 1] - cuts[k])).all()
+            seen[i].append((o, ids[cuts[k] : cuts[k + 1]].tolist()))
+    for r in docs.where("doc_id <> 3 AND length(text) > 0").collect():
+        parts = sorted(seen[r["doc_id"]])
+        assert bpe.decode([x for _, p in parts for x in p]) == r["text"]
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_best_fit():
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = [rng.randint(1, 50) for _ in range(rng.randint(0, 60))]
+        rows = []
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            free = [(50 - sum(sizes[j] for j in r), k) for k, r in enumerate(rows) if 50 - sum(sizes[j] for j in r) >= sizes[i]]
+            rows[min(free)[1]].append(i) if free else rows.append([i])
+        got = packing.best_fit(sizes, 50)
+        assert sorted(sum(got, [])) == list(range(len(sizes))) and len(got) == len(rows)
+        assert sorted(sum(sizes[j] for j in r) for r in got) == sorted(sum(sizes[j] for j in r) for r in rows)
+
+
+def test_pieces_are_those_of_the_library(docs, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    got = pieces.encode_documents(docs, common=500)
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r["round_trip"] and (r["piece_ids"] is None if r["text"] is None else r["piece_ids"] == sp.encode(r["text"])), r["text"]
+    back = {r["doc_id"]: r["decoded"] for r in pieces.decode_documents(got).collect()}
+    assert back[4] == [r for r in rows if r["doc_id"] == 4][0]["text"]
+    assert pieces.encode_documents(empty).count() == 0
+
+
+def test_lattice_fold(spark):
+    """The folded lattice, the heap and the many-at-once merges agree; so do both Viterbi forms."""
+    v = pieces.load(pieces.default_path())
+    rng = random.Random(8)
+    some = sorted({"▁" + "".join(rng.choice("thenigé🙂d.x") for _ in range(rng.randint(1, 12))) for _ in range(150)})
+    df = spark.createDataFrame([(u,) for u in some], "unit string")
+    flat = lambda vocabulary: {r["unit"]: tuple(y for i, at in r["steps"] for y in ((i,) if i >= 0 else vocabulary.fallback(r["unit"][at]))) for r in pieces.lattice(spark, df, vocabulary).collect()}
+    folded = flat(v)
+    many = dict(zip(some, pieces.merge_many(v, some), strict=True))
+    for u in some:
+        assert folded[u] == pieces.merge_one(v, u) == tuple(np.frombuffer(many[u], np.int32).tolist())
+    uni = pieces.Vocabulary(v.pieces, v.byte_ids, v.unknown_id, "unigram")
+    folded = flat(uni)
+    for u in some:
+        assert folded[u] == pieces.viterbi(uni, u)
+
+
+def test_viterbi_is_the_best_path():
+    rng = random.Random(6)
+    some = {x for x in "abc"} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(12)}
+    v = pieces.Vocabulary(tuple((p, i, -rng.uniform(1, 9)) for i, p in enumerate(sorted(some))), (), 99, "unigram")
+    score = {p: s for p, _, s in v.pieces}
+
+    def best(x):
+        return 0.0 if not x else max(score.get(x[:k], v.unknown_score if k == 1 else -1e9) + best(x[k:]) for k in range(1, len(x) + 1))
+
+    by_id = {i: p for p, i, _ in v.pieces}
+    for _ in range(100):
+        x = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        ids = pieces.viterbi(v, x)
+        assert "".join(by_id[i] for i in ids) == x and abs(sum(score[by_id[i]] for i in ids) - best(x)) < 1e-9
