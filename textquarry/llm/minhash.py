@@ -1,20 +1,23 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set holds its distinct five-word shingles. Under each of 64
-permutations both the smallest and the largest value are kept: 128 slots for 64
-hash evaluations. 32 bands of 4 slots (two permutations, minimum and maximum of
-each) bring pairs together; a pair at similarity 0.75 is missed with probability
-(1 - 0.75**4)**32, about 5e-6. Links are confirmed on full sets.
+A document's set holds its distinct five-word shingles. Under each permutation both
+the smallest and the largest value are kept: two slots for one hash evaluation. 64
+permutations give 32 bands of 4 slots; a pair at similarity 0.75 shares no band
+with probability (1 - 0.75**4)**32, about 5e-6. Links are confirmed on full sets.
 
 Documents with one set form a class, and one representative of a class goes on. In
 a bucket, members are compared with a leader rather than with each other; members
-that end up in one component need no more comparison. Where a bucket still
-holds several components, other leaders follow, then all pairs across components
-that were not compared yet; a large bucket is first split by further bands.
+that end up in one component need no more comparison. Buckets that still hold
+several components get other leaders out of their largest component. What stays open
+then is compared across components if the bucket is small; members of large buckets
+(texts that share a common passage, say) are hashed again to longer bands, as
+many as keep the same certainty, which part all but similar texts.
+One bit a slot (128 bits) rules out pairs far below the bound before sets are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,39 +30,55 @@ from .components import components
 from .shared import semi, settle
 from .words import mix, shingle_sets
 
-PERMUTATIONS, BANDS = 64, 32
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Members above which a bucket is split by further bands, and leaders tried before that.
-LARGE_BUCKET, LEADERS = 200, 2
+#: Slots in a band, level by level, and the chance of missing a pair at the bound on a level.
+ROWS, MISS = (4, 6, 8), 6e-6
+#: Members up to which an open bucket is compared across components, and leaders tried before.
+SMALL_BUCKET, LEADERS = 12, 3
+#: Equal bits out of 128 that a pair needs; one at the bound has 112, with a deviation of 3.7.
+BITS, EQUAL_BITS = 128, 92
 
 _U = np.uint64
-_FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
-_SHIFTS = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_GOLD = _U(0x9E3779B97F4A7C15)
 _MOST_ROWS = 1 << 16  # shingles hashed at a time
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Per non-empty set: the minima, then the maxima under each permutation (n x 128)."""
+def band_count(rows: int) -> int:
+    """Bands of ``rows`` slots that miss a pair at the bound with a probability of at most MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((NUMERATOR / DENOMINATOR) ** rows)))
+
+
+def signatures(sets: list[np.ndarray], permutations: int, seed: int = 0) -> np.ndarray:
+    """Per non-empty set: the minima, then the maxima under each permutation (2 x permutations slots)."""
     every = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((2 * PERMUTATIONS, len(sets)), np.uint64)
-    for k in range(PERMUTATIONS):
-        v = every * _FACTORS[k]
-        v += _SHIFTS[k]
+    number = np.arange(1, permutations + 1, dtype=np.uint64) + _U(seed * 10_000)
+    factors, shifts = mix(number * _GOLD) | _U(1), mix((number + _U(5_000)) * _GOLD)
+    out = np.empty((2 * permutations, len(sets)), np.uint64)
+    for k in range(permutations):
+        v = every * factors[k]
+        v += shifts[k]
         out[k] = np.minimum.reduceat(v, at)
-        out[PERMUTATIONS + k] = np.maximum.reduceat(v, at)
+        out[permutations + k] = np.maximum.reduceat(v, at)
     return out.T
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """n x 128 slots -> n x 32 bucket keys."""
-    low, high = signature[:, :PERMUTATIONS], signature[:, PERMUTATIONS:]
-    out = np.zeros((len(signature), BANDS), np.uint64)
-    for part in (low[:, 0::2], high[:, 0::2], low[:, 1::2], high[:, 1::2]):
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
+    """Bucket keys: band k takes the minima and maxima of rows / 2 permutations of its own."""
+    half, wide = rows // 2, signature.shape[1] // 2
+    low, high = signature[:, :wide], signature[:, wide:]
+    out = np.full((len(signature), wide // half), rows, np.uint64)
+    for part in (x[:, k::half] for k in range(half) for x in (low, high)):
         out = mix(out * _U(0xD6E8FEB86659FD93) + part + _U(1))
-    return mix(out + np.arange(BANDS, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15))
+    return mix(out + np.arange(out.shape[1], dtype=np.uint64)[None, :] * _GOLD)
+
+
+def slot_bits(signature: np.ndarray) -> np.ndarray:
+    """One mixed bit of each of 128 slots, as two words a set."""
+    bit = np.packbits((mix(signature[:, :BITS].ravel()) & _U(1)).astype(np.uint8).reshape(-1, BITS), axis=1)
+    return np.ascontiguousarray(bit).view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +86,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pending, held, done = batch.column(0), [], 0, 0
 
         def flush(done: int) -> pa.RecordBatch:
-            full = [s for s in pending if len(s)]
-            keys = band_keys(signatures(full)).view(np.int64) if full else np.zeros((0, BANDS), np.int64)
+            full = np.array([len(s) > 0 for s in pending])
+            count = band_count(ROWS[0])
+            keys, bits = np.zeros((0, count), np.uint64), np.zeros((len(pending), 2), np.int64)
+            if full.any():
+                signature = signatures([s for s in pending if len(s)], count * ROWS[0] // 2)
+                keys, bits[full] = band_keys(signature, ROWS[0]), slot_bits(signature)
             sizes = np.array([len(s) for s in pending], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.where(full, count, 0))]).astype(np.int32)
             marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in pending]
             return pa.RecordBatch.from_arrays(
-                [ids.slice(done, len(pending)), pa.array(sizes), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
-                names=["doc_id", "n_shingles", "mark", "bands"],
+                [ids.slice(done, len(pending)), pa.array(sizes), pa.array(marks, pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))],
+                names=["doc_id", "n_shingles", "mark", "bits0", "bits1", "bands"],
             )
 
         for s in shingle_sets(batch.column(1), SHINGLE):
@@ -95,9 +118,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "shingles"])
 
 
+def _again(level: int):
+    """doc_id and the keys of a deeper level's bands."""
+    rows = ROWS[level]
+    count = band_count(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                sets = [(k, s) for k, s in enumerate(shingle_sets(part.column(1), SHINGLE)) if len(s)]
+                if sets:
+                    keys = band_keys(signatures([s for _, s in sets], count * rows // 2, level), rows).view(np.int64)
+                    at = pa.array(np.repeat([k for k, _ in sets], count))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(keys.ravel())], names=["node", "key"])
+
+    return run
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, mark (128 bits of the whole set; null if empty), bands."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, bands array<long>")
+    """doc_id, n_shingles, mark (128 bits of the whole set; null if empty), bits0, bits1, bands."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, bits0 long, bits1 long, bands array<long>")
 
 
 def linked(na: Column, nb: Column, common: Column) -> Column:
@@ -117,18 +158,29 @@ def _fits(x: str, y: str) -> Column:
     return (DENOMINATOR * F.col(x) >= NUMERATOR * F.col(y)) & (DENOMINATOR * F.col(y) >= NUMERATOR * F.col(x))
 
 
+def _alike(x: str, y: str) -> Column:
+    """Set sizes that allow the similarity, and enough equal bits."""
+    differ = F.bit_count(F.col(f"{x}bits0").bitwiseXOR(F.col(f"{y}bits0"))) + F.bit_count(F.col(f"{x}bits1").bitwiseXOR(F.col(f"{y}bits1")))
+    return _fits(f"{x}n", f"{y}n") & (differ <= BITS - EQUAL_BITS)
+
+
 def _led(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each bucket's leader with the members of other components; the leader differs by turn."""
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    lead = members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("lead"))
-    pairs = members.join(lead, "key").where((F.col("component") != F.col("lead.component")) & _fits("n", "lead.n"))
-    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    """Pairs of a leader with the members of other components: the bucket's first member, then some one of its largest component."""
+    mine = ["node", "n", "component", "bits0", "bits1"]
+    if turn == 0:
+        lead = members.groupBy("key").agg(F.min(F.struct(*mine)).alias("lead"))
+    else:
+        lead = members.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), *mine)).alias("lead"))
+        lead = lead.groupBy("key").agg(F.max(F.struct("size", "lead")).alias("x")).select("key", F.col("x.lead").alias("lead"))
+    lead = lead.select(F.col("key").alias("lead_key"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in mine])
+    pairs = members.join(lead, (F.col("key") == F.col("lead_key")) & (F.col("component") != F.col("lead_component")) & _alike("", "lead_"))
+    return pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose components differ and whose sizes allow a link."""
+    """All pairs of a bucket whose components differ and that may be similar enough."""
     x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _fits("x.n", "y.n"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _alike("x.", "y."))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -147,13 +199,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a class of one document is its own; only the shared ones are joined back
     shared = classes.where("copies > 1").select("mark", "node")
     member = settle(full.select("doc_id", "mark").join(shared, "mark").select("doc_id", "mark", "node").distinct(), "minhash-members")
-    nodes = full.join(member.where("doc_id <> node").select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands")
+    nodes = full.join(member.where("doc_id <> node").select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits0", "bits1", "bands")
     # several texts under one doc_id: its rows' buckets are pooled, and all of its classes are linked to it
     also = member.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key")).distinct()
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", "m")
-    members = settle(keyed.join(crowded, "key").select("key", "m", "node", "n", F.col("node").alias("component")), "minhash-buckets")
+    about = nodes.select("node", "n", "bits0", "bits1")
+
+    def crowded(keyed: DataFrame) -> DataFrame:
+        """key, m, node and what is known of it, of the buckets with several members; each node its own component."""
+        several = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        return settle(keyed.join(several, "key").select("key", "m", "node", "n", "bits0", "bits1", F.col("node").alias("component")), "minhash-buckets")
 
     links = settle(also.limit(0), "minhash-links")
     tested = links
@@ -185,27 +240,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if labels is not None:
             of = of.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        return settle(of.join(several, "key").select("key", "m", "node", "n", "component"), "minhash-open")
-
-    for turn in range(LEADERS):
-        if not compare(_led(members, turn)):
-            break
+        return settle(of.join(several, "key").select("key", "m", "node", "n", "bits0", "bits1", "component"), "minhash-open")
+
+    members = crowded(nodes.select("node", "n", "bits0", "bits1", F.explode("bands").alias("key")).distinct())
+    for level in range(len(ROWS)):
+        for turn in range(LEADERS):
+            if members.isEmpty() or not compare(_led(members, turn)):
+                break
+            members = open_buckets(members)
         members = open_buckets(members)
-
-    # large buckets that are still open: split by the other bands, which a true pair shares again with the same certainty
-    for _ in range(3):
-        large = members.where(F.col("m") > LARGE_BUCKET)
-        if large.isEmpty():
+        compare(_across(members.where(F.col("m") <= SMALL_BUCKET)))
+        large = open_buckets(members.where(F.col("m") > SMALL_BUCKET))
+        if level + 1 == len(ROWS) or large.isEmpty():
             break
-        bands = nodes.select("node", F.explode("bands").alias("other")).distinct()
-        again = large.join(bands, "node").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "node", "n", "component")
-        again = again.distinct()
-        size = again.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "m")
-        again = settle(again.join(size, "key").select("key", "m", "node", "n", "component"), "minhash-split")
-        compare(_led(again, 0))
-        members = settle(open_buckets(again).unionByName(members.where(F.col("m") <= LARGE_BUCKET)), "minhash-open")
-    members = open_buckets(members)
-    compare(_across(members))
+        ids = settle(large.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
+        more = semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id").mapInArrow(_again(level + 1), "node long, key long")
+        members = open_buckets(crowded(more.distinct().join(about, "node")))
+    # what the longest bands leave together is compared to the end
+    if not large.isEmpty():
+        compare(_across(large))
 
     if not also.isEmpty():
         labels = components(links.union(also))
