@@ -26,7 +26,8 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of the document of the same id: bad if of low quality or toxic."""
     labels = table(spark, sf_dir, "labels")
     bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
-    return judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    out = judge_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    return out.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_low")})
 
 
 def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
