@@ -161,7 +161,10 @@ def chinese(text: str, size: int, overlap: int) -> list[str]:
 
 def unique(chunks: list[str]) -> list[str]:
     """Each trimmed chunk once."""
-    return list({c.strip(): c for c in reversed(chunks)}.values())[::-1]
+    first: dict[str, str] = {}
+    for c in chunks:
+        first.setdefault(c.strip(), c)
+    return list(first.values())
 
 
 def by_separators(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:

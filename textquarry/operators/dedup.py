@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFD", x) if isinstance(x, str) else x)
 
