@@ -283,3 +283,19 @@ def test_joins(spark):
     got = {r["k"]: [x["n"] for x in r["m"]] for r in joins.with_many(a, many, "k", "m", ["n"]).collect()}
     assert got == {1: [3, 5], 2: []}
     assert [r["k"] for r in joins.orphans(a, many, "k").collect()] == [2]
+
+
+def test_outline_models_and_overlap(spark):
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    from textquarry.functions import models
+
+    df = frame(spark, [(1, "Companies:\n* Acme (maker)\n* Bolt Inc\nOrganizations:\n* Cee\nProducts:\n* Rocket (red)")], "k int, t string")
+    nodes, edges = records.outlined(df, "t", "k")
+    assert ("product", "Rocket", "red") in {(r["type"], r["label"], r["description"]) for r in nodes.collect()}
+    assert {(r["source_label"], r["target_label"], r["edge_type"]) for r in edges.collect()} >= {("Acme", "Cee", "competes_with"), ("Cee", "Rocket", "offers")}
+    v = models.with_model(df, models.hashed_embedding, "t", "v", ArrayType(DoubleType())).first()["v"]
+    assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-9
+    assert models.leading_sentences(["One. Two. " + "x" * 400, None]) == ["One. Two.", ""]
+    chunks = frame(spark, [(1, 1, "abcdefghij"), (1, 2, "klm")], "doc_id int, position int, chunk string")
+    assert [r["chunk"] for r in splitters.with_overlap(chunks, 0.2).orderBy("position").collect()] == ["abcdefghij", "ij klm"]

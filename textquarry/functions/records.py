@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import transformed
@@ -123,6 +123,29 @@ def approval(decision: Column, reason: Column, confidence: Column) -> Column:
     return F.struct(F.when(F.lower(F.trim(decision)) == "approved", "approved").otherwise("rejected").alias("status"), reason.alias("reason"), confidence.cast("decimal(5,2)").alias("confidence"))
 
 
+#: Where a segment keeps what a model said of it.
+SEGMENT_POLICY = {"status": "status", "meta.extracted": "data", "meta.classification": "data.classification", "meta.confidence": "data.confidence"}
+
+
+def outlined(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a plain outline: a line that ends in a colon names a section, ``* label (description)`` a node of it.
+
+    Without stated edges organisations of a text compete with each other and offer its
+    products. A text's own organisations are paired, so the work is bounded by its lines.
+    """
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
+    head = F.regexp_extract("line", r"^\s*(?:#+\s*|\*\*)?([A-Za-z_ ]+?)(?:\*\*)?:\s*$", 1)
+    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("section", F.last(F.when(F.length(head) > 0, F.regexp_replace(F.lower(F.trim(head)), r"s$", "")), ignorenulls=True).over(w))
+    label = F.trim(F.regexp_extract("line", r"^\s*[*-]\s+([^(]+)", 1))
+    nodes = lines.where((F.length(label) > 0) & F.col("section").isNotNull()).select(key, node_type(F.col("section")).alias("type"), label.alias("label"), F.regexp_extract("line", r"\((.*)\)", 1).alias("description")).distinct()
+    a, b = nodes.select(key, F.col("label").alias("source_label"), F.col("type").alias("s")), nodes.select(key, F.col("label").alias("target_label"), F.col("type").alias("t"))
+    both = a.where("s = 'organization'").join(b, key)
+    rival = both.where("t = 'organization' AND source_label < target_label").withColumn("edge_type", F.lit("competes_with"))
+    offer = both.where("t = 'product'").withColumn("edge_type", F.lit("offers"))
+    return nodes, rival.unionByName(offer).select(key, "source_label", "target_label", "edge_type")
+
+
 def extraction(df: DataFrame, payload: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of JSON replies that call them nodes or entities, edges or relationships; blanks drop out.
 

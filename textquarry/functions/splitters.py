@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Separators of the recursive splitter, best first.
@@ -287,3 +287,10 @@ def chunk_statistics(chunks: DataFrame, *by: str, chunk: str = "chunk") -> DataF
     """n, smallest, largest and mean length, all characters, mean tokens."""
     n = F.length(chunk)
     return chunks.groupBy(*by).agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.avg(n).alias("mean_length"), F.sum(n).alias("characters"), F.avg(F.ceil(n / F.lit(4.0))).alias("mean_tokens"))
+
+
+def with_overlap(chunks: DataFrame, share: float = 0.1, *, key: str = "doc_id", position: str = "position", chunk: str = "chunk") -> DataFrame:
+    """Each chunk with the last ``share`` of the one before it in front."""
+    before = F.lag(chunk).over(Window.partitionBy(key).orderBy(position))
+    tail = F.right(before, F.floor(F.length(before) * share))
+    return chunks.withColumn(chunk, F.when(before.isNull(), F.col(chunk)).otherwise(F.concat_ws(" ", F.when(F.length(tail) > 0, tail), F.col(chunk))))
