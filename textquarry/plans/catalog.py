@@ -58,18 +58,17 @@ def dedup_hash(s, d):
 
 
 @query("dedup_jaccard_pairs", """
-WITH w AS (SELECT conv_id * 1000 + turn AS k, list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), '\\s+'), lambda x: x <> '')) AS s FROM conversations),
+WITH w AS (SELECT doc_id AS k, list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), '\\s+'), lambda x: x <> '')) AS s FROM documents),
 e AS (SELECT k, unnest(s) AS x FROM w), c AS (SELECT a.k AS i, b.k AS j, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2)
-SELECT i, j, round(n / (len(p.s) + len(q.s) - n), 6) AS similarity FROM c JOIN w p ON p.k = i JOIN w q ON q.k = j WHERE n / (len(p.s) + len(q.s) - n) >= 0.25""")
+SELECT i, j, round(n / (len(p.s) + len(q.s) - n), 6) AS similarity FROM c JOIN w p ON p.k = i JOIN w q ON q.k = j WHERE n / (len(p.s) + len(q.s) - n) >= 0.8""")
 def dedup_jaccard_pairs(s, d):
-    c = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), dedup.word_set(dedup.normalised(F.col("text"))).alias("words"))
-    return dedup.similar_pairs(c, "k", "words", 0.25).withColumn("similarity", F.round("similarity", 6))
+    words = t(s, d, "documents").select(F.col("doc_id").alias("k"), dedup.word_set(dedup.normalised(F.col("text"))).alias("words"))
+    return dedup.similar_pairs(words, "k", "words", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("dedup_jaccard_leaders")
 def dedup_jaccard_leaders(s, d):
-    c = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    return dedup.similarity_duplicates(c, "text", "k", 0.25).select("k", "is_duplicate")
+    return dedup.similarity_duplicates(t(s, d, "documents"), "text", "doc_id", 0.8).select("doc_id", "is_duplicate")
 
 
 @query("content_dedup", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(text)")
