@@ -45,12 +45,21 @@ def _span_hash(gram: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def minimisers(gram: np.ndarray) -> np.ndarray:
-    """Places of the leftmost smallest gram in each window, ascending."""
+def anchors(gram: np.ndarray) -> np.ndarray:
+    """For each window of grams the place of its leftmost smallest one: the suffix that a passage from there belongs to."""
     if len(gram) < WINDOW:
         return np.zeros(0, np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(gram, WINDOW).argmin(1) + np.arange(len(gram) - WINDOW + 1)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return np.lib.stride_tricks.sliding_window_view(gram, WINDOW).argmin(1) + np.arange(len(gram) - WINDOW + 1)
+
+
+def _selected(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: the anchor of each passage, the distinct anchors, and their prefix hashes; nothing for a short text."""
+    last = len(gram) - (PASSAGE - GRAM)  # passages
+    if last <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    of = anchors(gram)[:last]
+    at = of[np.concatenate([[True], of[1:] != of[:-1]])]
+    return of, at, _span_hash(gram, at, PREFIX)
 
 
 def _each(column: pa.Array) -> Iterator[np.ndarray]:
@@ -65,54 +74,57 @@ def _each(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct prefixes of each text's suffixes."""
     for batch in batches:
-        keys, places, count = [], [], []
-        for gram in _each(batch.column(1)):
-            at = minimisers(gram)
-            at = at[at + PREFIX - GRAM < len(gram)] if len(gram) >= PASSAGE - GRAM + 1 else at[:0]
-            keys.append(_span_hash(gram, at, PREFIX))
-            places.append(at)
-            count.append(len(at))
-        ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), count)))
-        none = [np.zeros(0, np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), ids, pa.array(np.concatenate(places + none).astype(np.int32))], names=["key", "doc_id", "place"])
+        keys = [np.unique(_selected(gram)[2]) for gram in _each(batch.column(1))]
+        ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), [len(k) for k in keys])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), ids], names=["key", "doc_id"])
 
 
 def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per surviving suffix the hashes of the passages that start 23 words before to right at it; 0 outside the text."""
-    back = np.arange(WINDOW) - (WINDOW - 1)
+    """Per surviving suffix the hashes of its passages, by how far before it they start; 0 for those that are not its own.
+
+    Suffixes that follow each other word by word with the same prefix and passages
+    (a word that repeats) are one row, with the number of those that follow.
+    """
     for batch in batches:
         wanted = batch.column(batch.schema.get_field_index("wanted"))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        count = []
+        out, count = [], []
         for gram, want in zip(_each(batch.column(batch.schema.get_field_index("text"))), wanted, strict=True):
-            pairs = want.values
-            key, at = pairs.field("key").to_numpy().view(np.uint64), pairs.field("place").to_numpy().astype(np.int64)
-            last = len(gram) - (PASSAGE - GRAM) - 1  # of the places where a passage may start
-            start = at[:, None] + back[None, :]
-            ok = (start >= 0) & (start <= last)
-            h = np.zeros(start.shape, np.uint64)
-            h[ok] = _span_hash(gram, start[ok], PASSAGE) | _U(1)
-            some = ok.any(1)
-            out.append((key[some], at[some], h[some]))
-            count.append(int(some.sum()))
+            keys, hot = want.values.field("key").to_numpy().view(np.uint64), want.values.field("hot").to_numpy(zero_copy_only=False)
+            order = np.argsort(keys)
+            keys, hot = keys[order], hot[order]
+            of, at, key = _selected(gram)
+            slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            mine = keys[slot] == key
+            number = np.cumsum(mine) - 1
+            start = np.flatnonzero(mine[np.searchsorted(at, of)]) if len(at) else np.zeros(0, np.int64)
+            at_start = of[start]
+            row = number[np.searchsorted(at, at_start)]
+            h = np.zeros((int(mine.sum()), WINDOW), np.uint64)
+            h[row, start - at_start + WINDOW - 1] = _span_hash(gram, start, PASSAGE) | _U(1)
+            at, key, hot = at[mine], key[mine], hot[slot[mine]]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1]) | (h[1:] != h[:-1]).any(1)
+            first = np.flatnonzero(new)
+            more = np.diff(np.append(first, len(at))) - 1
+            out.append((key[first], hot[first], at[first], more, h[first]))
+            count.append(len(first))
         if not sum(count):
             continue
         ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(np.repeat(np.arange(len(batch)), count)))
-        h = np.concatenate([x[2] for x in out])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), ids, pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WINDOW), len(h), [None, pa.py_buffer(np.ascontiguousarray(h))]).cast(pa.binary())],
-            names=["key", "doc_id", "place", "passages"],
-        )
+        key, hot, at, more, h = (np.concatenate(x) for x in zip(*out, strict=True))
+        passages = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WINDOW), len(h), [None, pa.py_buffer(np.ascontiguousarray(h))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hot), ids, pa.array(at.astype(np.int32)), pa.array(more.astype(np.int32)), passages], names=["key", "hot", "doc_id", "place", "more", "passages"])
 
 
-def _runs(doc: np.ndarray, place: np.ndarray, repeated: np.ndarray, partner: np.ndarray) -> pa.RecordBatch:
+def _runs(doc: np.ndarray, place: np.ndarray, more: np.ndarray, repeated: np.ndarray, partner: np.ndarray) -> pa.RecordBatch:
     """Neighbouring repeated passages of a suffix as one span of words."""
     edge = np.diff(np.pad(repeated.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, a = np.nonzero(edge == 1)
     _, b = np.nonzero(edge == -1)
     first = place[row] - (WINDOW - 1)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((first + a).astype(np.int32)), pa.array((first + b - 1 + PASSAGE).astype(np.int32)), pa.array(partner[row, a])], names=["doc_id", "start", "end", "partner"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((first + a).astype(np.int32)), pa.array((first + b - 1 + PASSAGE + more[row]).astype(np.int32)), pa.array(partner[row, a])], names=["doc_id", "start", "end", "partner"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +133,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    doc, place = t.column("doc_id").to_numpy(), t.column("place").to_numpy().astype(np.int64)
+    doc, place, more = t.column("doc_id").to_numpy(), t.column("place").to_numpy().astype(np.int64), t.column("more").to_numpy()
     h = np.frombuffer(b"".join(t.column("passages").to_pylist()), np.uint64).reshape(-1, WINDOW)
     flat, who = h.ravel(), np.repeat(doc, WINDOW)
     order = np.lexsort((who, flat))
@@ -133,7 +145,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     repeated, partner = np.empty(len(flat), bool), np.empty(len(flat), np.int64)
     repeated[order] = ((low < high) & (flat[at] != 0))[group]
     partner[order] = np.where(who == low[group], high[group], low[group])
-    yield _runs(doc, place, repeated.reshape(h.shape), partner.reshape(h.shape))
+    yield _runs(doc, place, more, repeated.reshape(h.shape), partner.reshape(h.shape))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -147,23 +159,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pooled. Empty input: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    suffixes = settle(docs.mapInArrow(_select, "key long, doc_id long, place int"), "suffix-places")
-    shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    shared = settle(shared, "suffix-shared")
-    left = suffixes.join(shared.select("key"), "key")
-    left = left.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
-    found = docs.join(left, "doc_id")
-    kind = "key long, doc_id long, place int, passages binary"
-    hot = settle(shared.where(F.col("n") > HOT).select("key"), "suffix-hot")
-    found = found.select("doc_id", "text", "wanted").mapInArrow(_context, kind)
-    any_hot = not hot.isEmpty()
+    suffixes = settle(docs.mapInArrow(_select, "key long, doc_id long"), "suffix-prefixes")
+    shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    shared = settle(shared.select("key", (F.col("n") > HOT).alias("hot")), "suffix-shared")
+    left = suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot")).alias("wanted"))
+    found = docs.join(left, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_context, "key long, hot boolean, doc_id long, place int, more int, passages binary")
     out = "doc_id long, start int, end int, partner long"
-    if not any_hot:
+    if shared.where("hot").isEmpty():
         spans = found.repartition("key").mapInArrow(_neighbours, out)
     else:
         found = settle(found, "suffix-context")
-        spans = found.join(hot, "key", "left_anti").repartition("key").mapInArrow(_neighbours, out)
-        spans = spans.unionByName(_hot_spans(found.join(hot, "key", "left_semi"), out))
+        spans = found.where("NOT hot").repartition("key").mapInArrow(_neighbours, out).unionByName(_hot_spans(found.where("hot")))
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("start", "end"))),
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -173,7 +179,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return per.select("doc_id", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])).alias("repeated_words"), "partner_id")
 
 
-def _hot_spans(found: DataFrame, out: str) -> DataFrame:
+def _hot_spans(found: DataFrame) -> DataFrame:
     """The same comparison for prefixes with many suffixes: passages are counted with partial sums."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +189,9 @@ def _hot_spans(found: DataFrame, out: str) -> DataFrame:
             h = np.frombuffer(b"".join(b.column("passages").to_pylist()), np.int64).reshape(-1, WINDOW)
             row, k = np.nonzero(h)
             start = b.column("place").to_numpy()[row] - (WINDOW - 1) + k
-            yield pa.RecordBatch.from_arrays([pa.array(h[row, k]), pa.array(b.column("doc_id").to_numpy()[row]), pa.array(start.astype(np.int32))], names=["passage", "doc_id", "start"])
+            end = start + PASSAGE + b.column("more").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h[row, k]), pa.array(b.column("doc_id").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["passage", "doc_id", "start", "end"])
 
-    each = found.mapInArrow(spread, "passage long, doc_id long, start int")
+    each = found.mapInArrow(spread, "passage long, doc_id long, start int, end int")
     sums = each.groupBy("passage").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    both = each.join(sums, "passage")
-    return both.select("doc_id", "start", (F.col("start") + PASSAGE).alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("partner"))
+    return each.join(sums, "passage").select("doc_id", "start", "end", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("partner"))
