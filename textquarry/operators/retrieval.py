@@ -62,15 +62,18 @@ def bm25(docs: DataFrame, query: str, *, id_col: str = "doc_id", content: str =
     ln((N - df + 0.5) / (df + 0.5)), negative for terms in more than half of the
     documents, and ln 1.1 for terms in all. A document that contains the whole query
     counts three times, others by 0.3 + 0.7 of the share of query terms they hold.
-    One pass counts df and the mean length, a second scores; terms are constants in the plan.
+    One pass counts df and the mean length, a second scores; only query terms are kept of a text.
     """
     terms = list(dict.fromkeys(t for t in "".join(c if c.isascii() and (c.isalnum() or c == "_") or c.isspace() else " " for c in query.lower()).split() if len(t) > 2))
     spark = docs.sparkSession
     if not terms:
         return spark.createDataFrame([], docs.select(F.col(id_col), F.lit(0.0).alias("score")).schema)
-    base = docs.select(F.col(id_col), F.lower(F.coalesce(content, F.lit(""))).alias("low"), tokens(F.col(content)).alias("t"), *([F.col(keywords).alias("kw")] if keywords else []), *([F.col(length).cast("double").alias("len")] if length else []))
+    base = docs.select(F.col(id_col), F.lower(F.coalesce(content, F.lit(""))).alias("low"), F.filter(tokens(F.col(content)), lambda x: x.isin(terms)).alias("t"), *([F.col(keywords).alias("kw")] if keywords else []), *([F.col(length).cast("double").alias("len")] if length else []))
     if not length:
         base = base.withColumn("len", F.size(F.filter(F.split(F.trim("low"), r"\s+"), lambda w: w != "")).cast("double"))
+    # a generator between tokens and scores: else the filter on the score is moved below and tokenises once for each mention
+    held = [c for c in base.columns if c != id_col]
+    base = base.select(id_col, F.explode(F.array(F.struct(*held))).alias("x")).select(id_col, *[F.col(f"x.{c}").alias(c) for c in held])
     counts = base.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.array_contains("t", x)).alias(f"df{i}") for i, x in enumerate(terms)]).first()
     n, mean = counts["n"], counts["mean"] or 1.0
     score, present = F.lit(0.0), F.lit(0)
