@@ -23,7 +23,7 @@ def duck():
 
 
 def plain(v):
-    return (None if math.isnan(v) else round(v, 6)) if isinstance(v, float) else v
+    return (None if math.isnan(v) else round(v, 9)) if isinstance(v, float) else v
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

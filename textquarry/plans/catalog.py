@@ -377,10 +377,10 @@ def node_patterns(s, d):
     return metrics.node_patterns(t(s, d, "part").select(F.col("p_brand").alias("type"), F.col("p_name").alias("label"))).withColumn("confidence", F.round(F.col("confidence").cast("double"), 6))
 
 
-@query("run_statistics", "SELECT event_type, count(*) AS total, count(*) FILTER (value > 20) AS ok, count(*) FILTER (value <= 5) AS failed, round(avg(CASE WHEN value > 5 THEN value END), 6) AS avg_duration, max(ts) AS last_start FROM events GROUP BY 1")
+@query("run_statistics", "SELECT event_type, count(*) AS total, count(*) FILTER (value > 20) AS ok, count(*) FILTER (value <= 5) AS failed, round(avg(CASE WHEN value > 5 THEN value END), 9) AS avg_duration, max(ts) AS last_start FROM events GROUP BY 1")
 def run_statistics(s, d):
     runs = t(s, d, "events").select("event_type", F.when(F.col("value") > 20, "completed").when(F.col("value") <= 5, "failed").otherwise("running").alias("status"), F.when(F.col("value") > 5, F.col("value")).alias("duration"), F.col("ts").alias("started_at"))
-    return metrics.run_statistics(runs, ["event_type"]).withColumn("avg_duration", F.round("avg_duration", 6))
+    return metrics.run_statistics(runs, ["event_type"]).withColumn("avg_duration", F.round("avg_duration", 9))
 
 
 @query("consistency", "SELECT event_type, count(value) AS n, round(CASE WHEN count(value) < 2 THEN 1 ELSE greatest(0, 1 - stddev_pop(value) / avg(value)) END, 6) AS consistency FROM events GROUP BY 1")
@@ -388,10 +388,10 @@ def consistency(s, d):
     return metrics.consistency(t(s, d, "events"), "value", "event_type").select("event_type", "n", F.round("consistency", 6).alias("consistency"))
 
 
-@query("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, list_sort(list(value))[least(floor(count(*) * 0.95), count(*) - 1)::BIGINT + 1] AS p95 FROM events GROUP BY 1")
+@query("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 9) AS mean, round(median(value), 9) AS median, list_sort(list(value))[least(floor(count(*) * 0.95), count(*) - 1)::BIGINT + 1] AS p95 FROM events GROUP BY 1")
 def latency_stats(s, d):
     out = metrics.latency(t(s, d, "events"), "value", "event_type")
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("median", F.round("median", 6))
+    return out.withColumn("mean", F.round("mean", 9)).withColumn("median", F.round("median", 9))
 
 
 def _mentions(s, d):
@@ -401,14 +401,14 @@ def _mentions(s, d):
 _M = "(SELECT event_id AS mention_id, event_type AS brand, user_id AS author, least(value / 100, 1.0) AS score, ts, CASE user_id % 3 WHEN 0 THEN 'like' WHEN 1 THEN 'share' ELSE 'comment' END AS kind, event_id % 17 AS count, user_id AS post FROM events)"
 
 
-@query("brand_sentiment", f"SELECT brand, count(*) FILTER (s > 0.6) AS positive, count(*) FILTER (s < 0.4) AS negative, count(*) FILTER (s BETWEEN 0.4 AND 0.6) AS neutral, round(avg(s), 6) AS mean_score FROM (SELECT brand, CASE WHEN coalesce(score, 0) = 0 THEN 0.5 ELSE score END AS s FROM {_M}) GROUP BY 1")
+@query("brand_sentiment", f"SELECT brand, count(*) FILTER (s > 0.6) AS positive, count(*) FILTER (s < 0.4) AS negative, count(*) FILTER (s BETWEEN 0.4 AND 0.6) AS neutral, round(avg(s), 9) AS mean_score FROM (SELECT brand, CASE WHEN coalesce(score, 0) = 0 THEN 0.5 ELSE score END AS s FROM {_M}) GROUP BY 1")
 def brand_sentiment(s, d):
-    return brands.sentiment(_mentions(s, d)).withColumn("mean_score", F.round("mean_score", 6))
+    return brands.sentiment(_mentions(s, d)).withColumn("mean_score", F.round("mean_score", 9))
 
 
-@query("sentiment_trend", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY ts, mention_id) AS r, count(*) OVER (PARTITION BY brand) AS n FROM {_M}), c AS (SELECT brand, any_value(n) AS n, avg(score) FILTER (r > n // 2) - avg(score) FILTER (r <= n // 2) AS change FROM r GROUP BY 1) SELECT brand, n, round(change, 6) AS change, CASE WHEN n < 2 THEN 'stable' WHEN change > 0.1 THEN 'increasing' WHEN change < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM c")
+@query("sentiment_trend", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY ts, mention_id) AS r, count(*) OVER (PARTITION BY brand) AS n FROM {_M}), c AS (SELECT brand, any_value(n) AS n, avg(score) FILTER (r > n // 2) - avg(score) FILTER (r <= n // 2) AS change FROM r GROUP BY 1) SELECT brand, n, round(change, 9) AS change, CASE WHEN n < 2 THEN 'stable' WHEN change > 0.1 THEN 'increasing' WHEN change < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM c")
 def sentiment_trend(s, d):
-    return brands.trend(_mentions(s, d)).withColumn("change", F.round("change", 6))
+    return brands.trend(_mentions(s, d)).withColumn("change", F.round("change", 9))
 
 
 @query("mention_volume", f"WITH d AS (SELECT brand, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM {_M} GROUP BY 1, 2), p AS (SELECT brand, day AS peak_day, n AS peak_n FROM d QUALIFY row_number() OVER (PARTITION BY brand ORDER BY n DESC, day DESC) = 1) SELECT m.brand, count(*) AS mentions, count(DISTINCT author) AS authors, round(count(*) / 30, 6) AS per_day, any_value(peak_day) AS peak_day, any_value(peak_n) AS peak_n FROM {_M} m JOIN p ON p.brand = m.brand GROUP BY 1")
@@ -416,9 +416,9 @@ def mention_volume(s, d):
     return brands.mention_volume(_mentions(s, d)).withColumn("per_day", F.round("per_day", 6))
 
 
-@query("engagement", f"WITH p AS (SELECT brand, post, sum(count) AS n FROM {_M} GROUP BY 1, 2), b AS (SELECT brand, post AS top_post FROM p QUALIFY row_number() OVER (PARTITION BY brand ORDER BY n DESC, post) = 1) SELECT m.brand, sum(CASE WHEN kind = 'like' THEN count ELSE 0 END)::BIGINT AS likes, sum(CASE WHEN kind = 'share' THEN count ELSE 0 END)::BIGINT AS shares, sum(CASE WHEN kind = 'comment' THEN count ELSE 0 END)::BIGINT AS comments, sum(count)::BIGINT AS total, round(avg(count), 6) AS mean, any_value(top_post) AS top_post FROM {_M} m JOIN b ON b.brand = m.brand GROUP BY 1")
+@query("engagement", f"WITH p AS (SELECT brand, post, sum(count) AS n FROM {_M} GROUP BY 1, 2), b AS (SELECT brand, post AS top_post FROM p QUALIFY row_number() OVER (PARTITION BY brand ORDER BY n DESC, post) = 1) SELECT m.brand, sum(CASE WHEN kind = 'like' THEN count ELSE 0 END)::BIGINT AS likes, sum(CASE WHEN kind = 'share' THEN count ELSE 0 END)::BIGINT AS shares, sum(CASE WHEN kind = 'comment' THEN count ELSE 0 END)::BIGINT AS comments, sum(count)::BIGINT AS total, round(avg(count), 9) AS mean, any_value(top_post) AS top_post FROM {_M} m JOIN b ON b.brand = m.brand GROUP BY 1")
 def engagement(s, d):
-    return brands.engagement(_mentions(s, d)).withColumn("mean", F.round("mean", 6))
+    return brands.engagement(_mentions(s, d)).withColumn("mean", F.round("mean", 9))
 
 
 @query("influencer_overlap", f"WITH a AS (SELECT DISTINCT brand, author FROM {_M} WHERE author IS NOT NULL), z AS (SELECT brand, count(*) AS n FROM a GROUP BY 1) SELECT x.brand AS brand1, y.brand AS brand2, count(*) AS shared, any_value(p.n) AS unique1, any_value(q.n) AS unique2, round(count(*) / greatest(any_value(p.n), any_value(q.n)), 6) AS overlap FROM a x JOIN a y ON x.author = y.author AND x.brand < y.brand JOIN z p ON p.brand = x.brand JOIN z q ON q.brand = y.brand GROUP BY 1, 2")
@@ -426,14 +426,14 @@ def influencer_overlap(s, d):
     return brands.influencer_overlap(_mentions(s, d)).withColumn("overlap", F.round("overlap", 6)).select("brand1", "brand2", "shared", "unique1", "unique2", "overlap")
 
 
-@query("topic_analysis", f"WITH g AS (SELECT brand, count % 5 AS topic, count(*) AS frequency, round(avg(score), 6) AS mean_score, count(DISTINCT author) AS authors FROM {_M} GROUP BY 1, 2) SELECT *, count(*) OVER (PARTITION BY topic) > 1 AS shared FROM g")
+@query("topic_analysis", f"WITH g AS (SELECT brand, count % 5 AS topic, count(*) AS frequency, round(avg(score), 9) AS mean_score, count(DISTINCT author) AS authors FROM {_M} GROUP BY 1, 2) SELECT *, count(*) OVER (PARTITION BY topic) > 1 AS shared FROM g")
 def topic_analysis(s, d):
-    return brands.topics(_mentions(s, d).withColumn("topic", F.col("count") % 5)).withColumn("mean_score", F.round("mean_score", 6))
+    return brands.topics(_mentions(s, d).withColumn("topic", F.col("count") % 5)).withColumn("mean_score", F.round("mean_score", 9))
 
 
-@query("brand_daily", f"SELECT brand, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS mentions, round(avg(score), 6) AS mean_score FROM {_M} GROUP BY 1, 2")
+@query("brand_daily", f"SELECT brand, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS mentions, round(avg(score), 9) AS mean_score FROM {_M} GROUP BY 1, 2")
 def brand_daily(s, d):
-    return brands.daily(_mentions(s, d)).withColumn("mean_score", F.round("mean_score", 6))
+    return brands.daily(_mentions(s, d)).withColumn("mean_score", F.round("mean_score", 9))
 
 
 @query("competitors", f"WITH v AS (SELECT brand, count(*) AS m FROM {_M} GROUP BY 1), e AS (SELECT a.brand, b.brand AS rival, b.m FROM v a JOIN v b ON a.brand <> b.brand) SELECT e.brand, count(*) AS rivals, sum(e.m)::BIGINT AS rival_mentions, any_value(v.m) AS mentions, CASE WHEN any_value(v.m) > 1000 THEN 'leader' WHEN any_value(v.m) > 500 THEN 'challenger' WHEN any_value(v.m) > 100 THEN 'follower' ELSE 'niche' END AS position, round(any_value(v.m) / (any_value(v.m) + sum(e.m)), 6) AS share FROM e JOIN v ON v.brand = e.brand GROUP BY 1")
