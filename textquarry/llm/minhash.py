@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Slots in a band, level by level, and the chance of missing a pair at the bound on a level.
 ROWS, MISS = (4, 6, 8), 6e-6
 #: Members up to which an open bucket is compared across components, and leaders tried before.
-SMALL_BUCKET, LEADERS = 12, 3
+SMALL_BUCKET, LEADERS = 12, 2
 #: Equal bits out of 128 that a pair needs; one at the bound has 112, with a deviation of 3.7.
 BITS, EQUAL_BITS = 128, 92
 
@@ -174,6 +175,9 @@ def _led(members: DataFrame, turn: int) -> DataFrame:
         lead = lead.groupBy("key").agg(F.max(F.struct("size", "lead")).alias("x")).select("key", F.col("x.lead").alias("lead"))
     lead = lead.select(F.col("key").alias("lead_key"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in mine])
     pairs = members.join(lead, (F.col("key") == F.col("lead_key")) & (F.col("component") != F.col("lead_component")) & _alike("", "lead_"))
+    if turn == 0:
+        # one pair a member, with the smallest of its leaders; a large group of copies has one leader then
+        return pairs.groupBy(F.col("node").alias("b")).agg(F.min("lead_node").alias("a")).select("a", "b")
     return pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
 
 
@@ -211,29 +215,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return settle(keyed.join(several, "key").select("key", "m", "node", "n", "bits0", "bits1", F.col("node").alias("component")), "minhash-buckets")
 
     links = settle(also.limit(0), "minhash-links")
-    tested = links
     labels: DataFrame | None = None
     sets: DataFrame | None = None
 
-    def compare(pairs: DataFrame) -> bool:
-        """Confirm new pairs, add their links and relabel; false if there was nothing to compare."""
-        nonlocal links, tested, labels, sets
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+    def compare(pairs: DataFrame) -> None:
+        """Confirm pairs, add their links and relabel."""
+        nonlocal links, labels, sets
+        pairs = settle(pairs, "minhash-pairs")
         if pairs.isEmpty():
-            return False
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+            return
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if sets is not None:
             ids = ids.join(sets.select("doc_id"), "doc_id", "left_anti")
         ids = settle(ids, "minhash-ids")
-        if not ids.isEmpty():
-            new = semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id")
-            new = settle(new.mapInArrow(_sets, "doc_id long, shingles array<long>"), "minhash-sets")
-            sets = new if sets is None else sets.unionByName(new)
+        new = semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id")
+        new = settle(new.mapInArrow(_sets, "doc_id long, shingles array<long>"), "minhash-sets")
+        sets = new if sets is None else sets.unionByName(new)
         found = settle(confirmed(pairs, sets), "minhash-links")
-        links, tested = links.union(found), tested.union(pairs)
         if not found.isEmpty():
+            links = links.union(found)
             labels = components(links)
-        return True
 
     def open_buckets(of: DataFrame) -> DataFrame:
         """Members with their components, in buckets that still hold several."""
@@ -243,22 +244,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return settle(of.join(several, "key").select("key", "m", "node", "n", "bits0", "bits1", "component"), "minhash-open")
 
     members = crowded(nodes.select("node", "n", "bits0", "bits1", F.explode("bands").alias("key")).distinct())
+    rest: list[DataFrame] = []
     for level in range(len(ROWS)):
         for turn in range(LEADERS):
-            if members.isEmpty() or not compare(_led(members, turn)):
-                break
+            compare(_led(members, turn))
             members = open_buckets(members)
-        members = open_buckets(members)
-        compare(_across(members.where(F.col("m") <= SMALL_BUCKET)))
-        large = open_buckets(members.where(F.col("m") > SMALL_BUCKET))
-        if level + 1 == len(ROWS) or large.isEmpty():
+        rest.append(members.where(F.col("m") <= SMALL_BUCKET))
+        large = members.where(F.col("m") > SMALL_BUCKET)
+        if level + 1 == len(ROWS):
+            # what the longest bands leave together is compared to the end
+            rest.append(large)
             break
         ids = settle(large.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
+        if ids.isEmpty():
+            break
         more = semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id").mapInArrow(_again(level + 1), "node long, key long")
-        members = open_buckets(crowded(more.distinct().join(about, "node")))
-    # what the longest bands leave together is compared to the end
-    if not large.isEmpty():
-        compare(_across(large))
+        members = crowded(more.distinct().join(about, "node"))
+        if labels is not None:
+            members = open_buckets(members)
+    compare(_across(open_buckets(reduce(DataFrame.unionByName, rest))))
 
     if not also.isEmpty():
         labels = components(links.union(also))
