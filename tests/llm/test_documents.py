@@ -8,6 +8,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,30 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity_query(empty, lab).count() == 0
 
 
+def test_rare_insults_are_learnt_beside_many_common_words(spark):
+    rng = random.Random(11)
+    prose = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(9000))  # over 50 000 patterns
+    toxic = [f"{prose} qqzgrob" if k < 4 else prose for k in range(6)]
+    texts = [*toxic, *[prose] * 6, *["plain words here"] * 30]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    lab = spark.createDataFrame([(k, int(k < 6)) for k in range(len(texts))], "doc_id long, toxic int")
+    assert "qqzgrob$" in toxicity.learn(df, lab).entries
+
+
+def test_counts_passed_on_in_parts_are_whole(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": ["zgrob one", "zgrob two", None, "one two"], "toxic": [1, 1, 1, 0]})
+    add = lambda parts: {p: (sum(r["toxic"] for b in parts for r in b.to_pylist() if r["pattern"] == p), sum(r["clean"] for b in parts for r in b.to_pylist() if r["pattern"] == p)) for b in parts for p in b.column(0).to_pylist()}
+    want = add([*toxicity._beginning_counts(iter([batch]))])
+    monkeypatch.setattr(toxicity, "HELD", 1)
+    got = [*toxicity._beginning_counts(iter([batch]))]
+    assert len(got) > 2 and add(got) == want and want["zgrob$"] == (2, 0) and want["one$"] == (1, 1)
+
+
+def test_no_entry_is_cut_by_its_place_in_the_alphabet():
+    names = [f"{a}{b}{c}zgrob$" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop"]
+    assert toxicity.closed({n: (5, 0) for n in names}, 100, 10_000) == sorted(names)
+
+
 def test_clauses():
     insult, threat, you, no, said = "insult", "threat", "target", "negation", "report"
     assert toxicity.ends([insult]) == ["insult"]

@@ -7,7 +7,8 @@ are counted by that combination, and a logistic weight for each gives the score.
 
 The insult transducer is a prefix acceptor over characters whose entries are learnt
 from labelled rows: word beginnings (or whole words) that mark toxic documents.
-Learning uses a bounded sample, TRAIN_ROWS labelled rows in the order of a hash.
+Learning uses a bounded sample, TRAIN_ROWS labelled rows in the order of a hash;
+within it every pattern is counted, and all that pass SUPPORT and LIFT are kept.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .shared import settle
 
-#: Most labelled rows to learn from, and most entries of the learnt lexicon.
-TRAIN_ROWS, LEXICON = 20_000, 2_000
+#: Most labelled rows to learn from.
+TRAIN_ROWS = 20_000
 #: An entry occurs in at least so many toxic documents, and is so many times likelier there.
 SUPPORT, LIFT = 4, 25.0
 SEED = 20_240_101
+#: Patterns that a task holds before it passes their partial counts on.
+HELD = 200_000
 
 # The closed word classes of the grammar, and insults to start from where no labels are given.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "imbecile", "vermin")
@@ -149,7 +152,7 @@ def closed(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> list[s
     for p in good:
         best[stem(p)] = max(best.get(stem(p), 0), counts[p][0])
     keep = {p for p in good if best.get(p, 0) < counts[p][0]}
-    return sorted(p for p in keep if not any(p[:n] in keep for n in range(3, len(p))))[:LEXICON]
+    return sorted(p for p in keep if not any(p[:n] in keep for n in range(3, len(p))))
 
 
 def fit(rows: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
@@ -169,19 +172,24 @@ def fit(rows: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
     return w
 
 
-def _beginning_counts(only: frozenset[str] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic: Counter = Counter()
-        clean: Counter = Counter()
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(_WORD.findall((text or "").lower()))
-                found = {b for w in words for b in beginnings(w)}
-                (toxic if label else clean).update(found if only is None else found & only)
+def _beginning_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    toxic: Counter = Counter()
+    clean: Counter = Counter()
+
+    def partial() -> pa.RecordBatch:
         keys = [*(toxic.keys() | clean.keys())]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["pattern", "toxic", "clean"])
+        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["pattern", "toxic", "clean"])
+        toxic.clear()
+        clean.clear()
+        return out
 
-    return run
+    for batch in batches:
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = set(_WORD.findall((text or "").lower()))
+            (toxic if label else clean).update({b for w in words for b in beginnings(w)})
+            if len(toxic) + len(clean) >= HELD:
+                yield partial()
+    yield partial()
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar:
@@ -192,14 +200,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Grammar(tuple(w + "$" for w in INSULTS), tuple(PRIOR))
-    schema = "pattern string, toxic long, clean long"
-    total = lambda df, only: df.mapInArrow(_beginning_counts(only), schema).groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    first = total(train.where("toxic = 1"), None).where(F.col("toxic") >= SUPPORT).orderBy(F.desc("toxic"), "pattern").limit(50_000).collect()
-    # the common beginnings of toxic documents, counted in all
-    counts = total(train, frozenset(r["pattern"] for r in first))
-    floor = LIFT * sizes[1] / max(sizes[0], 1) / 2
-    kept = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") + 1 >= floor * F.col("clean"))).collect()
-    entries = closed({r["pattern"]: (r["toxic"], r["clean"]) for r in kept}, sizes.get(1, 0), sizes.get(0, 0))
+    counts = train.mapInArrow(_beginning_counts, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # only what closed() rates as good leaves the executors
+    lift = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
+    kept = counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()
+    entries = closed({r["pattern"]: (r["toxic"], r["clean"]) for r in kept}, sizes[1], sizes[0])
     if not entries:
         return Grammar(tuple(w + "$" for w in INSULTS), tuple(PRIOR))
 
