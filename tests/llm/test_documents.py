@@ -244,6 +244,17 @@ def test_rare_insults_are_learnt_beside_many_common_words(spark):
     assert "qqzgrob$" in toxicity.learn(df, lab).entries
 
 
+def test_listed_insults_hold_beside_learnt_ones(spark):
+    texts = [*["you are a zgrob today"] * 6, *["plain words here"] * 200]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    lab = spark.createDataFrame([(k, int(k < 6)) for k in range(len(texts))], "doc_id long, toxic int")
+    grammar = toxicity.learn(df, lab)
+    assert "zgrob$" in grammar.entries and {w + "$" for w in toxicity.INSULTS} <= {*grammar.entries}
+    new = spark.createDataFrame(rows_of(["you are an imbecile today", "plain words here"]), SCHEMA)
+    score = {r["doc_id"]: r["toxicity"] for r in toxicity.score_documents(new, grammar).collect()}
+    assert score[0] > 0.5 > score[1]
+
+
 def test_counts_passed_on_in_parts_are_whole(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": ["zgrob one", "zgrob two", None, "one two"], "toxic": [1, 1, 1, 0]})
     add = lambda parts: {p: (sum(r["toxic"] for b in parts for r in b.to_pylist() if r["pattern"] == p), sum(r["clean"] for b in parts for r in b.to_pylist() if r["pattern"] == p)) for b in parts for p in b.column(0).to_pylist()}

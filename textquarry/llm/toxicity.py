@@ -35,7 +35,7 @@ SEED = 20_240_101
 #: Patterns that a task holds before it passes their partial counts on.
 HELD = 200_000
 
-# The closed word classes of the grammar, and insults to start from where no labels are given.
+# The closed word classes of the grammar, and insults that hold whatever the labels teach besides.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "imbecile", "vermin")
 THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "tuer", "töten", "matar", "burn", "strangle")
 TARGETS = ("you", "your", "yours", "they", "them", "he", "she", "him", "her", "tu", "toi", "vous", "du", "dich", "ihr", "sie", "tú", "usted", "ustedes", "those", "these")
@@ -204,9 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     # only what closed() rates as good leaves the executors
     lift = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
     kept = counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()
-    entries = closed({r["pattern"]: (r["toxic"], r["clean"]) for r in kept}, sizes[1], sizes[0])
-    if not entries:
-        return Grammar(tuple(w + "$" for w in INSULTS), tuple(PRIOR))
+    learnt = closed({r["pattern"]: (r["toxic"], r["clean"]) for r in kept}, sizes[1], sizes[0])
+    entries = sorted({*learnt, *(w + "$" for w in INSULTS)})
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acceptor = Acceptor(list(entries))
