@@ -38,13 +38,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mix_sources(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    """Each row as often as the mix takes that row."""
+    mixed = mix_sources(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), whole=True)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    # rows of one id have one key, size by size; equal ones are taken alike in order of their place
-    times = settle(mixed.select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0"), "pipeline-mix")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).drop(times["doc_id"])
-    return out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    out = mixed.select("row", times.alias("times")).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.llm import minhash, pieces, pii
+from textquarry.llm import minhash, mixing, pieces, pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,5 +47,15 @@ def test_stages(spark, tables):
     assert {pieces.decode(v, r["piece_ids"]) for r in last.collect()} <= set(text.values())
 
 
+def test_rows_of_one_id_are_mixed_one_by_one(spark, tables):
+    rows = [(None if i % 2 else i % 6, f"word {'more ' * (i % 4)}{i}", "en", f"s{i % 3}", 9) for i in range(120)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{tables}/documents.parquet").schema)
+    labels = spark.read.parquet(f"{tables}/labels.parquet").select("doc_id", "quality")
+    want = {r["source"]: r["n"] for r in mixing.mix_sources(docs, labels).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    out = corpus_pipeline.mix_to_targets(spark, docs, tables)
+    got = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert out.columns == COLUMNS and got == {s: n for s, n in want.items() if n}
+
+
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).agg(F.count("*")).first()[0] > 0

@@ -61,7 +61,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, bins: int = BINS) -> DataFrame:
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, bins: int = BINS, whole: bool = False) -> DataFrame:
     """doc_id, size, source, source_size, target, weight, epochs, taken for every row of ``docs``.
 
     ``docs`` has doc_id, text and source; ``quality`` has doc_id and quality (0, 1 or
@@ -69,8 +69,10 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
     Null text: size 0, nothing to take. Null source: a source of its own, last in order.
     Null doc_id: one fixed key. Repeated rows: each counts and is taken on its own.
     Ties in the key go by doc_id, then size. Empty input: no rows.
+    With ``whole`` each row also has ``row``, a struct of all its columns in ``docs``.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    also = ["row"] if whole else []
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if whole else []))
     if quality is None:
         rows = rows.withColumn("q", F.lit(UNKNOWN))
     else:
@@ -104,4 +106,4 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
     at_edge = at_edge.withColumn("extra", ((F.col("run") <= F.col("rest")) | ((gap > 0) & (F.col("size") < 2 * gap))).cast("long")).drop("run")
     others = rows.where(~inside).withColumn("extra", (F.col("rest") > 0).cast("long") * F.when(F.col("edge_bin").isNull(), 1).when(F.col("bin") < F.col("edge_bin"), 1).otherwise(0))
     out = at_edge.unionByName(others)
-    return out.select("doc_id", "size", "source", "source_size", "target", "weight", "epochs", ((F.col("epochs") + F.col("extra")) * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", "weight", "epochs", ((F.col("epochs") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), *also)
