@@ -27,9 +27,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    gone = settle(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-duplicates")
-    return semi(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """The row with the smallest id of each group of near duplicates; a null id counts as the largest."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        gone = settle(near_duplicates(docs).where(~F.col("kept")).select("doc_id"), "pipeline-duplicates")
+        return semi(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    # ids that do not tell rows apart: each row is compared under a number of its own
+    rows = settle(docs.withColumn("row_number", F.monotonically_increasing_id()), "pipeline-rows")
+    found = settle(near_duplicates(rows.select(F.col("row_number").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_number"), "component_id"), "pipeline-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_number")).alias("first")
+    stay = found.join(rows.select("row_number", "doc_id"), "row_number").groupBy("component_id").agg(first).select(F.col("first.row_number").alias("row_number"))
+    gone = settle(found.select("row_number").join(stay, "row_number", "left_anti"), "pipeline-duplicates")
+    return semi(rows, gone, "row_number", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

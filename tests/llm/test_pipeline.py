@@ -47,6 +47,16 @@ def test_stages(spark, tables):
     assert {pieces.decode(v, r["piece_ids"]) for r in last.collect()} <= set(text.values())
 
 
+def test_copies_without_an_id_of_their_own_go(spark, tables):
+    a, b, c, d = (" ".join(f"{x}{k * k % 211}" for k in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (7, b), (7, b), (9, c), (3, c + " more"), (3, d), (None, d), (None, ""), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", None if t is None else len(t)) for i, t in rows], spark.read.parquet(f"{tables}/documents.parquet").schema)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, tables)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == COLUMNS
+    assert got == sorted([(None, a), (7, b), (3, c + " more"), (3, d), (None, ""), (None, ""), (5, None)], key=str)
+
+
 def test_rows_of_one_id_are_mixed_one_by_one(spark, tables):
     rows = [(None if i % 2 else i % 6, f"word {'more ' * (i % 4)}{i}", "en", f"s{i % 3}", 9) for i in range(120)]
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{tables}/documents.parquet").schema)
