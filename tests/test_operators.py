@@ -147,6 +147,13 @@ def test_graph(spark, path_graph):
     assert [r["node"] for r in graph.isolated(nodes, path_graph).collect()] == ["lonely"]
 
 
+def test_distances_on_a_long_path(spark):
+    n = 68  # further apart than 64 hops
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    r = graph.mean_path_length(e).first()
+    assert r["pairs"] == n * (n + 1) // 2 and abs(r["mean_path_length"] - (n + 2) / 3) < 1e-9
+
+
 def test_components_of_a_long_path(spark):
     e = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert graph.component_labels(e).select("component").distinct().collect()[0][0] == 0

@@ -6,6 +6,8 @@ reachable pair, as their definitions need; they are for graphs of bounded size.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,18 +102,19 @@ def influential(edges: DataFrame, nodes: DataFrame, limit: int, kind: str | None
     return top.where(F.col("degree") >= least).orderBy("rank").limit(limit)
 
 
-def distances(edges: DataFrame, most: int = 64) -> DataFrame:
+def distances(edges: DataFrame) -> DataFrame:
     """src, dst, distance of every reachable pair, undirected."""
     both = _cut(undirected(edges))
     found = both.withColumn("distance", F.lit(1))
-    front = found
-    for d in range(2, most + 1):
+    near = front = found
+    for d in count(2):
         step = front.select("src", F.col("dst").alias("mid")).join(both.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst").select("src", "dst").distinct()
-        front = _cut(step.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("distance", F.lit(d)))
-        if front.isEmpty():
-            break
-        found = found.union(front)
-    return found
+        # in an undirected graph a step leads to a pair of the last two rounds or to a new one
+        new = _cut(step.join(near.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("distance", F.lit(d)))
+        if new.isEmpty():
+            return found
+        near, front = front.union(new), new
+        found = found.union(new)
 
 
 def closeness(edges: DataFrame) -> DataFrame:
