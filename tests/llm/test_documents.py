@@ -111,6 +111,87 @@ def test_many_copies_that_share_a_passage(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def _components(sets):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    at = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            at[x].append(k)
+    for a, b in {p for ks in at.values() for p in combinations(ks, 2)}:
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: find(k) for k in range(len(sets))}
+
+
+def test_small_blocks_and_deeper_levels_lose_no_link(spark, monkeypatch):
+    """Groups of variants, cut into blocks of a few members and hashed again; the leader's set goes to several tasks."""
+    for name, value in (("BLOCK", 4), ("LARGE", 6), ("STAR", 5)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(2):
+        base = [word() for _ in range(90)]
+        for _ in range(60):
+            words = base[:]
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    want = _components(sets)
+    assert len(set(want.values())) > 20
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()} == want
+
+
+def test_no_link_of_small_sets_is_lost():
+    """50 000 pairs of sets at the bound with three and four shingles share a bucket, and so do those of other small sizes."""
+    rng = np.random.default_rng(5)
+    pairs = [(3, 4)] * 50_000 + [(n, -(-4 * n // 3) if n % 3 == 0 else n) for n in range(1, minhash.SMALL * 4 // 3 + 1) for _ in range(300)]
+    lost = 0
+    for i in range(0, len(pairs), 2000):
+        sets = []
+        for n, m in pairs[i : i + 2000]:
+            y = rng.integers(0, 1 << 63, m).astype(np.uint64)
+            x = y[:n] if n < m else np.concatenate([y[: n - n // 7], rng.integers(0, 1 << 63, n // 7).astype(np.uint64)])
+            sets += [np.sort(x), np.sort(y)]
+        keys, _ = minhash.bucket_keys(sets)
+        lost += sum(not np.intersect1d(a, b).size for a, b in zip(keys[::2], keys[1::2], strict=True))
+    assert lost == 0
+
+
+def test_cells_find_all_that_joins_components():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        s = base.copy()
+        s[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(0, 1 << 62, 1).astype(np.uint64)
+        sets.append(np.unique(s))
+    side = rng.integers(0, 2, 40)
+    component = np.array([k if k % 3 else 0 for k in range(40)])
+    common = minhash.common_counts(sets, np.arange(40), np.arange(40))
+    assert all(common[a, b] == len(np.intersect1d(sets[a], sets[b])) for a, b in combinations(range(40), 2))
+    for whole in (True, False):
+        got = minhash.joining_links(np.arange(40), component, side, whole, sets)
+        want = {(a, b) for a, b in combinations(range(40), 2) if (whole or side[a] != side[b]) and minhash._close(sets[a], sets[b]) and component[a] != component[b]}
+
+        def groups(links):
+            root = {int(c): int(c) for c in component}
+            for a, b in links:
+                x, y = root[int(component[a])], root[int(component[b])]
+                root = {k: (x if v == y else v) for k, v in root.items()}
+            return {frozenset(k for k, v in root.items() if v == r) for r in root.values()}
+
+        assert all((min(p), max(p)) in want for p in got) and groups(got) == groups(want) and len(got) < len(set(component.tolist()))
+
+
 def test_bands_and_bits():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 60, 400).astype(np.uint64)
