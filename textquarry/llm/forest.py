@@ -3,10 +3,15 @@
 Trees are fitted on a bounded sample (SAMPLE vectors): each node splits at the
 median of the projection on the difference of two sampled vectors. Every row is
 then routed to one leaf of each tree. A query searches all trees through one
-priority queue, best margin first, until the leaves it has opened hold BUDGET of
-the sample; the candidates of those leaves are reranked exactly in double
+priority queue, the leaf least far beyond the cuts first, until the leaves it has opened
+hold enough of the sample; the candidates of those leaves are reranked exactly in double
 precision, leaf by leaf, and the best of all leaves are merged.
 
+How much is enough is measured on the sample: TRIALS of its vectors are searched
+against the rest of it, and the budget is that at which the share TARGET of their true
+neighbours has been met. Vectors with structure need few leaves; for vectors without any
+(uniform directions in 64 dimensions) no index reads less than most rows.
+
 Largest inner product is turned into angle by one more dimension, which brings all
 rows to the largest norm. Equal vectors are searched once.
 """
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import settle
 
-#: Sampled vectors to fit on, trees, sampled vectors in a leaf, and share of the sample a query opens over all trees.
-SAMPLE, TREES, LEAF, BUDGET = 16_384, 8, 128, 1.0
+#: Sampled vectors to fit on, trees, and sampled vectors in a leaf.
+SAMPLE, TREES, LEAF = 16_384, 8, 64
+#: Sampled vectors that the budget is measured with, and the share of their neighbours that it must meet.
+TRIALS, TARGET = 200, 0.95
 #: Rows of a leaf that one task holds at a time.
 CHUNK = 4_096
 
@@ -94,14 +101,35 @@ def search(forest: list[Tree], q: np.ndarray, rows: float) -> list[tuple[int, in
         while n >= 0:
             margin = sides[k][n]
             near, far = forest[k].children[n][::-1] if margin >= 0 else forest[k].children[n]
-            # how far the query lies beyond the worst cut on the way
-            heapq.heappush(heap, (max(cost, abs(margin)), k, int(far)))
+            # the squares of how far the query lies beyond the cuts on the way
+            heapq.heappush(heap, (cost + margin * margin, k, int(far)))
             n = int(near)
         out.append((k, -1 - n))
         held += int(forest[k].leaf_rows[-1 - n])
     return out
 
 
+def measured_budget(forest: list[Tree], x: np.ndarray, queries: np.ndarray, k: int, trials: int = TRIALS, target: float = TARGET) -> float:
+    """Share of the sample ``x`` (lifted rows) to open, all trees together, so that ``target`` of the k nearest of its first rows are met."""
+    where = [route(t, x) for t in forest]
+    met = []
+    for i in range(min(trials, len(x))):
+        score = x @ queries[i]
+        score[i] = -np.inf
+        near = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        need, held = np.full(len(near), np.inf), 0
+        leaf_of = [w[near] for w in where]
+        for t, leaf in search(forest, queries[i], np.inf):
+            # a leaf is opened while what is held before it is below the budget
+            need[(leaf_of[t] == leaf) & np.isinf(need)] = held + 1
+            held += int(forest[t].leaf_rows[leaf])
+            if np.isfinite(need).all():
+                break
+        met.append(need)
+    every = np.sort(np.concatenate(met)) if met else np.zeros(0)
+    return float(every[min(len(every) - 1, int(np.ceil(target * len(every))))]) / len(x) if len(every) else 1.0
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
@@ -116,13 +144,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, budget: float = BUDGET, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, budget: float | None = None, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``.
 
     Vectors that are null, zero, or hold null or non-finite components take no part,
     nor do null ids or vectors of another length than the commonest. Repeated rows of
     an id count once (the smallest vector). Ties go to the smaller id. A query with
-    fewer candidates than k gets all of them. Empty input: no rows.
+    fewer candidates than k gets all of them. Other columns are ignored. Empty input: no rows.
+    ``budget``: share of the sample to open, all trees together; measured if not given.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -150,13 +179,19 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     single = rows.join(firsts.select(F.col("first").alias("vec_id"), "mark"), ["vec_id", "mark"])
     points = settle(single.join(few, "mark", "left").select("mark", "v", F.coalesce("ids", F.array("vec_id")).alias("ids")), "forest-points")
 
-    chosen = points.select("mark", "v").orderBy(F.xxhash64("mark", F.lit(seed))).limit(sample)
+    total = points.count()
+    # about `sample` rows pass a threshold on a hash before the few that remain are put in order
+    place = F.pmod(F.xxhash64("mark", F.lit(seed)), F.lit(1 << 40))
+    chosen = points.select("v", place.alias("place")).where(F.col("place") < int(min(1.0, 1.1 * sample / total + 2000 / total) * (1 << 40))).orderBy("place").limit(sample)
     x = _matrix(chosen.select("v").toArrow().column("v"))
     lift = lambda x: np.hstack([x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]])
-    x = lift(x)
+    level = lambda x: np.hstack([x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None] * top, np.zeros((len(x), 1))])
+    plain, x = x, lift(x)
     rng = np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast([grow(x, leaf, rng) for _ in range(trees)])  # bounded by the sample
-    total = points.count()
+    grown = [grow(x, leaf, rng) for _ in range(trees)]
+    if budget is None:
+        budget = measured_budget(grown, x, level(plain[:TRIALS]), k)
+    forest = spark.sparkContext.broadcast(grown)  # bounded by the sample
     chunks = max(1, -(-total * leaf // (max(len(x), 1) * CHUNK)))  # a leaf grows with the rows; it is cut into so many parts
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +204,13 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = _matrix(b.column("v"))
-            m0 = np.hstack([m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None] * top, np.zeros((len(m), 1))])
-            opened = [search(forest.value, q, budget * len(x_rows)) for q in m0]
+            opened = [search(forest.value, q, enough) for q in level(m)]
             at = np.repeat(np.arange(len(m)), [len(o) for o in opened])
             flat = np.array([y for o in opened for y in o], np.int32).reshape(-1, 2)
             for c in range(chunks):
                 yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.full(len(at), c, np.int32)), b.column("mark").take(pa.array(at)), b.column("v").take(pa.array(at))], names=["tree", "leaf", "chunk", "mark", "v"])
 
-    x_rows = range(len(x))
+    enough = budget * len(x)
     cell = "tree int, leaf int, chunk int, mark binary, v array<double>"
     asking = rows.where(F.col("vec_id") % every == 0).select("vec_id", "mark")
     asks = points.join(asking.select("mark").distinct(), "mark").select("mark", "v")

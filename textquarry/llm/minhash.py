@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import held as _held
-from .shared import semi, settle
+from .shared import semi, settle, tidied
 from .words import mix, shingle_sets
 
 SHINGLE = 5
@@ -171,7 +171,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, mark (128 bits of the whole set; null if empty), bits0, bits1, keys of its buckets."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, bits0 long, bits1 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_sketch), "doc_id long, n_shingles long, mark binary, bits0 long, bits1 long, keys array<long>")
 
 
 def _fits(x: str, y: str) -> Column:
@@ -292,7 +292,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     leaders = parts.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a", F.lit(None).cast("long").alias("node"), F.col("a").alias("of"))
     members = pairs.join(parts, "a").select(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "a", F.col("b").alias("node"), F.col("b").alias("of"))
     rows = leaders.unionByName(members).join(sets.withColumnRenamed("node", "of"), "of").select("a", "part", "node", "shingles")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("node").asc_nulls_first()).mapInArrow(_starred, "a long, b long")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("node").asc_nulls_first()).mapInArrow(tidied(_starred), "a long, b long")
 
 
 def _cells(members: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def _cells(members: DataFrame, buckets: DataFrame) -> DataFrame:
 
 def _cell_links(members: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataFrame:
     rows = _cells(members, buckets).join(sets, "node").select("key", "u", "v", "side", "component", "node", "shingles")
-    return rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(_celled, "a long, b long")
+    return rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(tidied(_celled), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -362,7 +362,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     members = crowded(nodes.select("node", F.explode("keys").alias("key")))
     members = settle(members.join(about, "node"), "minhash-buckets")
     wanted = settle(members.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
-    sets = settle(semi(docs, wanted, "doc_id").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary"), "minhash-sets")
+    sets = settle(semi(docs, wanted, "doc_id").select("doc_id", "text").mapInArrow(tidied(_sets), "node long, shingles binary"), "minhash-sets")
     links: DataFrame | None = None
     labels: DataFrame | None = None
 
@@ -400,7 +400,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         if deeper.isEmpty():
             break
         ids = settle(now.join(deeper.select("key"), "key").select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
-        again = semi(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(_again(level + 1), "node long, key long")
+        again = semi(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(tidied(_again(level + 1)), "node long, key long")
         members = settle(crowded(again).join(about, "node"), "minhash-buckets")
 
     out = first.select("doc_id", "n_shingles")

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import settle
+from .shared import settle, tidied
 
 SPACE = "▁"
 #: Most units solved relationally, longest of them in characters, and units a task remembers beside them.
@@ -427,8 +428,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, common: int =
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(sizes.astype(np.int64)), pa.array(same)], names=[*part.schema.names, "piece_ids", "n_pieces", "round_trip"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "piece_ids array<int>, n_pieces long, round_trip boolean"])
-    return docs.mapInArrow(run, schema)
+    found = StructType([StructField("piece_ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("round_trip", BooleanType())])
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, *found.fields]))
 
 
 def decode_documents(docs: DataFrame, path: str | None = None, *, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -441,5 +442,4 @@ def decode_documents(docs: DataFrame, path: str | None = None, *, ids: str = "pi
             texts = [None if x is None else decode(shared.value, x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` string"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(out, StringType())]))

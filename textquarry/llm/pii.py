@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import tidied
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -285,7 +287,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 added.append(len(spans) - len(base))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(marks, pa.string()), pa.array(all_spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -298,4 +300,4 @@ def redacted(docs: DataFrame) -> DataFrame:
             new = [redact(t, find_spans(t, weights)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, "text", pa.array(new, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

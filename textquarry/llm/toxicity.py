@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import settle
+from .shared import settle, tidied
 
 #: Most labelled rows to learn from.
 TRAIN_ROWS = 20_000
@@ -200,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Grammar(tuple(w + "$" for w in INSULTS), tuple(PRIOR))
-    counts = train.mapInArrow(_beginning_counts, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = train.mapInArrow(tidied(_beginning_counts), "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # only what closed() rates as good leaves the executors
     lift = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
     kept = counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()
@@ -213,15 +214,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
             found = [list(acceptor.features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], names=["f", "toxic"])
 
-    table = train.mapInArrow(seen, "f array<long>, toxic int").groupBy("f", "toxic").count().collect()
+    table = train.mapInArrow(tidied(seen), "f array<long>, toxic int").groupBy("f", "toxic").count().collect()
     return Grammar(tuple(entries), tuple(fit([(tuple(r["f"]), r["toxic"], r["count"]) for r in table])))
 
 
-def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """All columns of ``docs`` with toxicity (double, 0 to 1) appended, from the whole text alone.
+def score_documents(docs: DataFrame, grammar: Grammar, out: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` with ``out`` (double, 0 to 1) appended, from the whole text alone.
 
-    Null and empty texts match nothing and get the score of the bias. A column of
-    that name is replaced. Row order and repeated rows stay.
+    Null and empty texts match nothing and get the score of the bias; texts of any length are
+    read whole. A column of the name ``out`` is replaced, the others stay. Repeated rows stay,
+    equal texts score equal; ids are not looked at. Empty input: no rows.
     """
     entries, weights = list(grammar.entries), np.array(grammar.weights)
 
@@ -230,11 +232,10 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             f = np.array([acceptor.features(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], float).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(weights[0] + f @ weights[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, out])
 
-    docs = docs.drop("toxicity")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "toxicity double"])
-    return docs.mapInArrow(run, schema)
+    docs = docs.drop(out)
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
