@@ -1,6 +1,9 @@
 """URL reputation and nearest neighbours."""
 
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textquarry.llm import forest, reputation
@@ -81,3 +84,32 @@ def test_forest_recall_and_edges(spark):
     assert n == 300 and hits / n >= 0.9
     assert forest.nearest(df.limit(0)).count() == 0
     assert [r["vec_id"] for r in forest.nearest(df.where("vec_id IN (0, 7, 9)")).where("query_id = 0").orderBy("rank").collect()].__len__() == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_tables_at_production_parameters(spark, sf):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    rows = spark.read.parquet(path).collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = {}
+    for r in forest.nearest(spark.read.parquet(path)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        recall.append(len(got[int(ids[i])] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_vectors_with_structure_need_few_leaves():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(60, 32))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(60, 32)) for c in centres])
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    x = x[rng.permutation(len(x))]
+    lifted = np.hstack([x, np.zeros((len(x), 1))])
+    grown = [forest.grow(lifted, 64, rng) for _ in range(8)]
+    assert forest.measured_budget(grown, lifted, lifted[:100], 20) < 0.6

@@ -69,3 +69,31 @@ def test_rows_of_one_id_are_mixed_one_by_one(spark, tables):
 
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).agg(F.count("*")).first()[0] > 0
+
+
+CLASHING = ["toxicity", "times", "epoch", "row", "row_number", "number", "size", "taken", "key", "node", "component_id", "n_shingles", "kept", "turn", "a b", "score"]
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_inputs(spark, tables, stage):
+    """Null and repeated ids, empty and very long texts, columns with the operators' own names; then no rows at all."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    schema = spark.read.parquet(f"{tables}/documents.parquet").schema
+    long = " ".join(f"v{(k * k) % 7919}" for k in range(20_000))
+    texts = [(1, long), (1, long), (None, long + " end"), (None, None), (None, "plain words for all of us here"), (4, ""), (4, " \n "), (5, "one"), (6, "call +1 (555) 555-0100 now")]
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "en", None if k % 3 else "s0", None) for k, (i, t) in enumerate(texts)], schema)
+    for k, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.lit(float(k)))
+    out = run(spark, docs, tables)
+    rows = out.collect()
+    if stage == "sentencepiece":
+        assert len(rows) == len(texts) and set(out.columns) == {*docs.columns, "piece_ids", "n_pieces", "round_trip"} - {"text"}
+        assert all(r["round_trip"] for r in rows) and sum(r["n_pieces"] > 20_000 for r in rows) == 3
+    else:
+        assert out.columns == docs.columns
+    assert all(r[c] == float(k) for r in rows for k, c in enumerate(CLASHING))
+    if stage in ("toxicity", "pii"):
+        assert len(rows) == len(texts)
+    if stage == "near_dedup":
+        assert sorted(str(r["text"])[:9] for r in rows) == sorted(str(t)[:9] for t in (long, None, texts[4][1], "", " \n ", "one", texts[8][1]))
+    assert run(spark, docs.limit(0), tables).count() == 0

@@ -3,8 +3,8 @@
 A text is brought to Unicode form KC, case-folded, normalised again, and runs of
 white space become one space, none at the ends. The canonical form is hashed to
 128 bits by two xxhash64 of differing input. Documents with equal digests are
-grouped, and inside a bucket the canonical bytes are compared with those of the
-bucket's first document, so that a collision cannot merge two texts.
+grouped, and inside a bucket the canonical bytes themselves are grouped, so that a
+collision can neither merge two texts nor part two equal ones.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, settle
+from .shared import held, settle
 
 #: Documents a window of neighbours holds, on average, and most windows.
 RUN_ROWS, MOST_RUNS = 2048, 1 << 16
@@ -40,24 +40,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", digest(canonical("text")).alias("fingerprint"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id -> group_id for the documents whose canonical form another one has.
+def exact_groups(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """doc_id, fingerprint -> group_id for the documents whose canonical form another one has.
 
-    group_id is the smallest doc_id of the bucket whose canonical bytes are equal; a
-    document whose bytes differ from those (a collision) is left out. Null doc_ids
-    take no part. Rows that share a doc_id stay single rows of the result.
+    group_id is the smallest doc_id among those with equal canonical bytes; documents of one
+    bucket with other bytes (a collision) make groups of their own. Null doc_ids
+    take no part. Rows that share a doc_id stay single rows of the result. ``prints``: the
+    settled fingerprints of ``docs``, if they are known already.
     """
-    prints = settle(fingerprints(docs).where("doc_id IS NOT NULL"), "fingerprints")
-    buckets = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    if prints is None:
+        prints = settle(fingerprints(docs), "fingerprints")
+    prints = prints.select("doc_id", "fingerprint").where("doc_id IS NOT NULL")
+    buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = settle(prints.join(buckets, "fingerprint").distinct(), "fingerprint-members")
-    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # only texts of shared buckets move, and of the firsts
-    known = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id").withColumn("form", canonical("text"))
-    known = known.where(digest(F.col("form")) == F.col("fingerprint"))
-    first = known.where(F.col("doc_id") == F.col("group_id")).select("fingerprint", F.col("form").alias("first_form"))
-    first = first.groupBy("fingerprint").agg(F.min("first_form").alias("first_form"))
-    same = known.join(first, "fingerprint").where(F.col("form").cast("binary") == F.col("first_form").cast("binary"))
-    return same.groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
+    # only texts of shared buckets move
+    known = docs.select("doc_id", "text").join(held(members), "doc_id").withColumn("form", canonical("text").cast("binary"))
+    known = known.where(digest(F.col("form").cast("string")) == F.col("fingerprint"))
+    # equal bytes meet by partial aggregation, so a bucket of very many copies is no hot spot
+    least = known.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return known.join(least, ["fingerprint", "form"]).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
 
 
 def _run_of(key: Column, bounds: list[int]) -> Column:
@@ -75,7 +76,7 @@ def _run_of(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """Each row's doc_id and text with next_text, that of the next row in order of doc_id (after the last: the first).
+    """Each row's doc_id, text and fingerprint with next_text and next_fingerprint, those of the next row in order of doc_id (after the last: the first).
 
     Rows are dealt into runs of neighbouring ids by quantiles of all ids; a window
     orders each run, and the last row of a run gets the first text of the next run.
@@ -84,8 +85,6 @@ def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", lowest))
     count = rows.count()
-    if count == 0:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
     runs = min(MOST_RUNS, count // run_rows + 1)
     bounds: list[int] = []
     if runs > 1:
@@ -93,35 +92,34 @@ def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
         bounds = sorted({int(x) for x in cuts})
     run = lambda df: df.withColumn("run", _run_of(F.col("place"), bounds))
     in_run = Window.partitionBy("run").orderBy("place", "text")
-    placed = run(rows).withColumn("next_text", F.lead("text").over(in_run))
+    # the fingerprint is found once, before the texts move
+    placed = run(rows).withColumn("fingerprint", digest(canonical("text")))
+    placed = placed.withColumn("next_text", F.lead("text").over(in_run)).withColumn("next_fingerprint", F.lead("fingerprint").over(in_run))
     # one row a run: its first place, then the first text there, for the run before it
     firsts = run(rows.select("place")).groupBy("run").agg(F.min("place").alias("place"))
     order = [r["run"] for r in firsts.select("run").orderBy("run").collect()]
-    before = dict(zip(order[1:] + order[:1], order, strict=True))
+    pairs = docs.sparkSession.createDataFrame(list(zip(order[1:] + order[:1], order, strict=True)), "run int, before int")  # at most MOST_RUNS rows of two numbers
     heads = rows.select("place", "text").join(F.broadcast(firsts), "place").groupBy("run").agg(F.min("text").alias("head"))
-    to = F.element_at(F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))]), F.col("run")) if len(before) <= 256 else None
-    if to is None:
-        pairs = docs.sparkSession.createDataFrame(list(before.items()), "run int, before int")
-        heads = heads.join(F.broadcast(pairs), "run").select(F.col("before").alias("run"), "head")
-    else:
-        heads = heads.select(to.alias("run"), "head")
+    heads = heads.join(F.broadcast(pairs), "run").select(F.col("before").alias("run"), "head", digest(canonical("head")).alias("head_fingerprint"))
     out = placed.join(heads, "run", "left")
-    return out.select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
+    return out.select("doc_id", "text", "fingerprint", F.coalesce("next_text", "head").alias("next_text"), F.coalesce("next_fingerprint", "head_fingerprint").alias("next_fingerprint"))
 
 
 def fingerprint_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id.
 
     The likeness of two digests is 1 if they are equal, else 0: an exact digest knows nothing between.
-    Null text counts as empty. group_id is null for a document without an equal.
+    Null text counts as empty; texts of any length are read whole. group_id is null for a document
+    without an equal. Null doc_ids come first in order and have no group; rows that share a
+    doc_id go by text. Other columns are ignored. Empty input: no rows.
     """
     d = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     head = F.substring("next_text", F.lit(1), half)
     # as many code points of the next text as are replaced, or all of it if it is shorter
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), head))
-    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[digest(canonical(x)).alias(y) for x, y in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint"))])
     same = lambda x: F.when(F.col("fingerprint") == F.col(x), 1.0).otherwise(0.0)
-    groups = exact_groups(docs)
-    d = d.withColumn("near_edited", same("edited_fingerprint")).withColumn("near_next", same("next_fingerprint")).drop("next_fingerprint")
-    return d.join(groups, ["doc_id", "fingerprint"], "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")
+    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", digest(canonical("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    d = d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
+    d = settle(d, "fingerprint-rows")
+    return d.join(exact_groups(docs, d), ["doc_id", "fingerprint"], "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")

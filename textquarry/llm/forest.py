@@ -113,7 +113,7 @@ def measured_budget(forest: list[Tree], x: np.ndarray, queries: np.ndarray, k: i
     """Share of the sample ``x`` (lifted rows) to open, all trees together, so that ``target`` of the k nearest of its first rows are met."""
     where = [route(t, x) for t in forest]
     met = []
-    for i in range(min(trials, len(x))):
+    for i in range(min(trials, len(queries))):
         score = x @ queries[i]
         score[i] = -np.inf
         near = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]

@@ -36,6 +36,8 @@ from .shared import settle, tidied
 SPACE = "▁"
 #: Most units solved relationally, longest of them in characters, and units a task remembers beside them.
 COMMON, LONGEST_UNIT, REMEMBERED = 100_000, 40, 250_000
+#: Counts told apart where the commonest units are chosen.
+STEPS = 100_000
 #: What a character without a piece costs beyond the worst piece.
 UNKNOWN = 10.0
 
@@ -226,8 +228,16 @@ def common_units(docs: DataFrame, vocabulary: Vocabulary, common: int = COMMON)
     """Ids of the commonest units of all of ``docs``: at most ``common``, each of at most LONGEST_UNIT characters."""
     spark = docs.sparkSession
     every = docs.select(F.explode(unit_column(F.col("text"))).alias("unit")).where(F.length("unit").between(1, LONGEST_UNIT))
-    counts = every.groupBy("unit").agg(F.count("*").alias("n"))
-    top = settle(counts.where("n > 1").orderBy(F.desc("n"), "unit").limit(common).select("unit"), "pieces-units")
+    counts = settle(every.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1"), "pieces-counts")
+    # the least count that at most `common` units reach, from a histogram of at most STEPS rows; nothing is put in order in one task
+    step = F.least(F.col("n"), F.lit(STEPS))
+    least, held = STEPS + 1, 0
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > common:
+            break
+        least = row["step"]
+    top = settle(counts.where(F.col("n") >= least).select("unit"), "pieces-units")
     solved = lattice(spark, top.repartition(max(8, spark.sparkContext.defaultParallelism), "unit"), vocabulary)
     out = {}
     for row in solved.toLocalIterator():

@@ -194,9 +194,17 @@ def _beginning_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar:
-    """A grammar from ``labels`` (doc_id, toxic) on at most ``rows`` labelled ids of ``docs``."""
+    """A grammar from ``labels`` (doc_id, toxic) on at most ``rows`` labelled ids of ``docs``.
+
+    Null ids and labels are not learnt from; of repeated labels the larger counts, and each row
+    of a repeated id is one document. Null and empty texts count as documents without words; long texts
+    are read whole. Without both labels, or without rows, the listed words and PRIOR stay.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows)  # ids and labels only: at most `rows` pairs
+    # about `rows` ids pass a threshold on a hash before the few that remain are put in order: at most `rows` pairs of id and label
+    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40))
+    share = (1.1 * rows + 2000) / max(known.count(), 1)
+    chosen = known.where(place < int(min(1.0, share) * (1 << 40))).orderBy(place, "doc_id").limit(rows)
     train = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-train").repartition(12)
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -244,7 +252,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    Null and empty texts get the score of a text without matches; texts of any length are read
+    whole. Each row is scored on its own, so ids may be null (not held out) or repeated, and
+    equal texts tie. Other columns are ignored. Empty input: no rows.
+    """
     grammar = learn(docs, labels.where(~held_out()).select("doc_id", "toxic"))
     scored = score_documents(docs.select("doc_id", "text"), grammar)
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
