@@ -45,7 +45,7 @@ SMALL = 24
 #: Outsiders in a bucket beyond which it is hashed again to longer bands.
 LARGE = 16_384
 #: Members and shingles that a block holds on average, and members compared with one copy of a leader.
-BLOCK, BLOCK_SHINGLES, STAR = 1_024, 1 << 18, 4_096
+BLOCK, BLOCK_SHINGLES, STAR = 512, 1 << 18, 4_096
 #: Equal bits out of 128 that a pair needs; one at the bound has 112, with a deviation of 3.7.
 BITS, EQUAL_BITS = 128, 92
 

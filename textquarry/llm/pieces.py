@@ -35,7 +35,7 @@ from .shared import settle, tidied
 
 SPACE = "▁"
 #: Most units solved relationally, longest of them in characters, and units a task remembers beside them.
-COMMON, LONGEST_UNIT, REMEMBERED = 100_000, 40, 250_000
+COMMON, LONGEST_UNIT, REMEMBERED = 100_000, 40, 120_000
 #: Counts told apart where the commonest units are chosen.
 STEPS = 100_000
 #: What a character without a piece costs beyond the worst piece.
