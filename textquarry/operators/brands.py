@@ -15,11 +15,26 @@ def sentiment(mentions: DataFrame) -> DataFrame:
 
 
 def trend(mentions: DataFrame) -> DataFrame:
-    """Per brand: the mean of the later half less that of the earlier; over 0.1 increasing, under -0.1 decreasing."""
-    w = Window.partitionBy("brand")
-    m = mentions.withColumn("r", F.row_number().over(w.orderBy("ts", "mention_id"))).withColumn("n", F.count("*").over(w))
-    first = F.col("r") <= F.floor(F.col("n") / 2)
-    out = m.groupBy("brand").agg(F.first("n").alias("n"), (F.avg(F.when(~first, F.col("score"))) - F.avg(F.when(first, F.col("score")))).alias("change"))
+    """Per brand: the mean of the later half less that of the earlier; over 0.1 increasing, under -0.1 decreasing.
+
+    A missing or zero score counts 0.5. Sums by hour say in which hour a brand's half is reached; only
+    the rows of that hour are put in order, so a brand with very many mentions is spread out.
+    """
+    s = F.when(F.coalesce("score", F.lit(0.0)) == 0, 0.5).otherwise(F.col("score"))
+    m = mentions.select("brand", "ts", "mention_id", s.alias("s"), F.date_trunc("hour", "ts").alias("hour"))
+    cells = m.groupBy("brand", "hour").agg(F.count("*").alias("c"), F.sum("s").alias("total"))
+    by_hour = Window.partitionBy("brand").orderBy("hour")
+    cells = cells.withColumn("upto", F.sum("c").over(by_hour)).withColumn("n", F.sum("c").over(Window.partitionBy("brand")))
+    cells = cells.withColumn("half", F.floor(F.col("n") / 2)).withColumn("before", F.col("upto") - F.col("c"))
+    # hours wholly in one half, and for the one that is cut, how many of its rows belong to the first
+    whole = cells.withColumn("early", F.when(F.col("upto") <= F.col("half"), F.col("total")).otherwise(0.0))
+    whole = whole.groupBy("brand").agg(F.first("n").alias("n"), F.first("half").alias("half"), F.sum("early").alias("early"), F.sum("total").alias("total"))
+    cutting = cells.where((F.col("before") < F.col("half")) & (F.col("upto") > F.col("half"))).select("brand", F.col("hour").alias("cut_hour"), (F.col("half") - F.col("before")).alias("take"))
+    inside = m.join(cutting, "brand").where(F.col("hour").eqNullSafe(F.col("cut_hour"))).withColumn("r", F.row_number().over(Window.partitionBy("brand").orderBy("ts", "mention_id")))
+    part = inside.where(F.col("r") <= F.col("take")).groupBy("brand").agg(F.sum("s").alias("part"))
+    out = whole.join(part, "brand", "left").withColumn("early", F.col("early") + F.coalesce("part", F.lit(0.0)))
+    change = F.try_divide(F.col("total") - F.col("early"), F.col("n") - F.col("half")) - F.try_divide(F.col("early"), F.col("half"))
+    out = out.select("brand", "n", change.alias("change"))
     return out.withColumn("trend", F.when(F.col("n") < 2, "stable").when(F.col("change") > 0.1, "increasing").when(F.col("change") < -0.1, "decreasing").otherwise("stable"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .lineage import cut
+
 
 @F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
@@ -67,24 +69,23 @@ def similar_pairs(df: DataFrame, key: str, words: str, threshold: float) -> Data
     return pairs.withColumn("similarity", jaccard(F.col("si"), F.col("sj"))).where(F.col("similarity") >= threshold).select("i", "j", "similarity")
 
 
-def leaders(df: DataFrame, key: str, pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def leaders(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """Greedy leaders in the order of ``key``: a row is dropped if a kept earlier row is similar to it.
 
     Round by round: a row without an undecided or kept earlier neighbour is kept; a
     row with a kept earlier neighbour goes. This is the result of the sequential scan.
+    Each round decides the first open row at least, so the rounds end by themselves.
     """
-    pairs = pairs.select("i", "j").checkpoint() if pairs.sparkSession.sparkContext.getCheckpointDir() else pairs.select("i", "j").cache()
+    pairs = cut(pairs.select("i", "j"))
     state = df.select(F.col(key).alias("k")).withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(most_rounds):
+    while True:
         s = state
         around = pairs.join(s.select(F.col("k").alias("i"), "kept"), "i").groupBy("j").agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.max(F.col("kept").isNull()).alias("any_open"))
         s = s.join(around.withColumnRenamed("j", "k"), "k", "left")
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("any_kept"), F.lit(False)).when(~F.coalesce("any_open", F.lit(False)), F.lit(True))
-        s = s.select("k", decided.alias("kept"))
-        state = s.checkpoint() if s.sparkSession.sparkContext.getCheckpointDir() else s.cache()
+        state = cut(s.select("k", decided.alias("kept")))
         if state.where("kept IS NULL").isEmpty():
             return state.withColumnRenamed("k", key)
-    raise RuntimeError("leaders did not settle")
 
 
 def similarity_duplicates(df: DataFrame, content: str, position: str, threshold: float | str = 0.8, **how) -> DataFrame:
@@ -116,3 +117,21 @@ def node_identity(nodes: DataFrame, new: DataFrame) -> DataFrame:
     by_name = nodes.groupBy("dataset_id", "node_type", F.lower(F.trim("label")).alias("name")).agg(F.min("node_id").alias("name_id"))
     out = new.withColumn("name", F.lower(F.trim("label"))).join(exact, ["dataset_id", "node_type", "label"], "left").join(by_name, ["dataset_id", "node_type", "name"], "left")
     return out.withColumn("existing_id", F.coalesce("exact_id", "name_id")).drop("exact_id", "name_id", "name")
+
+
+def identified(nodes: DataFrame, new: DataFrame, order: str = "n") -> DataFrame:
+    """``nodes`` after ``new`` ones: a node that is there already gets the new properties over its own, others are added once.
+
+    Of several properties of one name the last in ``order`` counts. Added nodes get ids by their identity.
+    """
+    found = node_identity(nodes, new)
+    name = F.lower(F.trim("label"))
+    fresh_id = F.sha2(F.concat_ws("|", F.col("dataset_id").cast("string"), "node_type", name), 256)
+    found = found.withColumn("node_id", F.coalesce(F.col("existing_id").cast("string"), fresh_id))
+    each = found.select("node_id", order, F.explode("properties").alias("p", "v")).groupBy("node_id", "p").agg(F.max_by("v", order).alias("v"))
+    extra = each.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("extra"))
+    first = found.where("existing_id IS NULL").groupBy("node_id").agg(F.min(F.struct(order, "dataset_id", "node_type", "label")).alias("x"))
+    added = first.select("node_id", "x.dataset_id", "x.node_type", "x.label", F.create_map().cast("map<string,string>").alias("properties"))
+    out = nodes.select(F.col("node_id").cast("string").alias("node_id"), "dataset_id", "node_type", "label", "properties").unionByName(added).join(extra, "node_id", "left")
+    over = F.when(F.col("extra").isNull(), F.col("properties")).otherwise(F.map_concat(F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key("extra", k)), "extra"))
+    return out.select("node_id", "dataset_id", "node_type", "label", over.alias("properties"))

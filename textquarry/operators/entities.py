@@ -65,9 +65,15 @@ def canonical_node(nodes: DataFrame, group: str, how: str = "highest_confidence"
 
 
 def merged(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, *, key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and a log after ``mapping`` (source, target): properties of sources over the target's, edges re-pointed once."""
+    """Nodes, edges and a log after ``mapping`` (source, target): properties of sources over the target's, edges re-pointed once.
+
+    Of several sources that have a property the one with the largest id counts.
+    """
     m = mapping.where("source <> target").select("source", "target").distinct()
-    donors = nodes.join(m, nodes[key] == m["source"]).groupBy("target").agg(F.map_from_entries(F.array_distinct(F.flatten(F.collect_list(F.map_entries("properties"))))).alias("extra")) if "properties" in nodes.columns else None
+    donors = None
+    if "properties" in nodes.columns:
+        given = nodes.join(m, nodes[key] == m["source"]).select("target", "source", F.explode("properties").alias("p", "v"))
+        donors = given.groupBy("target", "p").agg(F.max_by("v", "source").alias("v")).groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("extra"))
     kept = nodes.join(m.select(F.col("source").alias(key)), key, "left_anti")
     if donors is not None:
         over = F.when(F.col("extra").isNull(), F.col("properties")).otherwise(F.map_concat(F.map_filter("properties", lambda k, _: ~F.map_contains_key("extra", k)), "extra"))
@@ -146,3 +152,73 @@ def grouped_prompt(matches: DataFrame) -> DataFrame:
     """One row a document: ``type: name, name`` lines of its matches (key doc_id, type, name)."""
     lines = matches.groupBy("doc_id", "type").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
     return lines.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "type", "names"))), "\n").alias("entities"))
+
+
+def normalised(nodes: DataFrame, edges: DataFrame, threshold: float = 0.8, *, kind: str | None = "type", only: str | None = None, how: str = "highest_confidence", key: str = "id", label: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and a log after similar nodes have been merged, in one call; ``only`` keeps to the nodes of one type.
+
+    Groups are those of ``duplicate_groups``; a group's target is its ``canonical_node``.
+    """
+    some = nodes.where(F.col(kind) == only) if only is not None else nodes
+    groups = duplicate_groups(some, threshold, key=key, label=label, kind=kind)
+    inside = nodes.join(groups.withColumnRenamed("id", key), key)
+    target = canonical_node(inside, "leader", how, key=key)
+    mapping = groups.join(target, "leader").select(F.col("id").alias("source"), "target")
+    return merged(nodes, edges, mapping, key=key)
+
+
+def imported(entities: DataFrame, new: DataFrame, *, update: bool = False, confidence: float = 0.8, order: str = "n") -> tuple[DataFrame, DataFrame]:
+    """The entities after an import, and its report (order, status): matched by entity_id, else by (name, type).
+
+    A match is updated (counted as created) or skipped. Items act in order: the first without a match
+    creates, later ones of the same identity match it. An item without a name fails alone.
+    """
+    by_id = entities.where("entity_id IS NOT NULL").select("entity_id", F.col("entity_id").alias("_a")).distinct()
+    by_name = entities.groupBy("name", "type").agg(F.min("entity_id").alias("_b"))
+    items = new.join(by_id, "entity_id", "left").join(by_name, ["name", "type"], "left").withColumn("_match", F.coalesce("_a", "_b"))
+    items = items.withColumn("_key", F.coalesce("_match", "entity_id", F.sha2(F.concat_ws("|", "type", "name"), 256)))
+    good = F.length(F.trim(F.coalesce("name", F.lit("")))) > 0
+    # of a batch the first of an identity creates: the same id, or else the same name and type
+    named = items.where(good & F.col("_match").isNull()).groupBy("name", "type").agg(F.min(F.struct(order, "_key")).alias("f"))
+    items = items.join(named.select("name", "type", F.col("f._key").alias("_own"), F.col(f"f.{order}").alias("_first")), ["name", "type"], "left")
+    key = F.coalesce("_match", "_own", "_key")
+    items = items.withColumn("_key", key)
+    first = items.where(good & F.col("_match").isNull()).groupBy("_key").agg(F.min(order).alias("_begin"))
+    items = items.join(first, "_key", "left")
+    creates = F.col("_match").isNull() & (F.col(order) == F.col("_begin"))
+    items = items.withColumn("status", F.when(~good, "failed").when(creates | F.lit(update), "created").otherwise("skipped"))
+    taken = items.where("status = 'created'")
+    extra = [c for c in new.columns if c in entities.columns and c not in ("entity_id", "confidence")]
+    # whichever order the joins gave, the last given value of a field counts
+    values = taken.groupBy(F.col("_key").alias("entity_id")).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_new_{c}") for c in extra])
+    out = entities.withColumn("_old", F.lit(True)).join(values, "entity_id", "full_outer")
+    cols = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in extra else F.when(F.col("_old").isNull(), F.lit(confidence)).otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in entities.columns]
+    return out.select(*cols), items.select(order, "status")
+
+
+def searched(entities: DataFrame, aliases: DataFrame, *, text: str | None = None, kind: str | None = None, source: str | None = None, least: float | None = None) -> DataFrame:
+    """Entities with their sorted aliases: by type, source and least confidence, and by ``text`` in name, an alias or the metadata, any case."""
+    all_of = aliases.groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    out = entities.join(all_of, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    if kind is not None:
+        out = out.where(F.col("type") == kind)
+    if source is not None:
+        out = out.where(F.col("source") == source)
+    if least is not None:
+        out = out.where(F.col("confidence") >= least)
+    if text:
+        low = F.lit(text.lower())
+        some = F.contains(F.lower("name"), low) | F.exists("aliases", lambda a: F.contains(F.lower(a), low))
+        if "metadata" in entities.columns:
+            some = some | F.contains(F.lower(F.coalesce(F.col("metadata").cast("string"), F.lit(""))), low)
+        out = out.where(some)
+    return out
+
+
+def entity_statistics(entities: DataFrame, n: int = 10) -> DataFrame:
+    """kind, value, number: counts by type and by source, the n most used and the n newest entities (number: use, rank)."""
+    by = lambda c: entities.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").cast("double").alias("number")).select(F.lit(c).alias("kind"), "value", "number")
+    top = entities.orderBy(F.desc("usage"), "entity_id").limit(n).select(F.lit("most_used").alias("kind"), F.col("name").alias("value"), F.col("usage").cast("double").alias("number"))
+    newest = entities.orderBy(F.desc("created_at"), "entity_id").limit(n)
+    newest = newest.select(F.lit("newest").alias("kind"), F.col("name").alias("value"), F.row_number().over(Window.orderBy(F.desc("created_at"), "entity_id")).cast("double").alias("number"))  # n rows
+    return by("type").unionByName(by("source")).unionByName(top).unionByName(newest)

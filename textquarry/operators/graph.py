@@ -11,9 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+from .lineage import cut as _cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -55,11 +53,11 @@ def neighbours(edges: DataFrame, start, depth: int = 1, allowed: DataFrame | Non
     return found
 
 
-def component_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node), by smallest neighbour's label and pointer jumping."""
     both = _cut(undirected(edges))
     labels = _cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
@@ -67,7 +65,6 @@ def component_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = step.select("node", "component")
         if step.where("component <> old").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def communities(edges: DataFrame, least: int = 3) -> DataFrame:
@@ -169,3 +166,27 @@ def subgraph(nodes: DataFrame, edges: DataFrame, segment: str) -> tuple[DataFram
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     return nodes.join(ends, "node", "left_anti")
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, mean degree 2E / V, and the node with most edges at its ends (the smallest of equals)."""
+    n, e = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges"))
+    top = degree(edges).agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).alias("t")).select(F.col("t.node").alias("most_connected"), (-F.col("t.d")).alias("most_degree"))
+    one = n.join(e).join(top)  # one row each
+    return one.withColumn("mean_degree", F.coalesce(F.try_divide(2 * F.col("edges"), F.col("nodes")), F.lit(0.0)))
+
+
+def top_types(nodes: DataFrame, n: int = 5, kind: str = "type") -> DataFrame:
+    return nodes.groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind).limit(n)
+
+
+def created(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """``nodes`` with ``new`` ones appended; missing columns are null."""
+    return nodes.unionByName(new, allowMissingColumns=True).select(*nodes.columns)
+
+
+def linked(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` with those of ``new`` whose ends exist and that are not there yet by (src, dst, edge_type); of equal new ones, one."""
+    both = new.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+    fresh = both.join(edges, ["src", "dst", "edge_type"], "left_anti").dropDuplicates(["src", "dst", "edge_type"])
+    return edges.unionByName(fresh, allowMissingColumns=True).select(*edges.columns)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 # Parts of the duplicate key by strategy; a strategy falls back to title and content where site or channel is missing.
 STRATEGIES = {
     "HASH": ("hash",),
@@ -92,17 +96,16 @@ def cascade(tables: dict[str, DataFrame], root: str, ids: DataFrame, links: list
     return {n: df.join(gone[n].select("id").distinct(), "id", "left_anti").select(*df.columns) if n in gone else df for n, df in tables.items()}
 
 
-def descendants(segments: DataFrame, root, *, key: str = "segment_id", parent: str = "parent_id", most: int = 50) -> DataFrame:
-    """A segment and all below it with their depth; delete in descending order of it."""
+def descendants(segments: DataFrame, root, *, key: str = "segment_id", parent: str = "parent_id") -> DataFrame:
+    """A segment and all below it with their depth; delete in descending order of it. A segment that lies below itself is met once."""
     front = segments.where(F.col(key) == root).select(F.col(key).alias("node"), F.lit(0).alias("depth"))
     found = front
-    for d in range(1, most + 1):
-        nxt = segments.join(front, segments[parent] == front["node"]).select(F.col(key).alias("node"), F.lit(d).alias("depth"))
-        front = nxt.checkpoint() if segments.sparkSession.sparkContext.getCheckpointDir() else nxt.cache()
+    for d in count(1):
+        below = segments.join(front, segments[parent] == front["node"]).select(F.col(key).alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        front = cut(below.withColumn("depth", F.lit(d)))
         if front.isEmpty():
-            break
+            return found
         found = found.union(front)
-    return found
 
 
 def unstuck(segments: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
@@ -122,9 +125,9 @@ def consistent_vectors(segments: DataFrame, vec_col: str = "embedding") -> DataF
 
 def appended(segments: DataFrame, new: DataFrame, document: str = "document_id", order: str = "n") -> DataFrame:
     """New segments positioned after those of their document, waiting."""
-    count = segments.groupBy(document).agg(F.count("*").alias("_c"))
+    there = segments.groupBy(document).agg(F.count("*").alias("_c"))
     own = F.row_number().over(Window.partitionBy(document).orderBy(order))
-    out = new.join(count, document, "left").withColumn("position", (F.coalesce("_c", F.lit(0)) + own).cast("long")).withColumn("status", F.lit("waiting")).drop("_c")
+    out = new.join(there, document, "left").withColumn("position", (F.coalesce("_c", F.lit(0)) + own).cast("long")).withColumn("status", F.lit("waiting")).drop("_c")
     return segments.unionByName(out.select(*segments.columns))
 
 
@@ -141,3 +144,50 @@ def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFram
     out = edges.join(e, ["src", "dst", "edge_type"], "full_outer")
     both = F.when(F.col("properties").isNull(), F.col("new_properties")).when(F.col("new_properties").isNull(), F.col("properties")).otherwise(F.map_concat(F.map_filter("properties", lambda k, _: ~F.map_contains_key("new_properties", k)), "new_properties"))
     return out.select("src", "dst", "edge_type", F.coalesce("new_weight", "weight").alias("weight"), both.alias("properties"))
+
+
+def inserted(segments: DataFrame, new: DataFrame, datasets: DataFrame, documents: DataFrame, *, dataset_id, document_id, user_id, order: str = "n") -> DataFrame:
+    """``appended`` after checks: the dataset exists and is the user's, the document exists and belongs to it."""
+    owner = datasets.where(F.col("dataset_id") == dataset_id).select("user_id").limit(1).collect()
+    if not owner:
+        raise ValueError("no such dataset")
+    if owner[0]["user_id"] != user_id:
+        raise PermissionError("the dataset belongs to another user")
+    if documents.where((F.col("document_id") == document_id) & (F.col("dataset_id") == dataset_id)).isEmpty():
+        raise ValueError("no such document in the dataset")
+    return appended(segments, new.withColumn("document_id", F.lit(document_id)), order=order)
+
+
+def marked(table: DataFrame, ids: DataFrame, key: str, **values: object) -> DataFrame:
+    """``table`` with ``values`` in the rows whose key is in ``ids``: bulk enable, disable, status."""
+    hit = ids.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))
+    out = table.join(hit, key, "left")
+    for name, value in values.items():
+        out = out.withColumn(name, F.when(F.col("_hit"), F.lit(value)).otherwise(F.col(name)))
+    return out.select(*table.columns)
+
+
+def upsert_by_strategy(table: DataFrame, items: DataFrame, strategy: str, *, order: str, id_col: str = "hash", required: tuple[str, ...] = ("title",), custom: tuple[str, ...] = (), update: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The table after a batch, and the batch's report: order and status (created, updated, skipped, failed).
+
+    Rows match by the strategy's key. Items act in order, so a later one meets what an earlier one
+    has created; set-based, the first of a key without a match creates it and the last given values
+    count. Without ``update`` a match is skipped. An item without a required field fails alone. An item
+    whose key is null matches nothing and is created.
+    """
+    keyed = lambda df: df.withColumn("_key", strategy_key(strategy, {c: F.col(c).cast("string") for c in df.columns}, custom))
+    good = F.lit(True)
+    for c in required:
+        good = good & (F.length(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) > 0)
+    items = keyed(items).withColumn("_good", good)
+    # an item without key is its own
+    items = items.withColumn("_own", F.coalesce("_key", F.concat(F.lit("\x00"), F.col(order).cast("string"))))
+    there = keyed(table).where("_key IS NOT NULL").groupBy(F.col("_key").alias("_own")).agg(F.min(id_col).alias("_there"))
+    first = items.where("_good").groupBy("_own").agg(F.min(order).alias("_first"))
+    items = items.join(there, "_own", "left").join(first, "_own", "left")
+    creates = F.col("_there").isNull() & (F.col(order) == F.col("_first"))
+    status = F.when(~F.col("_good"), "failed").when(creates, "created").when(F.lit(update), "updated").otherwise("skipped")
+    items = items.withColumn("status", status)
+    new_id = F.coalesce("_there", F.sha2(F.concat_ws("|", F.lit(strategy), "_own"), 256))
+    changes = items.where("status IN ('created', 'updated')").withColumn(id_col, new_id)
+    return upsert(table, changes.select(*[c for c in table.columns if c in changes.columns], *({order} - set(table.columns))), id_col, order), items.select(order, "status")

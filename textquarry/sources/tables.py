@@ -91,9 +91,17 @@ def mock_rows(spark: SparkSession, count: int = 5, fields: dict[str, str] | None
 
 
 def posts_as_documents(posts: DataFrame, content: Column, *, source: str = "source", order: str = "created_at", tie: str = "hash") -> DataFrame:
-    """One document a source (unknown where null), one segment a post in order."""
-    named = posts.withColumn("document", F.coalesce(F.col(source), F.lit("unknown")))
-    return named.withColumn("position", F.row_number().over(Window.partitionBy("document").orderBy(order, tie))).withColumn("content", content)
+    """One document a source (unknown where null), one segment a post in order of the time ``order``, then ``tie``.
+
+    Running counts by hour go before, so rows are only put in order within an hour of a source.
+    """
+    named = posts.withColumn("document", F.coalesce(F.col(source), F.lit("unknown"))).withColumn("_hour", F.date_trunc("hour", F.col(order).cast("timestamp")))
+    hours = named.groupBy("document", "_hour").agg(F.count("*").alias("_c"))
+    hours = hours.withColumn("_before", F.sum("_c").over(Window.partitionBy("document").orderBy("_hour")) - F.col("_c"))
+    hours = hours.select(F.col("document").alias("_document"), F.col("_hour").alias("_h"), "_before")
+    out = named.join(hours, (F.col("document") == F.col("_document")) & F.col("_hour").eqNullSafe(F.col("_h")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("document", "_hour").orderBy(order, tie))
+    return out.withColumn("position", place).withColumn("content", content).drop("_document", "_h", "_hour", "_before")
 
 
 def post_text(title: Column, message: Column, fallback: Column, name: Column) -> Column:
@@ -101,3 +109,21 @@ def post_text(title: Column, message: Column, fallback: Column, name: Column) ->
     has_t, has_m = F.length(F.trim(F.coalesce(title, F.lit("")))) > 0, F.length(F.trim(F.coalesce(message, F.lit("")))) > 0
     both = F.when(F.contains(F.lower(message), F.lower(title)), message).otherwise(F.concat_ws("\n\n", title, message))
     return F.when(has_t & has_m, both).when(has_m, message).when(has_t, title).otherwise(F.coalesce(fallback, F.concat(F.lit("Post from "), F.coalesce(name, F.lit("unknown")))))
+
+
+def with_mock(df: DataFrame, count: int = 5, fields: dict[str, str] | None = None, seed: int = 12345) -> DataFrame:
+    """Mock rows in front of ``df``; columns that one side lacks are null there."""
+    return mock_rows(df.sparkSession, count, fields, seed).unionByName(df, allowMissingColumns=True)
+
+
+def post_source(posts: DataFrame, condition: Column | None = None, *, order: list[Column], number: int = 1, limit: int = 100) -> tuple[DataFrame, int]:
+    """A page of the posts that meet the condition (a limit of 0 gives all), and how many meet it."""
+    some = posts if condition is None else posts.where(condition)
+    out = some.orderBy(*order)
+    return (out.offset((number - 1) * limit).limit(limit) if limit else out), some.count()
+
+
+def jobs_of(jobs: DataFrame, document_id, states: tuple[str, ...] = ("waiting", "active", "completed", "failed", "delayed")) -> DataFrame:
+    """Jobs in one of the states whose payload (JSON text) names the document, at the top or under data."""
+    named = F.coalesce(F.get_json_object("payload", "$.documentId"), F.get_json_object("payload", "$.data.documentId"))
+    return jobs.where(F.col("state").isin(*states) & (named == str(document_id)))
