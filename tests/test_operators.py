@@ -306,3 +306,174 @@ def test_outline_models_and_overlap(spark):
     assert models.leading_sentences(["One. Two. " + "x" * 400, None]) == ["One. Two.", ""]
     chunks = frame(spark, [(1, 1, "abcdefghij"), (1, 2, "klm")], "doc_id int, position int, chunk string")
     assert [r["chunk"] for r in splitters.with_overlap(chunks, 0.2).orderBy("position").collect()] == ["abcdefghij", "ij klm"]
+
+
+def test_sentence_overlap(spark):
+    """Chunks worked out by hand: trailing sentences repeat, else the end of the chunk from a word's start; a long sentence stays whole."""
+    one, two, three = "Aa bb cc.", "Dd ee ff gg.", "Hh ii jj kk."
+    text = f"{one} {two} {three}"
+    assert splitters.sentence_splitter(text, 22, 10) == [f"{one} {two}", f"{two} {three}"]
+    # the last sentence is longer than 1.2 x 5: the end of five characters, from a word's start in its first half if there is one
+    assert splitters.sentence_splitter(text, 22, 5) == [f"{one} {two}", f"f gg. {three}"[1:].strip()]
+    assert splitters.sentence_splitter(text, 22, 0) == [f"{one} {two}", three]
+    long = "x" * 700 + "."
+    assert splitters.sentence_splitter(f"Short one. {long} End now.", 500, 0) == ["Short one.", long, "End now."]
+    # the whole chunk is no longer than the overlap
+    assert splitters.sentence_splitter("Ab. Cd ef gh.", 8, 5) == ["Ab.", "Ab. Cd ef gh."]
+
+
+def test_smart_chunks(spark):
+    a, b = "p" * 60, "q" * 30
+    assert splitters.smart_chunking(f"{b}\n\n{a}\n\n{b}\n\n{b}\n\n{b}", 100, 0) == [f"{b} {a}", f"{b} {b}", b]
+    s = ["One two three four five six.", "Seven eight nine ten eleven.", "Twelve thirteen fourteen."]
+    assert splitters.smart_chunking(" ".join(s), 60, 20) == [" ".join(s[:2]), f"{splitters._tail(' '.join(s[:2]), 20)} {s[2]}"]
+    assert splitters.smart_chunking(" ".join(s), 60, 22) == [" ".join(s[:2]), f"{s[1]} {s[2]}"]
+
+
+def test_token_overlap():
+    text = " ".join(f"word{i}" for i in range(40))
+    got = splitters.token_based(text, 20, 1)
+    assert got[0].split() == [f"word{i}" for i in range(10)] and got[1].split()[:4] == [f"word{i}" for i in range(6, 10)]
+    assert sum(len(c.split()) for c in splitters.token_based("a " * 5000, 50, 25)) == 5000
+
+
+def test_tables_as_rows(spark):
+    got = splitters.table_rows(frame(spark, [(1, "intro\na\tb\n1\t<2>\nend"), (2, None)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["table"], r["cells"]) for r in got] == [(1, 1, [["a", "b"], ["1", "<2>"]])]
+    assert got[0]["html"] == "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>&lt;2&gt;</td></tr></table>"
+
+
+def test_trend_takes_half_for_a_missing_score(spark):
+    rows = [("a", 1, None), ("a", 2, 0.0), ("a", 3, 0.9), ("a", 4, 0.9), ("b", 1, 0.9), ("c", 1, 0.9), ("c", 2, 0.1), ("c", 3, 0.1)]
+    df = frame(spark, [(b, i, s) for b, i, s in rows], "brand string, mention_id int, score double").withColumn("ts", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, mention_id * 10)"))
+    got = {r["brand"]: (r["n"], None if r["change"] is None else round(r["change"], 9), r["trend"]) for r in brands.trend(df).collect()}
+    assert got == {"a": (4, 0.4, "increasing"), "b": (1, None, "stable"), "c": (3, -0.8, "decreasing")}
+
+
+def test_merged_properties_come_in_order(spark):
+    nodes = frame(spark, [(1, {"a": "1"}), (2, {"a": "2", "b": "2"}), (3, {"a": "3"})], "id long, properties map<string,string>")
+    edges = frame(spark, [(2, 9, "x"), (3, 9, "x"), (2, 1, "x")], "src long, dst long, edge_type string")
+    kept, again, log = entities.merged(nodes, edges, frame(spark, [(2, 1), (3, 1)], "source long, target long"))
+    assert [(r["id"], r["properties"]) for r in kept.collect()] == [(1, {"a": "3", "b": "2"})]
+    assert [(r["src"], r["dst"]) for r in again.collect()] == [(1, 9)] and log.count() == 2
+
+
+def test_long_chains_and_cycles(spark):
+    n = 70
+    chain_ = frame(spark, [(i, i - 1 if i else None) for i in range(n)], "segment_id long, parent_id long")
+    assert mutations.descendants(chain_, 0).agg(F.max("depth")).first()[0] == n - 1
+    ring = frame(spark, [(0, 2), (1, 0), (2, 1)], "segment_id long, parent_id long")
+    assert mutations.descendants(ring, 0).count() == 3
+
+
+def test_upserts_by_strategy(spark):
+    there = frame(spark, [("h1", "Old", "x"), ("h2", "Other", "y")], "hash string, title string, content string")
+    items = frame(spark, [(1, " old ", "X"), (2, None, "z"), (3, "New", "n"), (4, "new", "n"), (5, "third", None)], "n int, title string, content string")
+    table, report = mutations.upsert_by_strategy(there, items, "TITLE_CONTENT", order="n")
+    assert {r["n"]: r["status"] for r in report.collect()} == {1: "updated", 2: "failed", 3: "created", 4: "updated", 5: "created"}
+    assert sorted((r["title"], r["content"]) for r in table.collect() if r["content"]) == [(" old ", "X"), ("Other", "y"), ("new", "n")] and table.count() == 4
+    table, report = mutations.upsert_by_strategy(there, items, "TITLE_CONTENT", order="n", update=False)
+    assert {r["n"]: r["status"] for r in report.collect()} == {1: "skipped", 2: "failed", 3: "created", 4: "skipped", 5: "created"}
+    assert "New" in {r["title"] for r in table.collect()}
+
+
+def test_nodes_are_identified(spark):
+    old = frame(spark, [("a", 1, "brand", "Nike", {"x": "1"})], "node_id string, dataset_id int, node_type string, label string, properties map<string,string>")
+    new = frame(spark, [(1, "brand", " nike", {"x": "2", "y": "1"}, 1), (1, "brand", "Puma", {"z": "1"}, 2), (1, "brand", "puma ", {"z": "2"}, 3)], "dataset_id int, node_type string, label string, properties map<string,string>, n int")
+    got = {r["label"]: r["properties"] for r in dedup.identified(old, new).collect()}
+    assert got == {"Nike": {"x": "2", "y": "1"}, "Puma": {"z": "2"}}
+
+
+def test_entities_are_imported(spark):
+    e = frame(spark, [("e1", "A", "t", 0.4)], "entity_id string, name string, type string, confidence double")
+    new = frame(spark, [("e1", "B", "t", 1), (None, "A", "t", 2), (None, "C", "t", 3), (None, "C", "t", 4), (None, "", "t", 5)], "entity_id string, name string, type string, n int")
+    out, report = entities.imported(e, new)
+    assert {r["n"]: r["status"] for r in report.collect()} == {1: "skipped", 2: "skipped", 3: "created", 4: "skipped", 5: "failed"}
+    assert sorted((r["name"], r["confidence"]) for r in out.collect()) == [("A", 0.4), ("C", 0.8)]
+    out, report = entities.imported(e, new.where("n = 1"), update=True)
+    assert [(r["entity_id"], r["name"]) for r in out.collect()] == [("e1", "B")] and report.first()["status"] == "created"
+
+
+def test_normalised_in_one_call(spark):
+    nodes = frame(spark, [(1, "Company One", "b", 0.5), (2, "Company Onne", "b", 0.9), (3, "Else", "b", 0.1), (4, "Company One", "c", 0.1)], "id long, label string, type string, confidence double")
+    edges = frame(spark, [(1, 3, "x"), (2, 3, "x")], "src long, dst long, edge_type string")
+    kept, again, log = entities.normalised(nodes, edges, 0.8)
+    assert {r["id"] for r in kept.collect()} == {2, 3, 4} and [(r["src"], r["dst"]) for r in again.collect()] == [(2, 3)] and log.count() == 1
+    assert {r["id"] for r in entities.normalised(nodes, edges, 0.8, only="c")[0].collect()} == {1, 2, 3, 4}
+
+
+def test_paths_policies_and_hashes(spark):
+    df = frame(spark, [(1, '{"status": "done", "data": {"classification": "x", "confidence": 0.5}}', "waiting")], "id int, reply string, status string")
+    r = records.with_policy(df, "reply").first()
+    assert r["status"] == "done" and r["meta"]["classification"] == "x" and r["meta"]["confidence"] == "0.5"
+    r = records.with_paths(df, {"a.b.c": F.lit(1), "a.b.d": F.lit(2), "a.e": F.lit(3), "id": F.lit(9)}).first()
+    assert r["a"].asDict(True) == {"b": {"c": 1, "d": 2}, "e": 3} and r["id"] == 9
+    assert records.deep_merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "c": [1]}) == {"a": {"x": 1, "y": 3}, "b": 1, "c": [1]}
+
+    def by_hand(s):
+        h = 0
+        for k in range(0, len(raw := s.encode("utf-16-le")), 2):
+            h = (h * 31 + int.from_bytes(raw[k : k + 2], "little") + 2**31) % 2**32 - 2**31
+        digits, x = "", abs(h)
+        while x:
+            digits, x = "0123456789abcdefghijklmnopqrstuvwxyz"[x % 36] + digits, x // 36
+        return ("-" if h < 0 else "") + (digits or "0")
+
+    texts = ["", "a", "hello world", "é漢字", "x😀y", "q" * 300]
+    got = [r["h"] for r in frame(spark, [(t,) for t in texts], "t string").select(text.string_hash32(F.col("t")).alias("h")).collect()]
+    assert got == [by_hand(t) for t in texts]
+    shown = frame(spark, [("Nike and NIKE shoes, nikes", [("nike", "Nike$", 0.5), ("nike and", "N&A", 0.9)])], "t string, m array<struct<found:string,canonical:string,score:double>>").select(text.highlighted(F.col("t"), F.col("m")).alias("s")).first()["s"]
+    assert shown == "[N&A] [Nike$] shoes, nikes"
+
+
+def test_retrieval_routes(spark):
+    s_ = frame(spark, [(1, 10, [1.0, 0.0]), (2, 10, [0.0, 1.0]), (3, 20, [0.9, 0.1]), (4, 20, None)], "segment_id int, document_id int, embedding array<double>")
+    ids = lambda df: [r["segment_id"] for r in df.collect()]
+    assert ids(retrieval.retrieved(s_, [1.0, 0.0], 2)) == [1, 3] and ids(retrieval.retrieved(s_, [1.0, 0.0], 2, document_ids=[20])) == [3]
+    got = retrieval.retrieved(s_, [1.0, 0.0], 5, segment_ids=[2, 4]).collect()
+    assert [(r["segment_id"], r["similarity"]) for r in got] == [(4, 0.5), (2, 0.0)]
+    both = frame(spark, [(1, 2.0, 0.5), (2, 1.0, 0.9)], "id int, keyword_score double, semantic_score double")
+    plain = [(r["id"], r["final_score"]) for r in retrieval.fused(both, "id").collect()]
+    assert [(r["id"], r["final_score"]) for r in retrieval.reranked(both, "id", scorer=lambda df: F.col("no_such_column")).collect()] == plain
+    assert retrieval.reranked(both, "id", scorer=lambda df: F.lit(0.2)).first()["final_score"] < retrieval.reranked(both, "id", scorer=lambda df: F.lit(0.9)).first()["final_score"]
+
+
+def test_each_node_of_a_workflow_runs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    df = frame(spark, [(i, f"text {i}") for i in range(6)], "position int, content string").mapInArrow(counted, "position int, content string")
+    out = chain(("trigger_schedule", {"cron": "* * * * *", "timezone": "Europe/Paris"}), ("duplicate_segment", {})).run({"s0": df})
+    assert [r["status"] for r in out] == ["completed", "completed"] and [r["rows"] for r in out] == [6, 6] and made.value == 6
+    assert Workflow([Node("a", "trigger_schedule", {"cron": "* * * * *", "timezone": "Mars/Base"})]).problems()
+    old = frame(spark, [("h", "old")], "hash string, title string")
+    new = frame(spark, [(1, "new"), (2, " ")], "position int, title string")
+    up = chain(("post_upserter", {"table": old, "hash_fields": ["title"]})).result({"s0": new})
+    assert sorted(r["title"] for r in up.collect()) == ["new", "old"]
+    gone = chain(("post_deleter", {"table": old, "path": "hash", "key": "hash"})).result({"s0": old})
+    assert gone.count() == 0 and Workflow([Node("a", "post_deleter")]).problems()
+
+
+def test_mock_before_and_pages(spark):
+    df = frame(spark, [("z",)], "content string")
+    got = tables.with_mock(df, 2).collect()
+    assert [r["content"] for r in got] == ["Mock content 1", "Mock content 2", "z"]
+    some, total = tables.post_source(spark.range(250).toDF("id"), F.col("id") >= 10, order=[F.col("id")], number=3)
+    assert total == 240 and [r["id"] for r in some.collect()] == list(range(210, 250)) and predicates.page_count(spark.range(250).toDF("id"), 100) == 3
+    jobs = frame(spark, [("failed", '{"documentId": "7"}'), ("active", '{"data": {"documentId": "7"}}'), ("gone", '{"documentId": "7"}'), ("active", "{}")], "state string, payload string")
+    assert tables.jobs_of(jobs, 7).count() == 2
+
+
+def test_inserts_are_checked(spark):
+    segments = frame(spark, [(1, 5, "a", 1, "done")], "segment_id int, document_id int, content string, position long, status string")
+    new = frame(spark, [(2, "b", 1)], "segment_id int, content string, n int")
+    sets, docs = frame(spark, [(1, 9)], "dataset_id int, user_id int"), frame(spark, [(5, 1)], "document_id int, dataset_id int")
+    got = mutations.inserted(segments, new, sets, docs, dataset_id=1, document_id=5, user_id=9)
+    assert [(r["position"], r["status"]) for r in got.orderBy("position").collect()] == [(1, "done"), (2, "waiting")]
+    for bad, error in (({"user_id": 8}, PermissionError), ({"dataset_id": 2}, ValueError), ({"document_id": 6}, ValueError)):
+        with pytest.raises(error):
+            mutations.inserted(segments, new, sets, docs, **{"dataset_id": 1, "document_id": 5, "user_id": 9, **bad})

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .text import transformed
 
@@ -123,6 +124,47 @@ def approval(decision: Column, reason: Column, confidence: Column) -> Column:
     return F.struct(F.when(F.lower(F.trim(decision)) == "approved", "approved").otherwise("rejected").alias("status"), reason.alias("reason"), confidence.cast("decimal(5,2)").alias("confidence"))
 
 
+def with_paths(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``df`` with values set at dotted paths; structs on the way are made or kept, other fields stay.
+
+    Several paths under one head are set one after the other.
+    """
+
+    def set_in(kind: StructType | None, base: Column | None, path: list[str], value: Column) -> Column:
+        head, rest = path[0], path[1:]
+        inner = next((f.dataType for f in kind.fields if f.name == head), None) if kind is not None else None
+        if rest:
+            nested = inner if isinstance(inner, StructType) else None
+            value = set_in(nested, base[head] if nested is not None else None, rest, value)
+        if kind is None:
+            return F.struct(value.alias(head))
+        return F.struct(*[base[f.name].alias(f.name) for f in kind.fields if f.name != head], value.alias(head))
+
+    for path, value in values.items():
+        head, *rest = path.split(".")
+        if not rest:
+            df = df.withColumn(head, value)
+            continue
+        kind = df.schema[head].dataType if head in df.columns else None
+        kind = kind if isinstance(kind, StructType) else None
+        df = df.withColumn(head, set_in(kind, F.col(head) if kind is not None else None, rest, value))
+    return df
+
+
+def with_policy(df: DataFrame, payload: str, policy: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the policy's targets set from paths into a reply (JSON text); what the reply lacks is null, and a lacking status stays as it was."""
+    values = {}
+    for target, path in (policy or SEGMENT_POLICY).items():
+        found = F.get_json_object(payload, f"$.{path}")
+        values[target] = F.coalesce(found, F.col(target)) if target in df.columns else found
+    return with_paths(df, values)
+
+
+def deep_merged(a: dict, b: dict) -> dict:
+    """Two configurations in one: dictionaries go into each other, of other values the second counts."""
+    return {k: deep_merged(a[k], b[k]) if k in a and k in b and isinstance(a[k], dict) and isinstance(b[k], dict) else b.get(k, a.get(k)) for k in [*a, *(k for k in b if k not in a)]}
+
+
 #: Where a segment keeps what a model said of it.
 SEGMENT_POLICY = {"status": "status", "meta.extracted": "data", "meta.classification": "data.classification", "meta.confidence": "data.confidence"}
 

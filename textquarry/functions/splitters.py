@@ -6,6 +6,7 @@ express; each is a plain function, run over Arrow batches by ``split_documents``
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -73,7 +74,11 @@ def recursive_character(text: str, size: int, overlap: int) -> list[str]:
 
 
 def token_based(text: str, size: int, overlap: int) -> list[str]:
-    """Words packed by estimated tokens (a quarter of the length); the last words are repeated."""
+    """Words packed by estimated tokens (a quarter of the length); the last words are repeated, four for each token of the overlap.
+
+    Where that would be the whole chunk nothing is repeated: else each further word would make a
+    chunk of all words before it, and the output would grow with the square of the text.
+    """
     out, held, count = [], [], 0
     for word in text.split():
         n = math.ceil(len(word) / 4)
@@ -109,8 +114,44 @@ def sentences(text: str) -> list[str]:
     return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
 
 
+def _sentence_tail(chunk: str, overlap: int, slack: float) -> str:
+    """What the next chunk repeats: a short chunk whole, else its last sentences within ``slack`` times the overlap, else its end from a word's start."""
+    if len(chunk) <= overlap:
+        return chunk
+    last, room = [], slack * overlap
+    for s in reversed(sentences(chunk)):
+        room -= len(s) + bool(last)
+        if room < -1e-9:
+            break
+        last.append(s)
+    return " ".join(reversed(last)) or _tail(chunk, overlap)
+
+
+def sentences_packed(text: str, size: int, overlap: int, slack: float) -> list[str]:
+    """Sentences joined while they fit into ``size``; each next chunk begins with the tail of the last one. A long sentence stays whole."""
+    out: list[str] = []
+    for s in sentences(text):
+        if out and len(out[-1]) + 1 + len(s) <= size:
+            out[-1] += " " + s
+        else:
+            tail = _sentence_tail(out[-1], overlap, slack) if out and overlap > 0 else ""
+            out.append(f"{tail} {s}" if tail else s)
+    return out
+
+
 def sentence_splitter(text: str, size: int, overlap: int) -> list[str]:
-    return _packed(sentences(text), size, 1.2 * overlap)
+    return sentences_packed(text, size, overlap, 1.2)
+
+
+def paired(chunks: list[str], size: int) -> list[str]:
+    """A chunk under max(50, size / 10) and the next one become one if that stays within 1.2 size; what has been joined isn't joined again."""
+    least, out, i = max(50, 0.1 * size), [], 0
+    while i < len(chunks):
+        both = f"{chunks[i]} {chunks[i + 1]}" if i + 1 < len(chunks) else ""
+        join = both and len(chunks[i]) < least and len(both) <= 1.2 * size
+        out.append(both if join else chunks[i])
+        i += 2 if join else 1
+    return out
 
 
 def tiny_merged(chunks: list[str], size: int, joint: str = "\n\n") -> list[str]:
@@ -129,12 +170,12 @@ def tiny_merged(chunks: list[str], size: int, joint: str = "\n\n") -> list[str]:
 
 
 def smart_chunking(text: str, size: int, overlap: int) -> list[str]:
-    """Paragraphs, long ones packed by sentences, tiny ones merged."""
+    """Paragraphs, long ones packed by sentences, each tiny one joined with the next."""
     out = []
     for p in re.split(r"\n\s*\n", text):
         if p.strip():
-            out += [p.strip()] if len(p.strip()) <= size else _packed(sentences(p.strip()), size, 1.3 * overlap)
-    return tiny_merged(out, size)
+            out += [p.strip()] if len(p) <= size else sentences_packed(p, size, overlap, 1.3)
+    return paired(out, size)
 
 
 def _sections(text: str, start: str, size: int, overlap: int) -> list[str]:
@@ -257,6 +298,24 @@ def tables(text: str | None) -> list[list[list[str]]]:
     return out
 
 
+def table_html(cells: list[list[str]]) -> str:
+    """A table of cells as HTML, the first row as its head."""
+    row = lambda cs, tag: "<tr>" + "".join(f"<{tag}>{html.escape(c)}</{tag}>" for c in cs) + "</tr>"
+    return "<table>" + "".join(row(r, "td" if i else "th") for i, r in enumerate(cells)) + "</table>"
+
+
+def table_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, table (from 1), cells and html of every table in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(k, n + 1, t) for k, x in enumerate(b.column(1).to_pylist()) for n, t in enumerate(tables(x))]
+            at = pa.array([k for k, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([n for _, n, _ in found], pa.int32()), pa.array([t for _, _, t in found], pa.list_(pa.list_(pa.string()))), pa.array([table_html(t) for _, _, t in found], pa.string())], names=[key, "table", "cells", "html"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, table int, cells array<array<string>>, html string")
+
+
 def split_documents(docs: DataFrame, config: ChunkConfig, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, position (from 1) and chunk of every document; texts without chunks give no row."""
 

@@ -245,3 +245,20 @@ def highlight(text: str, matches: list[tuple[str, str, float]]) -> str:
     for found, canonical, _ in sorted(matches, key=lambda m: -m[2]):
         text = re.sub(rf"\b{re.escape(found)}\b", lambda _m, c=canonical: f"[{c}]", text, flags=re.I)
     return text
+
+
+def string_hash32(text: Column) -> Column:
+    """The 32-bit hash h = 31 h + unit over UTF-16 units, wrapped to a signed number, in base 36 with its sign; null stays null."""
+    # code points beyond the first plane are two units
+    units = F.flatten(F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) > 0xFFFF, F.array(0xD800 + F.shiftright(F.ascii(c) - 0x10000, 10), 0xDC00 + (F.ascii(c) - 0x10000) % 1024)).otherwise(F.array(F.ascii(c)))))
+    wrap = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    h = F.when(F.length(text) > 0, F.aggregate(units, F.lit(0).cast("long"), lambda h, u: wrap(h * 31 + u))).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
+    return F.concat(F.when(h < 0, "-").otherwise(""), F.lower(F.conv(F.abs(h).cast("string"), 10, 36)))
+
+
+def highlighted(text: Column, matches: Column) -> Column:
+    """``text`` with matched texts (array of found, canonical, score) as [canonical]: whole words in any case, the best matches first."""
+    best = F.array_sort(F.transform(matches, lambda m: F.struct((-m["score"]).alias("s"), m["found"].alias("found"), m["canonical"].alias("canonical"))))
+    quoted = lambda x: F.regexp_replace(x, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+    plain = lambda x: F.regexp_replace(x, r"([\\$])", r"\\$1")
+    return F.aggregate(best, text, lambda t, m: F.regexp_replace(t, F.concat(F.lit(r"(?iu)\b"), quoted(m["found"]), F.lit(r"\b")), F.concat(F.lit("["), plain(m["canonical"]), F.lit("]"))))

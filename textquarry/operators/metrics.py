@@ -116,3 +116,18 @@ def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     out = c.groupBy(*by).agg(F.first("n").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.first("n")).alias("mean"), ((at(low) + at(high)) / 2).alias("median"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"))
     return out
+
+
+def execution_metrics(runs: DataFrame) -> DataFrame:
+    """One row: runs by status, summed and mean duration, largest memory, items and items a second."""
+    out = runs.agg(
+        F.count("*").alias("total"), *[F.count_if(F.col("status") == x).alias(x) for x in ("completed", "failed", "running", "pending")],
+        F.sum("duration").alias("duration"), F.avg("duration").alias("avg_duration"), F.max("memory").alias("max_memory"), F.sum("items").alias("items"),
+    )
+    return out.withColumn("items_per_s", F.coalesce(F.try_divide(F.col("items"), F.col("duration")), F.lit(0.0)))
+
+
+def step_summary(df: DataFrame, content: str, n: int = 10, width: int = 200) -> tuple[DataFrame, DataFrame]:
+    """One row of n, mean words and mean tokens (a quarter of the length); and the first rows with a preview."""
+    words, size = F.regexp_count(F.coalesce(content, F.lit("")), F.lit(r"\S+")), F.length(F.coalesce(content, F.lit("")))
+    return df.agg(F.count("*").alias("n"), F.avg(words).alias("mean_words"), F.avg(F.ceil(size / F.lit(4.0))).alias("mean_tokens")), preview(df, content, n, width)

@@ -217,3 +217,8 @@ def limited_arrays(df: DataFrame, most: int = 10) -> DataFrame:
 def best_provider(providers: DataFrame, models: str = "models", created: str = "created_at") -> DataFrame:
     """The provider with most models, none known last, the oldest of equals."""
     return providers.orderBy(F.size(models).desc_nulls_last(), F.col(created)).limit(1)
+
+
+def page_count(df: DataFrame, size: int) -> int:
+    """Pages of ``size`` rows that hold all of ``df``; one page if the size is 0."""
+    return -(-df.count() // size) if size else 1

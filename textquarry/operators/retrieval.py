@@ -171,3 +171,45 @@ def parent_context(hits: DataFrame, segments: DataFrame, *, key: str = "segment_
     """The distinct parents of child hits with their contents."""
     ids = hits.select(F.col(parent).alias(key)).where(F.col(key).isNotNull()).distinct()
     return segments.join(ids, key).select(key, content)
+
+
+def latest_conversation(conversations: DataFrame, user_id, *, user: str = "user_id", updated: str = "updated_at", key: str = "conv_id") -> DataFrame:
+    """The user's conversation that changed last (the largest id of equals)."""
+    return conversations.where(F.col(user) == user_id).orderBy(F.desc(updated), F.desc(key)).limit(1)
+
+
+def scored_segments(segments: DataFrame, ids: list, query: list[float] | None, *, key: str = "segment_id", vec_col: str = "embedding", fallback: float = 0.5) -> DataFrame:
+    """The given segments with their similarity to the query, best first; ``fallback`` where there is no vector to compare, or no query."""
+    mine = segments.where(F.col(key).isin(ids))
+    if not query:
+        return mine.withColumn("similarity", F.lit(fallback)).orderBy(key)
+    near = cosine(F.col(vec_col), F.lit([float(x) for x in query]))
+    usable = F.col(vec_col).isNotNull() & (F.size(vec_col) == len(query))
+    return mine.withColumn("similarity", F.when(usable, near).otherwise(F.lit(fallback))).orderBy(F.desc("similarity"), key)
+
+
+def retrieved(segments: DataFrame, query: list[float], k: int = 5, *, segment_ids: list | None = None, document_ids: list | None = None, key: str = "segment_id", document: str = "document_id", vec_col: str = "embedding") -> DataFrame:
+    """The k best segments for a query: of the given segments, else of the given documents, else of all.
+
+    From documents or the whole set min(2 k, 50) are fetched before k are kept.
+    """
+    if segment_ids:
+        return scored_segments(segments, segment_ids, query, key=key, vec_col=vec_col).limit(k)
+    where = F.col(document).isin(document_ids) if document_ids else None
+    return knn(segments, query, min(2 * k, 50), id_col=key, vec_col=vec_col, where=where).limit(k)
+
+
+def reranked(both: DataFrame, key: str, weights: tuple[float, float] = DEFAULT_WEIGHTS, *, scorer=None, limit: int | None = None) -> DataFrame:
+    """Scaled fusion weighed by a model's score; without a scorer, or if it can't be planned, plain fusion.
+
+    ``scorer`` is a function of the DataFrame that gives the score's column; a score that is null leaves the sum as it is.
+    """
+    try:
+        score = scorer(both) if scorer else None
+        if score is not None:
+            both.select(score)  # names and types are settled here
+    except Exception:
+        score = None
+    if score is None:
+        return fused(both, key, weights, limit=limit)
+    return fused(both, key, weights, scaled=True, model=F.coalesce(score, F.lit(1.0)), limit=limit)

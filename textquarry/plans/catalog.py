@@ -66,7 +66,15 @@ def dedup_jaccard_pairs(s, d):
     return dedup.similar_pairs(words, "k", "words", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("dedup_jaccard_leaders")
+@query("dedup_jaccard_leaders", """
+WITH RECURSIVE w AS (SELECT doc_id AS k, list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), '\\s+'), lambda x: x <> '')) AS s FROM documents),
+e AS (SELECT k, unnest(s) AS x FROM w), c AS (SELECT a.k AS i, b.k AS j, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT i, j FROM c JOIN w p ON p.k = i JOIN w q ON q.k = j WHERE n / (len(p.s) + len(q.s) - n) >= 0.8),
+o AS (SELECT k, row_number() OVER (ORDER BY k) AS r FROM w WHERE len(s) > 0),
+h AS MATERIALIZED (SELECT o.r, o.k, coalesce(list(i) FILTER (i IS NOT NULL), []) AS before FROM o LEFT JOIN p ON p.j = o.k GROUP BY 1, 2),
+g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT h.r, CASE WHEN list_has_any(g.kept, h.before) THEN g.kept ELSE list_append(g.kept, h.k) END FROM g JOIN h ON h.r = g.r + 1),
+f AS (SELECT kept FROM g ORDER BY r DESC LIMIT 1)
+SELECT k AS doc_id, CASE WHEN len(s) = 0 THEN k <> (SELECT min(doc_id) FROM documents) ELSE NOT list_contains((SELECT kept FROM f), k) END AS is_duplicate FROM w""")
 def dedup_jaccard_leaders(s, d):
     return dedup.similarity_duplicates(t(s, d, "documents"), "text", "doc_id", 0.8).select("doc_id", "is_duplicate")
 
@@ -127,7 +135,9 @@ def date_chunks(s, d):
     return tables.chunked_counts(t(s, d, "events"), 180)
 
 
-@query("mock_rows")
+@query("mock_rows", """WITH RECURSIVE v AS (SELECT 0 AS i, 12345::BIGINT AS v UNION ALL SELECT i + 1, (v * 9301 + 49297) % 233280 FROM v WHERE i < 200),
+u AS (SELECT (i - 1) // 4 AS n, (i - 1) % 4 AS j, v / 233280.0::DOUBLE AS r FROM v WHERE i > 0)
+SELECT n + 1 AS position, 'name_' || max(floor(r * 1000)::BIGINT) FILTER (j = 0) AS name, max(floor(r * 1000)::BIGINT) FILTER (j = 1) AS score, bool_or(r > 0.5) FILTER (j = 2) AS active, max(DATE '2024-01-01' + floor(r * 365)::INT) FILTER (j = 3) AS day, 'mock-' || (n + 1) AS id, 'Mock content ' || (n + 1) AS content FROM u GROUP BY n""")
 def mock_rows(s, d):
     return tables.mock_rows(s, 50, {"name": "string", "score": "number", "active": "boolean", "day": "date"})
 
@@ -210,10 +220,10 @@ def text_transforms(s, d):
     return t(s, d, "part").select("p_partkey", text.transformed(F.col("p_name"), "trim_uppercase").alias("u"), text.transformed(F.col("p_type"), "trim_lowercase").alias("l"))
 
 
-@query("aliases", "SELECT p_partkey, array_to_string(list_distinct([replace(p_name, ' ', ''), replace(p_name, ' ', '_'), replace(p_name, ' ', '-')]), '|') <> '' AS has, replace(p_name, ' ', '_') AS second FROM part WHERE contains(p_name, ' ')")
+@query("aliases", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(p_name, ' ') THEN regexp_replace(p_name, '\\s+', '', 'g') END, CASE WHEN contains(p_name, ' ') THEN regexp_replace(p_name, '\\s+', '_', 'g') END, CASE WHEN contains(p_name, ' ') THEN regexp_replace(p_name, '\\s+', '-', 'g') END, CASE WHEN p_name <> lower(p_name) THEN lower(p_name) END], lambda x: x IS NOT NULL AND x <> p_name), '|') AS spellings FROM (SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2) AS p_name FROM part)")
 def aliases(s, d):
-    a = text.aliases(F.col("p_name"))
-    return t(s, d, "part").where(F.contains("p_name", F.lit(" "))).select("p_partkey", (F.size(a) > 0).alias("has"), F.get(a, F.lit(1)).alias("second"))
+    named = t(s, d, "part").select("p_partkey", F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", 2, 1000)).alias("p_name"))
+    return named.select("p_partkey", F.array_join(text.aliases(F.col("p_name")), "|").alias("spellings"))
 
 
 @query("reply_json", """SELECT event_id, props AS reply FROM events""")
@@ -260,10 +270,12 @@ def record_hash(s, d):
     return t(s, d, "customer").select("c_custkey", h.alias("h"), records.record_hash([F.col("c_name"), F.col("c_nationkey")], "crm:", "md5").alias("m"))
 
 
-@query("type_mapping", "SELECT event_type, CASE event_type WHEN 'view' THEN 'related_to' ELSE 'related_to' END AS edge_type, 'organization' AS node_type FROM (SELECT DISTINCT event_type FROM events)")
+@query("type_mapping", "SELECT DISTINCT name, CASE name WHEN 'brand' THEN 'brand' WHEN 'product' THEN 'product' WHEN 'event' THEN 'event' WHEN 'person' THEN 'author' WHEN 'theme' THEN 'topic' ELSE 'organization' END AS node_type, CASE name WHEN 'mentions' THEN 'mentions' WHEN 'follows' THEN 'follows' ELSE 'related_to' END AS edge_type FROM (SELECT ['brand', 'product', 'event', 'person', 'theme', 'mentions', 'follows', 'uses', 'nothing'][p_partkey % 9 + 1] AS name FROM part)")
 def type_mapping(s, d):
-    e = t(s, d, "events").select("event_type").distinct()
-    return e.select("event_type", records.edge_type(F.col("event_type")).alias("edge_type"), records.node_type(F.col("event_type")).alias("node_type"))
+    some = F.array(*[F.lit(x) for x in ("brand", "product", "event", "person", "theme", "mentions", "follows", "uses", "nothing")])
+    name = F.element_at(some, (F.col("p_partkey") % 9 + 1).cast("int"))
+    spelt = F.concat(F.lit(" "), F.upper("name"))
+    return t(s, d, "part").select(name.alias("name")).distinct().select("name", records.node_type(spelt).alias("node_type"), records.edge_type(spelt).alias("edge_type"))
 
 
 @query("json_path", "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT) AS k FROM events GROUP BY 1")
@@ -406,7 +418,7 @@ def brand_sentiment(s, d):
     return brands.sentiment(_mentions(s, d)).withColumn("mean_score", F.round("mean_score", 9))
 
 
-@query("sentiment_trend", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY ts, mention_id) AS r, count(*) OVER (PARTITION BY brand) AS n FROM {_M}), c AS (SELECT brand, any_value(n) AS n, avg(score) FILTER (r > n // 2) - avg(score) FILTER (r <= n // 2) AS change FROM r GROUP BY 1) SELECT brand, n, round(change, 9) AS change, CASE WHEN n < 2 THEN 'stable' WHEN change > 0.1 THEN 'increasing' WHEN change < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM c")
+@query("sentiment_trend", f"WITH r AS (SELECT brand, CASE WHEN coalesce(score, 0) = 0 THEN 0.5 ELSE score END AS score, row_number() OVER (PARTITION BY brand ORDER BY ts, mention_id) AS r, count(*) OVER (PARTITION BY brand) AS n FROM {_M}), c AS (SELECT brand, any_value(n) AS n, avg(score) FILTER (r > n // 2) - avg(score) FILTER (r <= n // 2) AS change FROM r GROUP BY 1) SELECT brand, n, round(change, 9) AS change, CASE WHEN n < 2 THEN 'stable' WHEN change > 0.1 THEN 'increasing' WHEN change < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM c")
 def sentiment_trend(s, d):
     return brands.trend(_mentions(s, d)).withColumn("change", F.round("change", 9))
 
@@ -605,6 +617,130 @@ def dictionary_matches(s, d):
     return entities.dictionary_matches(t(s, d, "documents"), names)
 
 
+@query("upsert_by_strategy", """WITH i AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'order ' || (o_orderkey % 400) END AS title, lower(o_orderpriority) AS content FROM orders),
+e AS (SELECT 'order ' || (p_partkey % 300) AS title, '1-urgent' AS content FROM part WHERE p_partkey <= 150),
+k AS (SELECT *, 'title=' || title || '|content=' || content AS key FROM i WHERE title IS NOT NULL), b AS (SELECT DISTINCT 'title=' || title || '|content=' || content AS key FROM e), f AS (SELECT key, min(n) AS first FROM k GROUP BY 1)
+SELECT n, CASE WHEN i.title IS NULL THEN 'failed' WHEN b.key IS NULL AND f.first = n THEN 'created' ELSE 'updated' END AS status FROM i LEFT JOIN k USING (n) LEFT JOIN b ON b.key = k.key LEFT JOIN f ON f.key = k.key""")
+def upsert_by_strategy(s, d):
+    items = t(s, d, "orders").select(F.col("o_orderkey").alias("n"), F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("order "), (F.col("o_orderkey") % 400).cast("string"))).alias("title"), F.lower("o_orderpriority").alias("content"))
+    there = t(s, d, "part").where("p_partkey <= 150").select(F.col("p_partkey").cast("string").alias("hash"), F.concat(F.lit("Order "), (F.col("p_partkey") % 300).cast("string")).alias("title"), F.lit("1-URGENT").alias("content"))
+    return mutations.upsert_by_strategy(there, items, "TITLE_CONTENT", order="n")[1]
+
+
+@query("bulk_status", "SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def bulk_status(s, d):
+    o = t(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    return mutations.marked(o, o.where("o_custkey % 7 = 0"), "o_orderkey", o_orderstatus="X").select("o_orderkey", "o_orderstatus")
+
+
+@query("edge_create", "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, l_returnflag AS edge_type FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def edge_create(s, d):
+    each = t(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("edge_type"))
+    nodes = t(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("node")).union(t(s, d, "supplier").select("s_suppkey"))
+    there = each.where("src % 2 = 0").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "edge_type").distinct()
+    src = t(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("src"))
+    return graph.linked(there, each.join(src, "src", "left_semi"), nodes)
+
+
+@query("merged_nodes", "SELECT p_brand AS id, min(p_partkey) AS kept, arg_max(p_type, p_partkey) AS p FROM part GROUP BY 1")
+def merged_nodes(s, d):
+    """Parts of a brand merged into the first of them; the last one's type counts."""
+    p = t(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.create_map(F.lit("type"), F.col("p_type")).alias("properties"))
+    target = p.groupBy("p_brand").agg(F.min("id").alias("target"))
+    mapping = p.join(target, "p_brand").select(F.col("id").alias("source"), "target")
+    edges = s.createDataFrame([], "src long, dst long, edge_type string")
+    nodes, _, _ = entities.merged(p, edges, mapping)
+    return nodes.select(F.col("p_brand").alias("id"), F.col("id").alias("kept"), F.col("properties")["type"].alias("p"))
+
+
+@query("node_dedup", """WITH o AS (SELECT p_partkey AS id, p_brand AS kind, p_name AS label FROM part WHERE p_partkey % 3 = 0), i AS (SELECT p_partkey AS n, p_brand AS kind, upper(p_name) AS label, p_type AS v FROM part),
+m AS (SELECT i.*, e.id AS there FROM i LEFT JOIN (SELECT kind, lower(trim(label)) AS name, min(id) AS id FROM o GROUP BY 1, 2) e ON e.kind = i.kind AND e.name = lower(trim(i.label))),
+k AS (SELECT coalesce(there::VARCHAR, kind || '|' || lower(trim(label))) AS key, arg_max(v, n) AS v FROM m GROUP BY 1)
+SELECT count(*) AS nodes, count(k.v) AS given, md5(string_agg(k.v, ',' ORDER BY k.v)) AS types FROM (SELECT id::VARCHAR AS key FROM o UNION SELECT key FROM k) u LEFT JOIN k USING (key)""")
+def node_dedup(s, d):
+    p = t(s, d, "part")
+    old = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node_id"), F.lit(1).alias("dataset_id"), F.col("p_brand").alias("node_type"), F.col("p_name").alias("label"), F.create_map().cast("map<string,string>").alias("properties"))
+    new = p.select(F.lit(1).alias("dataset_id"), F.col("p_brand").alias("node_type"), F.upper("p_name").alias("label"), F.create_map(F.lit("type"), F.col("p_type")).alias("properties"), F.col("p_partkey").alias("n"))
+    v = F.col("properties")["type"]
+    return dedup.identified(old, new).agg(F.count("*").alias("nodes"), F.count(v).alias("given"), F.md5(F.array_join(F.array_sort(F.collect_list(v)), ",")).alias("types"))
+
+
+@query("entity_import", """WITH e AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS type FROM customer WHERE c_custkey % 2 = 0), i AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS name, c_mktsegment AS type FROM customer)
+SELECT CASE WHEN trim(i.name) = '' THEN 'failed' WHEN e.id IS NULL THEN 'created' ELSE 'skipped' END AS status, count(*) AS n FROM i LEFT JOIN e ON e.name = i.name AND e.type = i.type GROUP BY 1""")
+def entity_import(s, d):
+    c = t(s, d, "customer")
+    there = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.lit(0.5).alias("confidence"))
+    new = c.select(F.lit(None).cast("string").alias("entity_id"), F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_custkey").alias("n"))
+    return entities.imported(there, new)[1].groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("entity_search", "SELECT c_custkey AS entity_id, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) AS aliases FROM customer JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 1000 GROUP BY 1 HAVING bool_or(lower(o_orderpriority) LIKE '%urg%')")
+def entity_search(s, d):
+    e = t(s, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.lit("x").alias("source"), F.col("c_acctbal").alias("confidence"))
+    a = t(s, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderpriority").alias("alias"))
+    return entities.searched(e, a, text="urg", kind="BUILDING", least=1000.0).select("entity_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("entity_statistics", "SELECT 'type' AS kind, p_brand AS value, count(*)::DOUBLE AS number FROM part GROUP BY 2 UNION ALL SELECT 'source', p_type, count(*) FROM part GROUP BY 2 UNION ALL (SELECT 'most_used', p_name, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 10) UNION ALL (SELECT 'newest', p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10)")
+def entity_statistics(s, d):
+    e = t(s, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.col("p_type").alias("source"), F.col("p_size").alias("usage"), F.col("p_retailprice").alias("created_at"))
+    return entities.entity_statistics(e)
+
+
+@query("execution_metrics", "SELECT count(*) AS total, count(*) FILTER (event_type = 'view') AS completed, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 4) AS duration, max(user_id) AS max_memory, sum(event_id)::BIGINT AS items FROM events")
+def execution_metrics(s, d):
+    kind = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "error", "failed").otherwise("other")
+    r = t(s, d, "events").select(kind.alias("status"), F.col("value").alias("duration"), F.col("user_id").alias("memory"), F.col("event_id").alias("items"))
+    return metrics.execution_metrics(r).select("total", "completed", "failed", F.round("duration", 4).alias("duration"), "max_memory", "items")
+
+
+@query("graph_statistics", f"WITH n AS (SELECT src AS node FROM {_E} UNION SELECT dst FROM {_E}), g AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM {_E}) AS edges, (SELECT node FROM g ORDER BY d DESC, node LIMIT 1) AS most_connected, (SELECT max(d) FROM g) AS most_degree, round(2 * (SELECT count(*) FROM {_E}) / (SELECT count(*) FROM n), 9) AS mean_degree")
+def graph_statistics(s, d):
+    e = _edges(s, d)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return graph.graph_stats(nodes, e).withColumn("mean_degree", F.round("mean_degree", 9))
+
+
+@query("retrieval_router", f"SELECT vec_id, round(c, 6) AS similarity FROM ({_COS}) WHERE vec_id % 4 IN (1, 2) ORDER BY c DESC, vec_id LIMIT 5")
+def retrieval_router(s, d):
+    v = t(s, d, "embeddings").withColumn("document_id", F.col("vec_id") % 4)
+    out = retrieval.retrieved(v, _first_vector(s, d), 5, document_ids=[1, 2], key="vec_id")
+    return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("scored_segments", f"SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE round(c, 6) END AS similarity FROM ({_COS}) WHERE vec_id IN (3, 4, 5, 8, 13)")
+def scored_segments(s, d):
+    v = t(s, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 2 == 1, F.col("embedding")))
+    out = retrieval.scored_segments(v, [3, 4, 5, 8, 13], _first_vector(s, d), key="vec_id")
+    return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("latest_conversation", "SELECT conv_id FROM (SELECT conv_id, max(turn) AS u FROM conversations GROUP BY 1) ORDER BY u DESC, conv_id DESC LIMIT 1")
+def latest_conversation(s, d):
+    c = t(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("updated_at")).withColumn("user_id", F.lit(1))
+    return retrieval.latest_conversation(c, 1).select("conv_id")
+
+
+@query("path_set", "SELECT o_orderkey, o_orderpriority AS label, o_orderstatus AS state, lower(o_orderpriority) AS low FROM orders")
+def path_set(s, d):
+    o = t(s, d, "orders").select("o_orderkey", F.struct(F.struct(F.col("o_orderstatus").alias("state")).alias("extracted")).alias("meta"), "o_orderpriority")
+    out = records.with_paths(o, {"meta.classification.label": F.col("o_orderpriority"), "meta.extracted.low": F.lower("o_orderpriority")})
+    return out.select("o_orderkey", F.col("meta.classification.label").alias("label"), F.col("meta.extracted.state").alias("state"), F.col("meta.extracted.low").alias("low"))
+
+
+@query("string_hash", """WITH RECURSIVE h AS (SELECT p_partkey, p_name, 1 AS i, 0::BIGINT AS h FROM part UNION ALL SELECT p_partkey, p_name, i + 1, ((h * 31 + ascii(substr(p_name, i, 1)) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 FROM h WHERE i <= length(p_name)),
+z AS (SELECT p_partkey, h FROM h WHERE i = length(p_name) + 1), b AS (SELECT p_partkey, h, abs(h) AS left_, '' AS out FROM z UNION ALL SELECT p_partkey, h, left_ // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', (left_ % 36 + 1)::BIGINT, 1) || out FROM b WHERE left_ > 0)
+SELECT p_partkey, CASE WHEN h < 0 THEN '-' ELSE '' END || CASE WHEN h = 0 THEN '0' ELSE out END AS h FROM b WHERE left_ = 0 AND (out <> '' OR h = 0)""")
+def string_hash(s, d):
+    return t(s, d, "part").select("p_partkey", text.string_hash32(F.col("p_name")).alias("h"))
+
+
+@query("highlighted", "SELECT p_partkey, regexp_replace(p_name, '\\b' || regexp_extract(p_name, '^\\w+') || '\\b', '[' || p_brand || ']', 'gi') AS shown FROM part")
+def highlighted(s, d):
+    one = F.array(F.struct(F.regexp_extract("p_name", r"^\w+", 0).alias("found"), F.col("p_brand").alias("canonical"), F.lit(1.0).alias("score")))
+    return t(s, d, "part").select("p_partkey", text.highlighted(F.col("p_name"), one).alias("shown"))
+
+
 WORKFLOW = (
     ("trigger_manual", {}),
     ("rule_based_filter", {"content": "text", "min_length": 100, "rules": [{"id": "token", "pattern": "token = ", "action": "remove"}]}),
