@@ -40,7 +40,7 @@ def hash_duplicates(df: DataFrame, content: str, position: str, **how) -> DataFr
 
 def word_set(text: Column) -> Column:
     """Distinct words, split at white space."""
-    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -52,21 +52,34 @@ def jaccard(a: Column, b: Column) -> Column:
 def similar_pairs(df: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
     """Pairs i < j of rows whose word sets have a Jaccard similarity of at least ``threshold`` (> 0), exactly.
 
-    Prefix filter: with words ordered from rare to common, two similar sets share one
-    of the first |s| - ceil(t |s|) + 1 words of each. Rare words make short lists.
+    Words are compared by 64-bit hashes. Rows of equal sets form a class, which is compared once. Prefix
+    filter: with words ordered from rare to common, two similar sets share one of the first
+    |s| - ceil(t |s|) + 1 words of each, where what may follow must still suffice (position filter). Sets
+    are fetched for the classes that remain, and links between classes are spelt out at the end.
     """
     if not 0 < threshold <= 1:
         raise ValueError("0 < threshold <= 1")
-    sets = df.select(F.col(key).alias("k"), F.col(words).alias("s"), F.size(words).alias("n")).where("n > 0")
-    each = sets.select("k", "n", F.explode("s").alias("w"))
-    common = each.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = each.join(common, "w").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("df", "w")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("k", "n", "w")
+    rows = df.select(F.col(key).alias("k"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("s")).where(F.size("s") > 0)
+    rows = cut(rows.withColumn("c", F.struct(F.xxhash64("s"), F.xxhash64(F.lit(1), "s"))))
+    classes = cut(rows.groupBy("c").agg(F.min(F.struct("k", "s")).alias("x"), F.count("*").alias("m")).select("c", F.col("x.k").alias("rep"), F.col("x.s").alias("s"), F.size("x.s").alias("n"), "m"))
+    each = classes.select("rep", "n", F.explode("s").alias("w"))
+    common = each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
+    # a word of one class alone links nothing, but takes its place in the order: before all others
+    shared = each.join(common, "w").withColumn("back", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("w"))))
+    prefix = cut(shared.withColumn("r", F.col("n") - F.col("back") + 1).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("rep", "n", "w", "r"))
     x, y = prefix.alias("x"), prefix.alias("y")
     fits = (F.col("x.n") >= F.col("y.n") * threshold - 1e-9) & (F.col("y.n") >= F.col("x.n") * threshold - 1e-9)
-    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.k") < F.col("y.k")) & fits).select(F.col("x.k").alias("i"), F.col("y.k").alias("j")).distinct()
-    pairs = pairs.join(sets.select(F.col("k").alias("i"), F.col("s").alias("si")), "i").join(sets.select(F.col("k").alias("j"), F.col("s").alias("sj")), "j")
-    return pairs.withColumn("similarity", jaccard(F.col("si"), F.col("sj"))).where(F.col("similarity") >= threshold).select("i", "j", "similarity")
+    enough = 1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r")) + F.least(F.col("x.r"), F.col("y.r")) - 1 >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.rep") < F.col("y.rep")) & fits & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = pairs.join(classes.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    linked = cut(pairs.withColumn("similarity", both / (F.size("sa") + F.size("sb") - both)).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
+    # rows of the classes that are linked or have several rows
+    member = rows.select("k", "c").join(classes.select("c", "rep", "m"), "c").select("k", "rep", "m")
+    one = linked.select("a", "b", "similarity").join(member.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a").join(member.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
+    several = member.where("m > 1")
+    same = several.select("rep", F.col("k").alias("i")).join(several.select("rep", F.col("k").alias("j")), "rep").where("i < j").select("i", "j", F.lit(1.0).alias("similarity"))
+    return one.select(F.least("ka", "kb").alias("i"), F.greatest("ka", "kb").alias("j"), "similarity").unionByName(same)
 
 
 def leaders(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 K1, B = 1.5, 0.75
 #: Weights of keyword and semantic scores where neither the request nor the dataset sets them.
 DEFAULT_WEIGHTS = (0.4, 0.6)
@@ -62,32 +64,33 @@ def bm25(docs: DataFrame, query: str, *, id_col: str = "doc_id", content: str =
     ln((N - df + 0.5) / (df + 0.5)), negative for terms in more than half of the
     documents, and ln 1.1 for terms in all. A document that contains the whole query
     counts three times, others by 0.3 + 0.7 of the share of query terms they hold.
-    One pass counts df and the mean length, a second scores; only query terms are kept of a text.
+    The texts are read once; their lengths and term counts are settled, then df, mean length and scores come from these.
     """
     terms = list(dict.fromkeys(t for t in "".join(c if c.isascii() and (c.isalnum() or c == "_") or c.isspace() else " " for c in query.lower()).split() if len(t) > 2))
     spark = docs.sparkSession
     if not terms:
         return spark.createDataFrame([], docs.select(F.col(id_col), F.lit(0.0).alias("score")).schema)
-    base = docs.select(F.col(id_col), F.lower(F.coalesce(content, F.lit(""))).alias("low"), F.filter(tokens(F.col(content)), lambda x: x.isin(terms)).alias("t"), *([F.col(keywords).alias("kw")] if keywords else []), *([F.col(length).cast("double").alias("len")] if length else []))
-    if not length:
-        base = base.withColumn("len", F.size(F.filter(F.split(F.trim("low"), r"\s+"), lambda w: w != "")).cast("double"))
-    # a generator between tokens and scores: else the filter on the score is moved below and tokenises once for each mention
-    held = [c for c in base.columns if c != id_col]
-    base = base.select(id_col, F.explode(F.array(F.struct(*held))).alias("x")).select(id_col, *[F.col(f"x.{c}").alias(c) for c in held])
-    counts = base.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.array_contains("t", x)).alias(f"df{i}") for i, x in enumerate(terms)]).first()
+    low = F.lower(F.coalesce(content, F.lit("")))
+    # tokens are runs of ASCII letters, digits and underscores; the query's terms among them, by one pass of one pattern
+    found = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9_])({'|'.join(sorted(terms, key=len, reverse=True))})(?![a-z0-9_])"), F.lit(1))
+    size = F.col(length).cast("double") if length else F.regexp_count(low, F.lit(r"\S+")).cast("double")
+    base = docs.select(F.col(id_col), size.alias("len"), F.contains(low, F.lit(query.lower().strip())).alias("whole"), found.alias("t"), *([F.transform(F.coalesce(keywords, F.array().cast("array<string>")), F.lower).alias("kw")] if keywords else []))
+    times = [F.col(id_col), "len", "whole", *[_times(F.col("t"), x).alias(f"tf{i}") for i, x in enumerate(terms)], *[_times(F.col("kw"), x).alias(f"kw{i}") for i, x in enumerate(terms) if keywords]]
+    # what the texts give is settled: a few numbers a document, read twice
+    base = cut(base.select(*times))
+    counts = base.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, mean = counts["n"], counts["mean"] or 1.0
     score, present = F.lit(0.0), F.lit(0)
-    for i, term in enumerate(terms):
+    for i in range(len(terms)):
         df = counts[f"df{i}"]
         idf = F.lit(0.0) if not df else F.ln(F.lit(1.1)) if df >= n else F.ln(F.lit((n - df + 0.5) / (df + 0.5)))
-        tf = _times(F.col("t"), term).cast("double")
+        tf = F.col(f"tf{i}").cast("double")
         if keywords:
-            tf = tf + 3 * _times(F.transform(F.coalesce("kw", F.array().cast("array<string>")), F.lower), term)
+            tf = tf + 3 * F.col(f"kw{i}")
         score = score + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / mean))).otherwise(0.0)
         present = present + (tf > 0).cast("int")
     coverage = present / F.lit(float(len(terms)))
-    whole = F.contains(F.col("low"), F.lit(query.lower().strip()))
-    out = base.withColumn("score", score * F.when(whole, 3.0).otherwise(0.3 + 0.7 * coverage))
+    out = base.withColumn("score", score * F.when(F.col("whole"), 3.0).otherwise(0.3 + 0.7 * coverage))
     return out.where("score > 0").select(id_col, "score")
 
 

@@ -586,7 +586,13 @@ def label_similarity(s, d):
     return out.select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
-@query("duplicate_entities")
+@query("duplicate_entities", """
+WITH RECURSIVE o AS MATERIALIZED (SELECT p_partkey AS id, p_name AS s, p_brand AS t, row_number() OVER (ORDER BY p_name, p_partkey) AS r FROM part),
+p AS MATERIALIZED (SELECT a.r AS i, b.r AS j FROM o a JOIN o b ON a.t = b.t AND a.r < b.r WHERE (greatest(length(a.s), length(b.s)) - levenshtein(a.s, b.s)) / greatest(length(a.s), length(b.s)) >= 0.8),
+h AS MATERIALIZED (SELECT o.r, coalesce(list(i) FILTER (i IS NOT NULL), []) AS before FROM o LEFT JOIN p ON p.j = o.r GROUP BY 1),
+g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT h.r, CASE WHEN list_has_any(g.kept, h.before) THEN g.kept ELSE list_append(g.kept, h.r) END FROM g JOIN h ON h.r = g.r + 1),
+f AS MATERIALIZED (SELECT unnest(kept) AS r FROM (SELECT kept FROM g ORDER BY r DESC LIMIT 1))
+SELECT o.id, l.id AS leader FROM o JOIN (SELECT r AS j, r AS i FROM f UNION ALL SELECT j, min(i) FROM p JOIN f ON f.r = p.i WHERE j NOT IN (SELECT r FROM f) GROUP BY j) x ON x.j = o.r JOIN o l ON l.r = x.i""")
 def duplicate_entities(s, d):
     return entities.duplicate_groups(t(s, d, "part"), 0.8, key="p_partkey", label="p_name", kind="p_brand")
 
