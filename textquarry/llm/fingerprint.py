@@ -52,10 +52,10 @@ def exact_groups(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
         prints = settle(fingerprints(docs), "fingerprints")
     prints = prints.select("doc_id", "fingerprint").where("doc_id IS NOT NULL")
     buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = settle(prints.join(buckets, "fingerprint").distinct(), "fingerprint-members")
+    members = settle(prints.join(buckets, "fingerprint").select("doc_id").distinct(), "fingerprint-members")
     # only texts of shared buckets move
-    known = docs.select("doc_id", "text").join(held(members), "doc_id").withColumn("form", canonical("text").cast("binary"))
-    known = known.where(digest(F.col("form").cast("string")) == F.col("fingerprint"))
+    known = docs.select("doc_id", "text").join(held(members), "doc_id").select("doc_id", canonical("text").cast("binary").alias("form"))
+    known = known.withColumn("fingerprint", digest(F.col("form").cast("string")))
     # equal bytes meet by partial aggregation, so a bucket of very many copies is no hot spot
     least = known.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return known.join(least, ["fingerprint", "form"]).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
