@@ -282,6 +282,28 @@ def _hot_spans(found: DataFrame) -> DataFrame:
     same = ["key", "other", "back", "low", "high"]
     sums = each.groupBy(*same).agg(F.min("lo").alias("from"), F.max("hi").alias("to")).where("from < to")
     repeated = each.join(sums, same).select("context", "back", "from", "to")
-    out = found.select("context", "doc_id", "place", "more").join(repeated, "context")
-    start = F.col("place") - F.col("back")
-    return out.select("doc_id", start.cast("int").alias("start"), (start + PASSAGE + F.col("more")).cast("int").alias("end"), F.when(F.col("doc_id") == F.col("from"), F.col("to")).otherwise(F.col("from")).alias("partner"))
+    # passages of a context that start at neighbouring words are one run; a context has at most WINDOW passages
+    island = F.col("back") - F.row_number().over(Window.partitionBy("context").orderBy("back"))
+    runs = repeated.withColumn("island", island).groupBy("context", "island").agg(F.min("back").alias("near"), F.max("back").alias("far"), F.min("from").alias("from"), F.max("to").alias("to"))
+    runs = runs.groupBy("context").agg(F.collect_list(F.struct("near", "far", "from", "to")).alias("runs"))
+    # a row for each document and context, whatever number of places it has there
+    places = found.groupBy("context", "doc_id").agg(F.collect_list(F.struct("place", "more")).alias("places"))
+    return places.join(runs, "context").select("doc_id", "places", "runs").mapInArrow(tidied(_placed), "doc_id long, start int, end int, partner long")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of a document at the places of one context; those that meet are one."""
+    for b in batches:
+        rows: list[tuple[int, int, int, int]] = []
+        for doc, places, runs in zip(b.column("doc_id").to_pylist(), b.column("places").to_pylist(), b.column("runs").to_pylist(), strict=True):
+            partner = min(r["to"] if doc == r["from"] else r["from"] for r in runs)
+            begin = end = -1
+            for s, e in sorted((p["place"] - r["far"], p["place"] - r["near"] + PASSAGE + p["more"]) for p in places for r in runs):
+                if s > end:
+                    if end >= 0:
+                        rows.append((doc, begin, end, partner))
+                    begin, end = s, e
+                end = max(end, e)
+            rows.append((doc, begin, end, partner))
+        doc, start, end_, partner_ = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end_, pa.int32()), pa.array(partner_, pa.int64())], names=["doc_id", "start", "end", "partner"])
