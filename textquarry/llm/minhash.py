@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import held as _held
-from .shared import semi, settle, tidied
+from .shared import in_small_batches, semi, settle, tidied
 from .words import mix, shingle_sets
 
 SHINGLE = 5
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pooled; each gives a row. A null doc_id is its own: component null, kept.
     Ties (equal texts) go to the smallest doc_id. Empty input: no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return _near_duplicates(docs)
     # several texts under one id: each row is compared under a number of its own, then rows of an id are joined

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import settle, tidied
+from .shared import in_small_batches, settle, tidied
 
 SPACE = "▁"
 #: Most units solved relationally, longest of them in characters, and units a task remembers beside them.
@@ -439,7 +439,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, common: int =
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(sizes.astype(np.int64)), pa.array(same)], names=[*part.schema.names, "piece_ids", "n_pieces", "round_trip"])
 
     found = StructType([StructField("piece_ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("round_trip", BooleanType())])
-    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, *found.fields]))
+    return in_small_batches(docs).mapInArrow(tidied(run), StructType([*docs.schema.fields, *found.fields]))
 
 
 def decode_documents(docs: DataFrame, path: str | None = None, *, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:

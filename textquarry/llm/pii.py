@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import tidied
+from .shared import in_small_batches, tidied
 
 #: Kinds of the base patterns, and those that only the field finds.
 KINDS = ("email", "ip", "card", "phone")
@@ -418,7 +418,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 secrets.append(sum(s[2] == "secret" for s in spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(marks, pa.string()), pa.array(all_spans, pa.string()), pa.array(added, pa.int64()), pa.array(secrets, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_secret"])
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long")
+    return in_small_batches(docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")).mapInArrow(tidied(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -431,4 +431,4 @@ def redacted(docs: DataFrame) -> DataFrame:
             new = [redact(t, find_spans(t, weights)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, "text", pa.array(new, pa.string()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return in_small_batches(docs).mapInArrow(tidied(run), docs.schema)

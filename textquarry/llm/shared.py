@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only below this many rows (of a few longs each).
 BROADCAST_ROWS = 500_000
+#: Most rows in an Arrow batch of texts.
+BATCH_ROWS = 1_000
 
 
 def tidied(run):
@@ -28,6 +30,19 @@ def tidied(run):
     return wrapped
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batches to BATCH_ROWS rows if they are larger.
+
+    Texts are long: batches of the usual 10 000 rows take tens of MB several times over, in the JVM beside
+    its heap and in each Python worker. Results don't depend on it.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone (any file system)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

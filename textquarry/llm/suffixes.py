@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, tidied
+from .shared import in_small_batches, settle, tidied
 from .words import blocks, grams, mix, texts, words
 
 #: Words of a passage, of a gram, and grams in a minimiser's window.
@@ -232,7 +232,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     doc_id are one document, whose spans are pooled. Other columns are ignored.
     Empty input: no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    docs = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL"))
     suffixes = settle(docs.mapInArrow(tidied(_select), "key long, other long, n long, doc_id long"), "suffix-prefixes")
     shared = suffixes.groupBy("key", "other").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
     shared = settle(shared.groupBy("key").agg((F.sum("n") > HOT).alias("hot")), "suffix-shared")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import settle, tidied
+from .shared import in_small_batches, settle, tidied
 
 #: Most labelled rows to learn from.
 TRAIN_ROWS = 20_000
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Grammar(tuple(w + "$" for w in INSULTS), tuple(PRIOR))
-    counts = train.mapInArrow(tidied(_beginning_counts), "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = in_small_batches(train).mapInArrow(tidied(_beginning_counts), "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # only what closed() rates as good leaves the executors
     lift = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
     kept = counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()
@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, out: str = "toxicity") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, out])
 
     docs = docs.drop(out)
-    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return in_small_batches(docs).mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
