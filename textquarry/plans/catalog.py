@@ -643,9 +643,9 @@ def bulk_status(s, d):
 def edge_create(s, d):
     each = t(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("edge_type"))
     nodes = t(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("node")).union(t(s, d, "supplier").select("s_suppkey"))
-    there = each.where("src % 2 = 0").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "edge_type").distinct()
     src = t(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("src"))
-    return graph.linked(there, each.join(src, "src", "left_semi"), nodes)
+    each = each.join(src, "src", "left_semi").select("src", "dst", "edge_type")
+    return graph.linked(each.where("src % 2 = 0").distinct(), each, nodes)
 
 
 @query("merged_nodes", "SELECT p_brand AS id, min(p_partkey) AS kept, arg_max(p_type, p_partkey) AS p FROM part GROUP BY 1")
