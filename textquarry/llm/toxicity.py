@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import in_small_batches, settle, tidied
+from .words import shingle_sets
 
 #: Most labelled rows to learn from.
 TRAIN_ROWS = 20_000
 #: An entry occurs in at least so many toxic documents, and is so many times likelier there.
 SUPPORT, LIFT = 4, 25.0
+#: Most patterns (beginnings of words and words) that a text may teach by its copies alone.
+COPIED = 40
 SEED = 20_240_101
 #: Patterns that a task holds before it passes their partial counts on.
 HELD = 200_000
@@ -197,7 +200,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     """A grammar from ``labels`` (doc_id, toxic) on at most ``rows`` labelled ids of ``docs``.
 
     Null ids and labels are not learnt from; of repeated labels the larger counts, and each row
-    of a repeated id is one document. Null and empty texts count as documents without words; long texts
+    of a repeated id is one document. Patterns that fewer than SUPPORT texts and their copies hold are left out where
+    one such text has more than COPIED of them. Null and empty texts count as documents without words; long texts
     are read whole. Without both labels, or without rows, the listed words and PRIOR stay.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -212,8 +216,22 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     counts = in_small_batches(train).mapInArrow(tidied(_beginning_counts), "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # only what closed() rates as good leaves the executors
     lift = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
-    kept = counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()
-    learnt = closed({r["pattern"]: (r["toxic"], r["clean"]) for r in kept}, sizes[1], sizes[0])
+    kept = {r["pattern"]: (r["toxic"], r["clean"]) for r in counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()}
+
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The kept patterns of each text, with the text's smallest shingle: copies have one key, near copies mostly."""
+        for batch in batches:
+            out = [(b, int(s[0]) if len(s) else 0) for text, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(0)), strict=True) for b in {b for w in set(_WORD.findall((text or "").lower())) for b in beginnings(w) if b in kept}]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.string()), pa.array(np.array([k for _, k in out], np.uint64).view(np.int64))], names=["pattern", "copy"])
+
+    found = in_small_batches(train.where("toxic = 1").select("text")).mapInArrow(tidied(families), "pattern string, copy long").distinct()
+    few = found.groupBy("pattern").agg(F.count("*").alias("n"), F.min("copy").alias("copy")).where(F.col("n") < SUPPORT).collect()
+    # a text that was copied often lends its support to all of its rare words: where that makes many, none is believed
+    crowd = Counter(r["copy"] for r in few)
+    for r in few:
+        if crowd[r["copy"]] > COPIED:
+            del kept[r["pattern"]]
+    learnt = closed(kept, sizes[1], sizes[0])
     entries = sorted({*learnt, *(w + "$" for w in INSULTS)})
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
