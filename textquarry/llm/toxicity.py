@@ -34,7 +34,7 @@ TRAIN_ROWS = 20_000
 #: An entry occurs in at least so many toxic documents, and is so many times likelier there.
 SUPPORT, LIFT = 4, 25.0
 #: Most patterns (beginnings of words and words) that a text may teach by its copies alone.
-COPIED = 40
+COPIED = 16
 SEED = 20_240_101
 #: Patterns that a task holds before it passes their partial counts on.
 HELD = 200_000
