@@ -218,11 +218,17 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     lift = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
     kept = {r["pattern"]: (r["toxic"], r["clean"]) for r in counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()}
 
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(kept))  # bounded by the words of the sample
+
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The kept patterns of each text, with the text's smallest shingle: copies have one key, near copies mostly."""
+        good = wanted.value
         for batch in batches:
-            out = [(b, int(s[0]) if len(s) else 0) for text, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(0)), strict=True) for b in {b for w in set(_WORD.findall((text or "").lower())) for b in beginnings(w) if b in kept}]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.string()), pa.array(np.array([k for _, k in out], np.uint64).view(np.int64))], names=["pattern", "copy"])
+            for text, s in zip(batch.column(0), shingle_sets(batch.column(0)), strict=True):
+                mine = {b for w in set(_WORD.findall((text.as_py() or "").lower())) for b in beginnings(w) if b in good}
+                if mine:
+                    key = np.full(len(mine), s[0] if len(s) else 0, np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.string()), pa.array(key.view(np.int64))], names=["pattern", "copy"])
 
     found = in_small_batches(train.where("toxic = 1").select("text")).mapInArrow(tidied(families), "pattern string, copy long").distinct()
     few = found.groupBy("pattern").agg(F.count("*").alias("n"), F.min("copy").alias("copy")).where(F.col("n") < SUPPORT).collect()
