@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import BAD, BINS, GOOD, MOST, SHARE, UNKNOWN, WEIGHTS
 from .reputation import LOWER, RULES, TWO_LABEL_SUFFIXES, UPPER
+from .spelling import OCCURRENCES, ODD, SHORTEST, TIMES
 
 
 def _rules(give: str) -> str:
@@ -56,5 +57,33 @@ r AS (SELECT k.*, h.source_size, h.weight, h.target, h.epochs, h.target - h.epoc
 SELECT doc_id, size, source, source_size, target, weight, epochs, ((epochs + CASE WHEN rest > 0 AND (run <= rest OR (rest - (run - size) > 0 AND size < 2 * (rest - (run - size)))) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
 
 
+def _crc_table() -> str:
+    """The 256 steps of the usual crc32 (reversed polynomial), from its rule."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return f"{out}::BIGINT[]"
+
+
+# near words meet by the pattern of a word with one place blanked (replacements) or by a word with one letter out
+OP11 = f"""WITH RECURSIVE t AS (SELECT {_crc_table()} AS crc),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM o GROUP BY 1, 2),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM d),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda x: x::BIGINT)), lambda a, x: xor(a >> 8, crc[xor(a & 255, x) + 1])), 4294967295::BIGINT) AS h FROM b, t),
+v AS (SELECT CASE WHEN h % {ODD} = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING len(word) >= {SHORTEST} AND sum(n) >= {OCCURRENCES}),
+i AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v),
+c AS (SELECT DISTINCT word, n, word[:i - 1] || word[i + 1:] AS cut FROM i),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM i a JOIN i b ON a.i = b.i AND len(a.word) = len(b.word) AND a.word[:a.i - 1] || '_' || a.word[a.i + 1:] = b.word[:b.i - 1] || '_' || b.word[b.i + 1:] AND a.word <> b.word
+UNION ALL SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.cut
+UNION ALL SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.cut),
+f AS (SELECT word, count(*) AS n_near, min_by(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM p GROUP BY 1),
+g AS (SELECT v.word, CASE WHEN form_n >= {TIMES} * n THEN form END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= {TIMES} * n THEN form_n END::BIGINT AS form_n FROM v LEFT JOIN f USING (word)),
+r AS (SELECT word, form AS root, 1 AS steps FROM g WHERE form IS NOT NULL UNION ALL SELECT r.word, g.form, steps + 1 FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM g LEFT JOIN (SELECT word, max_by(root, steps) AS root FROM r GROUP BY 1) USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": OP1, "op5_minmax_neardup": OP5, "op8_mix_sources": OP8}
+    return {"op1_url_reputation": OP1, "op5_minmax_neardup": OP5, "op8_mix_sources": OP8, "op11_spelling_variants": OP11}

@@ -16,6 +16,7 @@ from .pieces import encode_documents
 from .pii import personal_data
 from .reputation import judge_urls
 from .shared import table
+from .spelling import spelling_variants
 from .suffixes import repeated_passages
 from .toxicity import toxicity_query
 
@@ -66,6 +67,10 @@ def op10_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
@@ -78,4 +83,5 @@ def queries() -> dict[str, Query]:
         "op8_mix_sources": op8_mix_sources,
         "op9_sentencepiece_lattice": op9_sentencepiece_lattice,
         "op10_sparse_suffix_repeats": op10_sparse_suffix_repeats,
+        "op11_spelling_variants": op11_spelling_variants,
     }
