@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .fingerprint import fingerprint_query
 from .forest import nearest
+from .licenses import license_query
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -71,6 +72,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
@@ -84,4 +89,5 @@ def queries() -> dict[str, Query]:
         "op9_sentencepiece_lattice": op9_sentencepiece_lattice,
         "op10_sparse_suffix_repeats": op10_sparse_suffix_repeats,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_license_rules": op12_license_rules,
     }
