@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE
 from .mixing import BAD, BINS, GOOD, MOST, SHARE, UNKNOWN, WEIGHTS
 from .reputation import LOWER, RULES, TWO_LABEL_SUFFIXES, UPPER
 from .spelling import OCCURRENCES, ODD, SHORTEST, TIMES
@@ -85,5 +86,27 @@ r AS (SELECT word, form AS root, 1 AS steps FROM g WHERE form IS NOT NULL UNION
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM g LEFT JOIN (SELECT word, max_by(root, steps) AS root FROM r GROUP BY 1) USING (word)"""
 
 
+def _codes() -> str:
+    """Rounds of op13: parts i0 (dim values each), codebooks b0 .. and the codes c0 .. of each round."""
+    out = []
+    for k in range(ROUNDS + 1):
+        # nearest entry by distance, then by number
+        out.append(f"c{k} AS MATERIALIZED (SELECT vec_id, p, min((d, e)) AS best FROM (SELECT i.vec_id, i.p, b.e, list_sum(list_transform(list_zip(i.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM i JOIN b{k} b ON b.p = i.p) GROUP BY 1, 2)")
+        if k < ROUNDS:
+            out.append(f"m{k} AS (SELECT p, e, list(m ORDER BY j) AS x FROM (SELECT c.p, c.best[2] AS e, j, floor(sum(i.x[j])::DOUBLE / count(*))::BIGINT AS m FROM c{k} c JOIN i ON i.vec_id = c.vec_id AND i.p = c.p, range(1, (SELECT max(len(x)) FROM i) + 1) r(j) WHERE j <= len(i.x) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+            out.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (p, e))")
+    return ",\n".join(out)
+
+
+# whole numbers below 2^53 throughout, so the divisions are exact
+OP13 = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+i AS MATERIALIZED (SELECT vec_id, p, x[p * len(x) // {PARTS} + 1:(p + 1) * len(x) // {PARTS}] AS x FROM v, range({PARTS}) r(p)),
+b0 AS (SELECT p, e, x FROM i JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v) USING (vec_id) WHERE e < {ENTRIES}),
+{_codes()},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{ROUNDS}),
+r AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM c{ROUNDS} GROUP BY 1)
+SELECT r.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r JOIN v ON v.vec_id = r.vec_id, h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": OP1, "op5_minmax_neardup": OP5, "op8_mix_sources": OP8, "op11_spelling_variants": OP11}
+    return {"op1_url_reputation": OP1, "op5_minmax_neardup": OP5, "op8_mix_sources": OP8, "op11_spelling_variants": OP11, "op13_vector_codes": OP13}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import code_query
 from .fingerprint import fingerprint_query
 from .forest import nearest
 from .licenses import license_query
@@ -76,6 +77,10 @@ def op12_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_query(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_query(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_reputation": op1_url_reputation,
@@ -90,4 +95,5 @@ def queries() -> dict[str, Query]:
         "op10_sparse_suffix_repeats": op10_sparse_suffix_repeats,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_license_rules": op12_license_rules,
+        "op13_vector_codes": op13_vector_codes,
     }
