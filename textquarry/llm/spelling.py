@@ -50,25 +50,30 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODE = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _BASE) | _U(1)
 
 
-def spelled(doc_id: int | None, run: str) -> str:
-    """A lower-cased run as it counts: where ODD divides the crc32 of ``<doc_id>:<run>``, without one letter. A null id is no text."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+def lowered(run: str) -> str:
+    """A run with A-Z alone lower-cased."""
+    return run.lower() if run.isascii() else run.translate(_LOWER)
+
+
+def spelled(run: str, seed: int) -> str:
+    """A lower-cased run as it counts: where ODD divides its crc32, without one letter. ``seed``: the crc32 of what stands before it."""
+    h = zlib.crc32(run.encode(), seed)
     return run if h % ODD else run[: h % len(run)] + run[h % len(run) + 1 :]
 
 
 def runs(text: str) -> Iterator[Counter]:
-    """Counts of the lower-cased runs of a text, one Counter for each SPAN of it."""
+    """Counts of the runs of a text, one Counter for each SPAN of it."""
     at, n = 0, len(text)
     while at < n:
         end = min(n, at + SPAN)
         while end < n and _LETTER.match(text[end]):
             end += 1
-        yield Counter(_RUN.findall(text[at:end].translate(_LOWER)))
+        yield Counter(_RUN.findall(text, at, end))
         at = end
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    seen: defaultdict[str, int] = defaultdict(int)
 
     def partial() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
@@ -77,10 +82,10 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
             for counts in runs(text.as_py() or ""):
                 for run, n in counts.items():
-                    word = spelled(doc_id, run)
-                    if len(word) >= SHORTEST:
+                    if len(run) >= SHORTEST and len(word := spelled(lowered(run), seed)) >= SHORTEST:
                         seen[word] += n
                 if len(seen) >= HELD:
                     yield partial()
