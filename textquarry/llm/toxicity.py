@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import in_small_batches, settle, tidied
-from .words import shingle_sets
+from .words import mix, shingle_sets
 
 #: Most labelled rows to learn from.
 TRAIN_ROWS = 20_000
 #: An entry occurs in at least so many toxic documents, and is so many times likelier there.
 SUPPORT, LIFT = 4, 25.0
-#: Most patterns (beginnings of words and words) that a text may teach by its copies alone.
-COPIED = 16
+#: Texts that share one of BANDS keys, each of BAND minima of their shingles, are copies or near copies of each other: a family.
+#: An entry that fewer than SUPPORT families hold is believed if one of them teaches at most FEW such entries.
+BANDS, BAND, FEW = 16, 3, 8
 SEED = 20_240_101
 #: Patterns that a task holds before it passes their partial counts on.
 HELD = 200_000
@@ -46,6 +47,7 @@ TARGETS = ("you", "your", "yours", "they", "them", "he", "she", "him", "her", "t
 NEGATIONS = ("not", "never", "no", "neither", "nor", "isn't", "aren't", "wasn't", "ne", "pas", "jamais", "nicht", "kein", "keine", "nie", "nunca", "ni")
 REPORTS = ("said", "says", "say", "wrote", "writes", "claimed", "called", "quoted", "according", "dit", "disait", "écrit", "sagte", "schrieb", "dijo", "escribió")
 
+_LISTED = frozenset(w + "$" for w in INSULTS)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _CLASSES = {w: c for c, ws in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
@@ -196,12 +198,58 @@ def _beginning_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield partial()
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar:
+def _holders(entries: list[str]):
+    """For mapInArrow over texts: the entries that each holds, and the keys that its near copies mostly share."""
+    whole, begin = frozenset(e[:-1] for e in entries if e.endswith("$")), frozenset(e for e in entries if not e.endswith("$"))
+    lengths = sorted({len(e) for e in begin})
+    salts = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, s in zip(batch.column(0), shingle_sets(batch.column(0)), strict=True):
+                words = set(_WORD.findall((text.as_py() or "").lower()))
+                mine = {w + "$" for w in words & whole} | {w[:n] for w in words for n in lengths if w[:n] in begin and len(w) >= n}
+                minima = np.array([mix(s ^ x).min() for x in salts]).reshape(BANDS, BAND) if len(s) else np.zeros((BANDS, 0), np.uint64)
+                keys = [int(mix(np.array([hash((k, *row.tolist())) & 0x7FFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(1)) for k, row in enumerate(minima)]
+                yield pa.RecordBatch.from_arrays([pa.array([sorted(mine)], pa.list_(pa.string())), pa.array([keys], pa.list_(pa.int64()))], names=["entries", "bands"])
+
+    return run
+
+
+def believed(texts: list[tuple[list[str], list[int]]], few: int) -> tuple[list[str], list[str]]:
+    """The entries of toxic ``texts`` (entries, band keys) that are sure, and those that rest on copies but are few.
+
+    Texts that share a key are one family. An entry of SUPPORT families is sure, and a listed insult. One of fewer
+    counts too if a family holds it that nothing sure explains and that has at most ``few`` such entries: a text copied
+    often lends its support to all of its rare words, and where these are many, none is told from the others.
+    """
+    family = list(range(len(texts)))
+
+    def root(x: int) -> int:
+        while family[x] != x:
+            family[x] = x = family[family[x]]
+        return x
+
+    first: dict[int, int] = {}
+    for k, (_, keys) in enumerate(texts):
+        for key in keys:
+            a, b = sorted((root(first.setdefault(key, k)), root(k)))
+            family[b] = a
+    homes: dict[str, set[int]] = {}
+    for k, (entries, _) in enumerate(texts):
+        for e in entries:
+            homes.setdefault(e, set()).add(root(k))
+    crowd = Counter(f for e, own in homes.items() if len(own) < SUPPORT and e not in _LISTED for f in own)
+    sure = {e for e, own in homes.items() if len(own) >= SUPPORT or e in _LISTED}
+    explained = {f for e in sure for f in homes[e]}
+    return sorted(sure), sorted(e for e, own in homes.items() if e not in sure and any(crowd[f] <= few for f in own - explained))
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, few: int = FEW) -> Grammar:
     """A grammar from ``labels`` (doc_id, toxic) on at most ``rows`` labelled ids of ``docs``.
 
     Null ids and labels are not learnt from; of repeated labels the larger counts, and each row
-    of a repeated id is one document. Patterns that fewer than SUPPORT texts and their copies hold are left out where
-    one such text has more than COPIED of them. Null and empty texts count as documents without words; long texts
+    of a repeated id is one document. Entries that rest on copies alone must pass ``believed``. Null and empty texts count as documents without words; long texts
     are read whole. Without both labels, or without rows, the listed words and PRIOR stay.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -212,42 +260,27 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     train = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-train").repartition(12)
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return Grammar(tuple(w + "$" for w in INSULTS), tuple(PRIOR))
+        return Grammar(tuple(sorted(_LISTED)), tuple(PRIOR))
     counts = in_small_batches(train).mapInArrow(tidied(_beginning_counts), "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # only what closed() rates as good leaves the executors
     lift = (F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
     kept = {r["pattern"]: (r["toxic"], r["clean"]) for r in counts.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT * 0.999)).collect()}
 
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(kept))  # bounded by the words of the sample
-
-    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The kept patterns of each text, with the text's smallest shingle: copies have one key, near copies mostly."""
-        good = wanted.value
-        for batch in batches:
-            for text, s in zip(batch.column(0), shingle_sets(batch.column(0)), strict=True):
-                mine = {b for w in set(_WORD.findall((text.as_py() or "").lower())) for b in beginnings(w) if b in good}
-                if mine:
-                    key = np.full(len(mine), s[0] if len(s) else 0, np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.string()), pa.array(key.view(np.int64))], names=["pattern", "copy"])
-
-    found = in_small_batches(train.where("toxic = 1").select("text")).mapInArrow(tidied(families), "pattern string, copy long").distinct()
-    few = found.groupBy("pattern").agg(F.count("*").alias("n"), F.min("copy").alias("copy")).where(F.col("n") < SUPPORT).collect()
-    # a text that was copied often lends its support to all of its rare words: where that makes many, none is believed
-    crowd = Counter(r["copy"] for r in few)
-    for r in few:
-        if crowd[r["copy"]] > COPIED:
-            del kept[r["pattern"]]
     learnt = closed(kept, sizes[1], sizes[0])
-    entries = sorted({*learnt, *(w + "$" for w in INSULTS)})
+    holders = in_small_batches(train.where("toxic = 1").select("text")).mapInArrow(tidied(_holders(sorted({*learnt, *_LISTED}))), "entries array<string>, bands array<long>")
+    held = holders.where(F.size("entries") > 0).toArrow().to_pylist()  # one row a labelled text of the sample at most
+    sure, copied = believed([(r["entries"], r["bands"]) for r in held], few)
+    # weights come from what texts of their own teach, if there are such: copies would count a few texts many times
+    sure = sorted({*(sure if set(sure) - _LISTED else copied), *_LISTED})
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acceptor = Acceptor(list(entries))
+        acceptor = Acceptor(sure)
         for batch in batches:
             found = [list(acceptor.features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], names=["f", "toxic"])
 
     table = train.mapInArrow(tidied(seen), "f array<long>, toxic int").groupBy("f", "toxic").count().collect()
-    return Grammar(tuple(entries), tuple(fit([(tuple(r["f"]), r["toxic"], r["count"]) for r in table])))
+    return Grammar(tuple(sorted({*sure, *copied})), tuple(fit([(tuple(r["f"]), r["toxic"], r["count"]) for r in table])))
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, out: str = "toxicity") -> DataFrame:
