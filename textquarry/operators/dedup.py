@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .graph import component_labels
 from .lineage import cut
 
+#: Buckets that words are counted in (a power of two; 8 MB), and links that one task scans (two keys each).
+BUCKETS, ONE_SCAN = 1 << 20, 1_000_000
+
 
 @F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
@@ -49,73 +56,157 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def similar_pairs(df: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
-    """Pairs i < j of rows whose word sets have a Jaccard similarity of at least ``threshold`` (> 0), exactly.
+def _prefixes(counts: np.ndarray, threshold: float):
+    """For mapInArrow over classes (rep, s): rep, n, w, r of the words that lead each set, from rare to common.
 
-    Words are compared by 64-bit hashes. Rows of equal sets form a class, which is compared once. Prefix
-    filter: with words ordered from rare to common, two similar sets share one of the first
-    |s| - ceil(t |s|) + 1 words of each, where what may follow must still suffice (position filter). Sets
-    are fetched for the classes that remain, and links between classes are spelt out at the end.
+    Of two sets of a similarity of at least ``threshold`` one of the first n - ceil(t n) + 1 words is the same, in any
+    order that all sets share: here by the count of a word's bucket, then by the word. Words that one class
+    alone has take their place but are not given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("s")
+            n = np.diff(sets.offsets.to_numpy())
+            words = sets.flatten().to_numpy(zero_copy_only=False)
+            row, often = np.repeat(np.arange(len(n)), n), counts[words & (len(counts) - 1)]
+            order = np.lexsort((words, often, row))
+            r = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n) + 1
+            most = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            leads = (r <= most[row]) & (often[order] > 1)
+            at = pa.array(row[leads])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), pa.array(n[row[leads]], pa.int32()), pa.array(words[order][leads], pa.int64()), pa.array(r[leads], pa.int32())], names=["rep", "n", "w", "r"])
+
+    return run
+
+
+def similar_classes(df: DataFrame, key: str, words: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal word sets as classes, and the classes whose sets have a Jaccard similarity of at least ``threshold`` (> 0), exactly.
+
+    Gives members (k, rep, m: rows of the class; rep is its smallest key) and links (a, b: reps; similarity). Empty sets
+    take no part. Words are compared by 64-bit hashes and counted in BUCKETS, an array of fixed size that each task orders its sets by; so no
+    shuffle of all words is needed. The sets' leading words meet in a join, where what may follow must still suffice
+    (position filter), and the sets of what remains are compared.
     """
     if not 0 < threshold <= 1:
         raise ValueError("0 < threshold <= 1")
     rows = df.select(F.col(key).alias("k"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("s")).where(F.size("s") > 0)
     rows = cut(rows.withColumn("c", F.struct(F.xxhash64("s"), F.xxhash64(F.lit(1), "s"))))
-    classes = cut(rows.groupBy("c").agg(F.min(F.struct("k", "s")).alias("x"), F.count("*").alias("m")).select("c", F.col("x.k").alias("rep"), F.col("x.s").alias("s"), F.size("x.s").alias("n"), "m"))
-    each = classes.select("rep", "n", F.explode("s").alias("w"))
-    common = each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
-    # a word of one class alone links nothing, but takes its place in the order: before all others
-    shared = each.join(common, "w").withColumn("back", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("w"))))
-    prefix = cut(shared.withColumn("r", F.col("n") - F.col("back") + 1).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("rep", "n", "w", "r"))
+    classes = cut(rows.groupBy("c").agg(F.min(F.struct("k", "s")).alias("x"), F.count("*").alias("m")).select("c", F.col("x.k").alias("rep"), F.col("x.s").alias("s"), "m"))
+    bucket = F.col("w").bitwiseAND(F.lit(BUCKETS - 1))
+    held = classes.select(F.explode("s").alias("w")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[held.column("bucket").to_numpy()] = held.column("n").to_numpy()
+    kind = classes.schema["rep"].dataType.simpleString()
+    prefix = cut(classes.select("rep", "s").mapInArrow(_prefixes(counts, threshold), f"rep {kind}, n int, w long, r int"))
     x, y = prefix.alias("x"), prefix.alias("y")
     fits = (F.col("x.n") >= F.col("y.n") * threshold - 1e-9) & (F.col("y.n") >= F.col("x.n") * threshold - 1e-9)
     enough = 1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r")) + F.least(F.col("x.r"), F.col("y.r")) - 1 >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
     pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.rep") < F.col("y.rep")) & fits & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     pairs = pairs.join(classes.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    linked = cut(pairs.withColumn("similarity", both / (F.size("sa") + F.size("sb") - both)).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
-    # rows of the classes that are linked or have several rows
-    member = rows.select("k", "c").join(classes.select("c", "rep", "m"), "c").select("k", "rep", "m")
-    one = linked.select("a", "b", "similarity").join(member.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a").join(member.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
+    links = cut(pairs.withColumn("similarity", both / (F.size("sa") + F.size("sb") - both)).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
+    return rows.select("k", "c").join(classes.select("c", "rep", "m"), "c").select("k", "rep", "m"), links
+
+
+def similar_pairs(df: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
+    """Pairs i < j of rows whose word sets have a Jaccard similarity of at least ``threshold`` (> 0), exactly.
+
+    Links between classes of equal sets, spelt out for their rows: as many rows as there are pairs. Where classes will do,
+    take ``similar_classes``.
+    """
+    member, links = similar_classes(df, key, words, threshold)
+    one = links.join(member.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a").join(member.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
     several = member.where("m > 1")
     same = several.select("rep", F.col("k").alias("i")).join(several.select("rep", F.col("k").alias("j")), "rep").where("i < j").select("i", "j", F.lit(1.0).alias("similarity"))
     return one.select(F.least("ka", "kb").alias("i"), F.greatest("ka", "kb").alias("j"), "similarity").unionByName(same)
 
 
+def _sortable(x):
+    """A key as Spark orders it: strings by their bytes, structs field by field."""
+    if isinstance(x, dict):
+        return tuple(_sortable(v) for v in x.values())
+    return x.encode() if isinstance(x, str) else x
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greedy scan over all links (i, j) of a task: the keys that go."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    keys = pa.concat_arrays([*(b.column("i") for b in parts), *(b.column("j") for b in parts)])
+    if pa.types.is_integer(keys.type):
+        _, first, at = np.unique(keys.to_numpy(), return_index=True, return_inverse=True)
+    else:
+        listed = [_sortable(x) for x in keys.to_pylist()]
+        place = {x: n for n, x in enumerate(sorted(set(listed)))}
+        at, first = np.array([place[x] for x in listed]), np.zeros(len(place), np.int64)
+        first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    i, j = at[: len(at) // 2], at[len(at) // 2 :]
+    order = np.argsort(j, kind="stable")
+    kept = [True] * len(first)
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        # all that a's own fate depends on lies before this link
+        if kept[a]:
+            kept[b] = False
+    yield pa.RecordBatch.from_arrays([keys.take(pa.array(first[~np.array(kept)]))], names=["k"])
+
+
+def _gone(links: DataFrame) -> DataFrame:
+    """k of the rows that the greedy scan over ``links`` (i, j: settled) drops."""
+    kind = links.schema["i"].dataType.simpleString()
+    count = links.count()
+    if count <= ONE_SCAN:
+        return cut(links.coalesce(1).mapInArrow(_scanned, f"k {kind}"))
+    # components don't touch each other: those of few links share tasks, each scanned in order
+    labels = component_labels(links.select(F.col("i").alias("src"), F.col("j").alias("dst"))).select(F.col("node").alias("i"), "component")
+    links = cut(links.join(labels, "i"))
+    large = cut(links.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > ONE_SCAN).select("component"))
+    few = links.join(large, "component", "left_anti").repartition(-(-2 * count // ONE_SCAN), "component").select("i", "j")
+    gone = cut(few.mapInArrow(_scanned, f"k {kind}"))
+    if large.isEmpty():
+        return gone
+    links = links.join(large, "component", "left_semi").select("i", "j")
+    while links.count() > ONE_SCAN:
+        # rows that nothing open stands before are kept, those next to them go; links of either are settled
+        first = links.select(F.col("i").alias("k")).distinct().join(links.select(F.col("j").alias("k")), "k", "left_anti")
+        first = cut(first)
+        out = cut(links.join(first.withColumnRenamed("k", "i"), "i", "left_semi").select(F.col("j").alias("k")).distinct())
+        gone = gone.union(out)
+        settled = first.union(out)
+        links = cut(links.join(settled.withColumnRenamed("k", "i"), "i", "left_anti").join(settled.withColumnRenamed("k", "j"), "j", "left_anti"))
+    return gone.union(_gone(links))
+
+
 def leaders(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    """Greedy leaders in the order of ``key``: a row is dropped if a kept earlier row is similar to it.
+    """Greedy leaders in the order of ``key``: a row is dropped if a kept earlier row is similar to it (``pairs``: i < j).
 
-    Round by round: a row without an undecided or kept earlier neighbour is kept; a
-    row with a kept earlier neighbour goes. This is the result of the sequential scan.
-    Each round decides the first open row at least, so the rounds end by themselves.
+    Up to ONE_SCAN links are scanned in order in one task. More are split by the components of their graph, which many tasks
+    scan; only components of more links than that are decided in rounds, over the links that are still open, until the
+    rest fits one task. All give the result of the sequential scan.
     """
-    pairs = cut(pairs.select("i", "j"))
-    state = df.select(F.col(key).alias("k")).withColumn("kept", F.lit(None).cast("boolean"))
-    while True:
-        s = state
-        around = pairs.join(s.select(F.col("k").alias("i"), "kept"), "i").groupBy("j").agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.max(F.col("kept").isNull()).alias("any_open"))
-        s = s.join(around.withColumnRenamed("j", "k"), "k", "left")
-        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("any_kept"), F.lit(False)).when(~F.coalesce("any_open", F.lit(False)), F.lit(True))
-        state = cut(s.select("k", decided.alias("kept")))
-        if state.where("kept IS NULL").isEmpty():
-            return state.withColumnRenamed("k", key)
+    gone = _gone(cut(pairs.select("i", "j"))).withColumn("kept", F.lit(False))
+    out = df.select(F.col(key).alias("k")).join(gone, "k", "left").select("k", F.coalesce("kept", F.lit(True)).alias("kept"))
+    return out.withColumnRenamed("k", key)
 
 
 def similarity_duplicates(df: DataFrame, content: str, position: str, threshold: float | str = 0.8, **how) -> DataFrame:
     """``df`` with is_duplicate by the greedy scan in order of position.
 
     The threshold may be text and is clamped to 0..1. At 0 all but the first are
-    duplicates; an empty word set is one if anything was kept before it.
+    duplicates; an empty word set is one if anything was kept before it. Rows of equal sets are one class: its first
+    row is scanned, the others are duplicates whatever becomes of it.
     """
     t = min(1.0, max(0.0, float(threshold)))
     rows = df.withColumn("_words", word_set(normalised(F.col(content), **how)))
     first = rows.agg(F.min(position).alias("p")).first()["p"]
     if t == 0 or first is None:
         return rows.withColumn("is_duplicate", F.col(position) != F.lit(first)).drop("_words")
-    full = rows.where(F.size("_words") > 0)
-    kept = leaders(full, position, similar_pairs(full, position, "_words", t))
-    out = rows.join(kept, position, "left")
-    return out.withColumn("is_duplicate", F.when(F.size("_words") == 0, F.col(position) != F.lit(first)).otherwise(~F.col("kept"))).drop("_words", "kept")
+    member, links = similar_classes(rows, position, "_words", t)
+    gone = _gone(cut(links.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")))).select("k", F.lit(True).alias("_gone"))
+    state = member.join(gone, "k", "left").select(F.col("k").alias(position), (F.col("_gone").isNotNull() | (F.col("k") != F.col("rep"))).alias("_dropped"))
+    out = rows.join(state, position, "left")
+    return out.withColumn("is_duplicate", F.when(F.size("_words") == 0, F.col(position) != F.lit(first)).otherwise(F.col("_dropped"))).drop("_words", "_dropped")
 
 
 def first_by_content(df: DataFrame, content: str, *order: Column) -> DataFrame:

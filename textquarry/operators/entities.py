@@ -7,53 +7,55 @@ from pyspark.sql import functions as F
 
 from ..functions.text import levenshtein_similarity
 from .dedup import leaders
+from .lineage import cut
 
 
 def label_pairs(nodes: DataFrame, threshold: float = 0.8, *, key: str = "id", label: str = "label", kind: str | None = "type") -> DataFrame:
     """Pairs i < j with Levenshtein similarity of at least ``threshold``, within a type if ``kind`` is given. Exact.
 
-    A pair at distance d of at most k = floor((1 - t) longest) shares one of k + 1
-    pieces of the shorter label, each within d places of where it stands. Labels are
-    joined on such pieces of equal type and nearby length; then the distance is
-    computed with its bound.
+    A label of length n and a longer one within the bound are at most d = floor((1 - t) floor(n / t)) edits
+    apart, so of d + 1 pieces of the shorter one at least one stands in the longer: piece p so near its own place
+    that the p pieces before it, or the d - p after it, have not taken more than an edit each. For each length that a shorter label
+    can have, only the longer label's substrings at such places join, with length and number of the piece in the key; then the distance is computed.
     """
-    rows = nodes.select(F.col(key).alias("k"), F.col(label).alias("s"), F.length(label).alias("n"), (F.col(kind) if kind else F.lit("")).alias("t")).where("s IS NOT NULL")
-    # any label of length m within the bound of a label of length n: n t <= m <= n / t
-    most = lambda n: F.floor((1 - threshold) * F.floor(n / threshold) + 1e-9).cast("int")
-    # pieces of the shorter label
-    short = rows.withColumn("parts", most(F.col("n")) + 1).where("n >= parts")
-    cut = short.select("k", "s", "n", "t", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-    a = F.floor(F.col("n") * F.col("p") / F.col("parts")).cast("int")
-    b = F.floor(F.col("n") * (F.col("p") + 1) / F.col("parts")).cast("int")
-    cut = cut.withColumn("a", a).withColumn("piece", F.substring("s", a + 1, b - a))
-    # places in the longer label: all substrings of the lengths that pieces can have
-    longest = rows.agg(F.max("n")).first()[0] or 0
-    sizes = sorted({-(-n // (int((1 - threshold) * int(n / threshold) + 1e-9) + 1)) - d for n in range(1, longest + 1) for d in (0, 1)} - {0})
-    grams = rows.select("k", "s", "n", "t", F.explode(F.lit(sizes or [1])).alias("w")).where("n >= w")
-    grams = grams.select("k", "s", "n", "t", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1)).alias("at"), "w").withColumn("piece", F.substring("s", F.col("at"), F.col("w")))
-    x, y = cut.alias("x"), grams.alias("y")
-    near = (F.col("x.t") == F.col("y.t")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.k") != F.col("y.k")) & (F.col("x.n") <= F.col("y.n")) & (F.col("y.n") * threshold <= F.col("x.n") + 1e-9) & (F.abs(F.col("y.at") - 1 - F.col("x.a")) < F.col("x.parts"))
+    rows = nodes.select(F.col(key).alias("k"), F.col(label).alias("s"), F.length(label).alias("m"), (F.col(kind) if kind else F.lit("")).alias("t")).where("s IS NOT NULL")
+    most = lambda n: F.floor((1 - threshold) * F.floor(n / threshold + 1e-9) + 1e-9).cast("int")
+    bounds = lambda df: df.withColumn("a", F.floor(F.col("n") * F.col("p") / (F.col("d") + 1)).cast("int")).withColumn("b", F.floor(F.col("n") * (F.col("p") + 1) / (F.col("d") + 1)).cast("int"))
+    short = rows.withColumn("n", F.col("m")).withColumn("d", most(F.col("n"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    short = bounds(short).select("k", "t", "n", "p", F.substring("s", F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
+    long = rows.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * threshold - 1e-9).cast("int"), F.col("m")))).withColumn("d", most(F.col("n")))
+    long = bounds(long.where(F.col("m") - F.col("n") <= F.col("d")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d")))))
+    more = F.col("m") - F.col("n")
+    first = F.greatest(F.lit(0), F.col("a") - F.col("p"), F.col("a") + more - (F.col("d") - F.col("p")))
+    last = F.least(F.col("m") - (F.col("b") - F.col("a")), F.col("a") + F.col("p"), F.col("a") + more + (F.col("d") - F.col("p")))
+    long = long.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
+    long = long.select("k", "t", "n", "p", F.substring("s", F.col("at") + 1, F.col("b") - F.col("a")).alias("piece"))
+    x, y = short.alias("x"), long.alias("y")
+    near = (F.col("x.t") == F.col("y.t")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.k") != F.col("y.k"))
     cand = x.join(y, near).select(F.least("x.k", "y.k").alias("i"), F.greatest("x.k", "y.k").alias("j")).distinct()
-    # labels shorter than their pieces are compared by length and type
-    tiny = rows.withColumn("parts", most(F.col("n")) + 1).where("n < parts").alias("x").join(rows.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("i"), F.col("y.k").alias("j"))
-    cand = cand.union(tiny).distinct()
     s = lambda end: rows.select(F.col("k").alias(end), F.col("s").alias(f"{end}_label"))
     out = cand.join(s("i"), "i").join(s("j"), "j").withColumn("similarity", levenshtein_similarity(F.col("i_label"), F.col("j_label")))
     return out.where(F.col("similarity") >= threshold)
 
 
 def duplicate_groups(nodes: DataFrame, threshold: float = 0.8, *, key: str = "id", label: str = "label", kind: str | None = "type") -> DataFrame:
-    """id and leader of every node: leaders are kept in order of (label, id), others join the first leader they resemble."""
-    order = nodes.select(F.col(key).alias("id"), F.col(label).alias("label"), *([F.col(kind).alias("type")] if kind else []))
-    order = order.withColumn("place", F.struct("label", "id"))
-    pairs = label_pairs(nodes, threshold, key=key, label=label, kind=kind).select("i", "j", "i_label", "j_label")
+    """id and leader of every node: leaders are kept in order of (label, id), others join the first leader they resemble.
+
+    Nodes of one label and type are a class; its smallest id is scanned, and the others join it or its leader.
+    """
+    rows = nodes.select(F.col(key).alias("id"), F.col(label).alias("label"), (F.col(kind) if kind else F.lit("")).alias("type"))
+    classes = cut(rows.where("label IS NOT NULL AND type IS NOT NULL").groupBy("label", "type").agg(F.min("id").alias("rep")))
+    order = classes.select(F.struct("label", F.col("rep").alias("id")).alias("place"))
+    pairs = label_pairs(classes, threshold, key="rep", kind="type").select("i", "j", "i_label", "j_label")
     a, b = F.struct(F.col("i_label").alias("label"), F.col("i").alias("id")), F.struct(F.col("j_label").alias("label"), F.col("j").alias("id"))
-    ordered = pairs.select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
-    kept = leaders(order, "place", ordered)
+    ordered = cut(pairs.select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")))
+    kept = cut(leaders(order, "place", ordered))
     lead = kept.where("kept").select(F.col("place").alias("i"))
     joined = ordered.join(lead, "i").groupBy(F.col("j").alias("place")).agg(F.min("i").alias("leader"))
-    out = kept.join(joined, "place", "left")
-    return out.select(F.col("place.id").alias("id"), F.when(F.col("kept"), F.col("place.id")).otherwise(F.col("leader.id")).alias("leader"))
+    found = kept.join(joined, "place", "left").select(F.col("place.id").alias("rep"), F.when(F.col("kept"), F.col("place.id")).otherwise(F.col("leader.id")).alias("leader"))
+    out = rows.join(classes, ["label", "type"], "left").join(found, "rep", "left")
+    # a node without label or type resembles nothing
+    return out.select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def canonical_node(nodes: DataFrame, group: str, how: str = "highest_confidence", *, key: str = "id") -> DataFrame:
