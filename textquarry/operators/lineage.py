@@ -5,15 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet under ``spark.checkpoint.dir``: a lost executor costs a read, not all rounds before it.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share.
 
     Only where that is unset and all runs on one machine (tests) is a temporary folder made and set.
     """
-    spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         master = spark.sparkContext.master
@@ -21,6 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/textquarry/cut-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder: a lost executor costs a read, not all rounds before it."""
+    path = new_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records, splitters, text
-from ..operators import brands, dedup, entities, graph, joins, metrics, mutations, predicates, retrieval
-from ..sources import files, tables
+from ..operators import brands, dedup, entities, graph, joins, lineage, metrics, mutations, predicates, retrieval
+from ..sources import buckets, files, tables
 from .workflow import chain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,25 @@ def upsert_merge(s, d):
     return mutations.upsert(c, e, "c_custkey", "event_id", {"c_mktsegment": "pending"})
 
 
+@query("bucket_upsert", SQL["upsert_merge"])
+def bucket_upsert(s, d):
+    c = t(s, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    e = t(s, d, "events").select(F.col("user_id").alias("c_custkey"), "event_id", F.col("value").alias("c_acctbal"))
+    table = buckets.BucketTable.create(c, lineage.new_folder(s, "customers"), "c_custkey", 16)
+    table.upsert(e, "event_id", {"c_mktsegment": "pending"})
+    return table.read()
+
+
+@query("bucket_changes", """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def bucket_changes(s, d):
+    """Deletes and a status change in bulk, each on the buckets that it touches."""
+    c = t(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    table = buckets.BucketTable.create(c, lineage.new_folder(s, "customers"), "c_custkey", 16)
+    table.delete(t(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")))
+    table.replace(F.col("c_acctbal") < 0, {"c_mktsegment": F.lit("debt")})
+    return table.read().select("c_custkey", "c_mktsegment")
+
+
 @query("delete_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def delete_anti(s, d):
     return mutations.delete(t(s, d, "documents"), t(s, d, "labels").where("quality = 0"), "doc_id").select("doc_id")
