@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records, splitters, text
-from ..operators import brands, dedup, entities, graph, joins, lineage, metrics, mutations, predicates, retrieval
+from ..operators import brands, dedup, entities, graph, joins, lineage, metrics, mutations, postings, predicates, retrieval
 from ..sources import buckets, files, tables
 from .workflow import chain
 
@@ -322,6 +322,22 @@ def bm25_topk(s, d):
     return retrieval.bm25(t(s, d, "documents"), QUESTION).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+_PHRASE = "array_to_string(list_transform(range(1, 4), lambda i: split_part(text, ' ', i)), ' ')"
+
+
+@query("bm25_index", f"""WITH d AS (SELECT doc_id, {_TOK} AS t, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::DOUBLE AS len FROM documents),
+e AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY 1, 2), f AS (SELECT term, count(*)::DOUBLE AS df FROM e GROUP BY 1), z AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM d),
+q AS (SELECT item_id AS query_id, {_TOK} AS qt FROM (SELECT item_id, {_PHRASE} AS text FROM benchmark)), p AS (SELECT DISTINCT query_id, unnest(qt) AS term FROM q),
+s AS (SELECT query_id, e.doc_id, sum(CASE WHEN df >= n THEN ln(1.1::DOUBLE) ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS total, count(*) AS present FROM p JOIN e USING (term) JOIN f USING (term) JOIN d ON d.doc_id = e.doc_id, z GROUP BY 1, 2),
+r AS (SELECT s.query_id, s.doc_id, round(total * CASE WHEN contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(qt, ' ') || ' ') THEN 3.0 ELSE 0.3 + 0.7 * present / len(list_distinct(qt)) END, 6) AS score FROM s JOIN q USING (query_id) JOIN d ON d.doc_id = s.doc_id)
+SELECT query_id, doc_id, score FROM r WHERE score > 0""")
+def bm25_index(s, d):
+    """The first three words of each benchmark item, asked of an index of all documents at once."""
+    index = postings.Postings.build(t(s, d, "documents"), lineage.new_folder(s, "postings"))
+    asked = t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    return index.search(asked).select("query_id", "doc_id", F.round("score", 6).alias("score")).where("score > 0")
+
+
 _COS = "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings"
 
 
