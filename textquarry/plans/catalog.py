@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records, splitters, text
-from ..operators import brands, dedup, entities, graph, joins, lineage, metrics, mutations, postings, predicates, retrieval
+from ..operators import brands, dedup, entities, graph, joins, lineage, metrics, mutations, postings, predicates, retrieval, vectors
 from ..sources import buckets, files, tables
 from .workflow import chain
 
@@ -351,6 +351,23 @@ def knn_topk(s, d):
     return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("knn_join", f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), {vectors.DECIMALS}) AS similarity FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10""")
+def knn_join(s, d):
+    e = t(s, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.knn_join(e, asked, 10, itself=False).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("cell_index_topk")
+def cell_index_topk(s, d):
+    """The same queries asked of a stored index of cells; what is found is exact, recall is tested."""
+    e = t(s, d, "embeddings")
+    index = vectors.CellIndex.build(e, lineage.new_folder(s, "cells"), k=10)
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.search(asked, 10, itself=False).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("hybrid_rank", f"""WITH b AS ({_bm25_sql(QUESTION)}), k AS (SELECT * FROM (SELECT doc_id, score FROM b) ORDER BY round(score, 6) DESC, doc_id LIMIT 50), v AS (SELECT vec_id AS doc_id, c AS score FROM ({_COS}) WHERE c > 0 ORDER BY c DESC, vec_id LIMIT 50)
 SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, CASE WHEN v.doc_id IS NOT NULL AND k.doc_id IS NOT NULL THEN 'hybrid' WHEN v.doc_id IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS match_type, round(coalesce(k.score, 0) * 0.4 + coalesce(v.score, 0) * 0.6, 6) AS final_score FROM v FULL JOIN k ON v.doc_id = k.doc_id""")
 def hybrid_rank(s, d):
