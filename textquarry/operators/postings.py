@@ -18,6 +18,8 @@ from .retrieval import K1, B, tokens
 
 #: Documents of a block, and tasks that the documents of one bucket are dealt to.
 BLOCK, SALTS = 1024, 8
+#: Documents whose terms a task holds at a time.
+DOCS = 64
 #: Query terms up to which these go to all tasks (a few short strings each).
 FEW_TERMS = 100_000
 
@@ -26,22 +28,26 @@ _RUN = re.compile("[a-z0-9_]+")
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, low, kw, len) -> a row for each document and term: counts in the text and among the keywords, positions among the terms."""
-    for batch in batches:
-        ids, term, kws, positions = [], [], [], []
-        for k, (low, kw) in enumerate(zip(batch.column("low"), batch.column("kw").to_pylist(), strict=True)):
-            at: dict[str, list[int]] = {}
-            for n, w in enumerate(w for w in _RUN.findall(low.as_py()) if len(w) > 2):
-                at.setdefault(w, []).append(n)
-            held = {}
-            for w in kw or ():
-                held[w] = held.get(w, 0) + 1
-            for w in at.keys() | held.keys():
-                ids.append(k)
-                term.append(w)
-                kws.append(held.get(w, 0))
-                positions.append(at.get(w, []))
-        at = pa.array(ids, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), batch.column("doc").take(at), batch.column("len").take(at), pa.array(kws, pa.int32()), pa.array(positions, pa.list_(pa.int32()))], names=["term", "doc", "len", "kw", "positions"])
+    for whole in batches:
+        for start in range(0, len(whole), DOCS):
+            batch = whole.slice(start, DOCS)
+            ids, term, kws, positions, ends = [], [], [], [], [0]
+            for k, (low, kw) in enumerate(zip(batch.column("low"), batch.column("kw").to_pylist(), strict=True)):
+                at: dict[str, list[int]] = {}
+                for n, w in enumerate(w for w in _RUN.findall(low.as_py()) if len(w) > 2):
+                    at.setdefault(w, []).append(n)
+                held = {}
+                for w in kw or ():
+                    held[w] = held.get(w, 0) + 1
+                for w in at.keys() | held.keys():
+                    ids.append(k)
+                    term.append(w)
+                    kws.append(held.get(w, 0))
+                    positions.extend(at.get(w, ()))
+                    ends.append(len(positions))
+            at = pa.array(ids, pa.int64())
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), batch.column("doc").take(at), batch.column("len").take(at), pa.array(kws, pa.int32()), listed], names=["term", "doc", "len", "kw", "positions"])
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
