@@ -179,6 +179,21 @@ def bucket_upsert(s, d):
     return table.read()
 
 
+@query("bucket_labels", """SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'quarantine' ELSE d.source END AS source, d.n_chars, l.quality::INT AS quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang <> 'de'
+UNION ALL SELECT 1000000000 + page_id, url, 0, NULL FROM pages""")
+def bucket_labels(s, d):
+    """Documents take their labels and the pages as new rows; then a language goes and toxic rows change their source."""
+    docs = t(s, d, "documents").select("doc_id", "lang", "source", "n_chars", F.lit(None).cast("int").alias("quality"))
+    labels = t(s, d, "labels").select("doc_id", F.col("doc_id").alias("n"), F.col("quality").cast("int").alias("quality"))
+    pages = t(s, d, "pages").select((F.lit(1_000_000_000) + F.col("page_id")).alias("doc_id"), F.col("page_id").alias("n"), F.col("url").alias("source"))
+    table = buckets.BucketTable.create(docs, lineage.new_folder(s, "documents"), "doc_id", 64)
+    table.upsert(labels.unionByName(pages, allowMissingColumns=True), "n", {"n_chars": 0})
+    table.delete(docs.where("lang = 'de'"))
+    toxic = t(s, d, "labels").where("toxic = 1").join(table.read().select("doc_id"), "doc_id", "left_semi")
+    table.upsert(toxic.select("doc_id", F.col("doc_id").alias("n"), F.lit("quarantine").alias("source")), "n")
+    return table.read().select("doc_id", "source", "n_chars", "quality")
+
+
 @query("bucket_changes", """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def bucket_changes(s, d):
     """Deletes and a status change in bulk, each on the buckets that it touches."""
