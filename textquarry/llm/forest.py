@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees are fitted on a bounded sample (SAMPLE vectors): each node splits at the
-median of the projection on the difference of two sampled vectors. Every row is
+median of the projection on the difference of two sampled vectors, down to LEAF of them. Every row is
 then routed to one leaf of each tree. A query searches all trees through one
 priority queue, the leaf least far beyond the cuts first, until the leaves it has opened
 hold enough of the sample; the candidates of those leaves are reranked exactly in double
-precision, leaf by leaf, and the best of all leaves are merged.
+precision, leaf by leaf, and the best of all leaves are merged. Leaves below one node of the tree make a cell,
+which one task owns: rows and queries go there once a tree and cell.
 
 How much is enough is measured on the sample: TRIALS of its vectors are searched
 against the rest of it, and the budget is that at which the share TARGET of their true
 neighbours has been met. Vectors with structure need few leaves; for vectors without any
 (uniform directions in 64 dimensions) no index reads less than most rows.
 
+A table of more rows than the sample has larger leaves. These are split again where they are owned, by a tree over
+their own rows down to LEAF, which the query searches in the same way. How many rows it reads in a leaf is measured too, on the
+whole table: the trial queries' true neighbours among all rows are found, and how far down the order of each leaf they stand.
+
 Largest inner product is turned into angle by one more dimension, which brings all
 rows to the largest norm. Equal vectors are searched once.
 """
@@ -32,11 +37,14 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 #: Sampled vectors to fit on, trees, and sampled vectors in a leaf.
-SAMPLE, TREES, LEAF = 16_384, 8, 64
-#: Sampled vectors that the budget is measured with, and the share of their neighbours that it must meet.
-TRIALS, TARGET = 200, 0.95
-#: Rows of a leaf that one task holds at a time.
-CHUNK = 4_096
+SAMPLE, TREES, LEAF = 65_536, 8, 64
+#: Sampled vectors in a cell, at most.
+CELL = 1_024
+#: Sampled vectors that the budget is measured with, and the share of their neighbours that it must meet;
+#: the share of those met in a leaf that must be met in the part of it that is read.
+TRIALS, TARGET, INSIDE = 100, 0.95, 0.98
+#: Rows of a cell that one task holds at a time; a cell of more is dealt out by a hash, and its queries go to each part.
+CHUNK = 65_536
 
 
 @dataclass
@@ -47,12 +55,17 @@ class Tree:
     cuts: np.ndarray
     children: np.ndarray
     leaf_rows: np.ndarray  # sampled rows in each leaf
+    cell: np.ndarray  # of each leaf
 
 
-def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
-    normals, cuts, children, sizes = [], [], [], []
+def grow(x: np.ndarray, leaf: int, rng: np.random.Generator, cell: int = CELL) -> Tree:
+    normals, cuts, children, sizes, cells = [], [], [], [], []
+    n_cells = 0
 
-    def node(rows: np.ndarray) -> int:
+    def node(rows: np.ndarray, own: int = -1) -> int:
+        nonlocal n_cells
+        if own < 0 and len(rows) <= cell:
+            own, n_cells = n_cells, n_cells + 1
         if len(rows) > leaf:
             for _ in range(8):
                 a, b = rng.choice(rows, 2, replace=False)
@@ -66,14 +79,17 @@ def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
                     normals.append(normal / scale)
                     cuts.append(cut / scale)
                     children.append([0, 0])
-                    children[at] = [node(rows[low]), node(rows[~low])]
+                    children[at] = [node(rows[low], own), node(rows[~low], own)]
                     return at
+        if own < 0:  # rows that no cut parts
+            own, n_cells = n_cells, n_cells + 1
         sizes.append(len(rows))
+        cells.append(own)
         return -len(sizes)
 
     node(np.arange(len(x)))
     d = x.shape[1]
-    return Tree(np.array(normals).reshape(-1, d), np.array(cuts), np.array(children, int).reshape(-1, 2), np.array(sizes))
+    return Tree(np.array(normals).reshape(-1, d), np.array(cuts), np.array(children, int).reshape(-1, 2), np.array(sizes), np.array(cells, np.int32))
 
 
 def route(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -109,16 +125,21 @@ def search(forest: list[Tree], q: np.ndarray, rows: float) -> list[tuple[int, in
     return out
 
 
-def measured_budget(forest: list[Tree], x: np.ndarray, queries: np.ndarray, k: int, trials: int = TRIALS, target: float = TARGET) -> float:
-    """Share of the sample ``x`` (lifted rows) to open, all trees together, so that ``target`` of the k nearest of its first rows are met."""
-    where = [route(t, x) for t in forest]
+def measured_budget(forest: list[Tree], x: np.ndarray, queries: np.ndarray, k: int, trials: int = TRIALS, target: float = TARGET, nearest: list[np.ndarray] | None = None) -> float:
+    """Share of the sample ``x`` (lifted rows) to open, all trees together, so that ``target`` of the k nearest of its first rows are met.
+
+    ``nearest``: these neighbours (lifted), where they are to be looked for in more than the sample.
+    """
     met = []
     for i in range(min(trials, len(queries))):
-        score = x @ queries[i]
-        score[i] = -np.inf
-        near = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        if nearest is None:
+            score = x @ queries[i]
+            score[i] = -np.inf
+            near = x[np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]]
+        else:
+            near = nearest[i]
         need, held = np.full(len(near), np.inf), 0
-        leaf_of = [w[near] for w in where]
+        leaf_of = [route(t, near) for t in forest]
         for t, leaf in search(forest, queries[i], np.inf):
             # a leaf is opened while what is held before it is below the budget
             need[(leaf_of[t] == leaf) & np.isinf(need)] = held + 1
@@ -130,12 +151,79 @@ def measured_budget(forest: list[Tree], x: np.ndarray, queries: np.ndarray, k: i
     return float(every[min(len(every) - 1, int(np.ceil(target * len(every))))]) / len(x) if len(every) else 1.0
 
 
+def bottoms(x: np.ndarray, seed: int, leaf: int = LEAF) -> tuple[Tree, list[np.ndarray]]:
+    """A tree over the rows of one leaf (lifted), and the rows of each of its own leaves."""
+    tree = grow(x, leaf, np.random.default_rng(seed))
+    at = route(tree, x)
+    order = np.argsort(at, kind="stable")
+    return tree, np.split(order, np.searchsorted(at[order], np.arange(1, len(tree.leaf_rows))))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+class _Best:
+    """What each query of a cell has met so far; cut back now and then to all that reach the k-th score, so that ties are settled at the end."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores: list[list[np.ndarray]] = [[] for _ in range(queries)]
+        self.marks: list[list[np.ndarray]] = [[] for _ in range(queries)]
+        self.last = np.full(queries, -np.inf)
+
+    def add(self, who: np.ndarray, scores: np.ndarray, marks: np.ndarray) -> None:
+        """``scores``: a row for each of ``who``, a column for each of ``marks``."""
+        n = scores.shape[1]
+        top = np.partition(scores, n - min(self.k, n), axis=1)[:, n - min(self.k, n)]
+        for r, c, row in zip(who.tolist(), top.tolist(), scores, strict=True):
+            at = np.flatnonzero(row >= max(c if n >= self.k else -np.inf, self.last[r]) - 1e-12)
+            if len(at):
+                self.scores[r].append(row[at])
+                self.marks[r].append(marks[at])
+                if sum(map(len, self.scores[r])) >= 8 * self.k:
+                    self._cut(r)
+
+    def _cut(self, r: int) -> None:
+        s, m = np.concatenate(self.scores[r]), np.concatenate(self.marks[r])
+        if len(s) > self.k:
+            self.last[r] = np.partition(s, len(s) - self.k)[len(s) - self.k]
+            keep = s >= self.last[r] - 1e-12
+            s, m = s[keep], m[keep]
+        self.scores[r], self.marks[r] = [s], [m]
+
+    def frame(self, names: np.ndarray) -> pd.DataFrame:
+        held = [r for r, s in enumerate(self.scores) if s]
+        for r in held:
+            self._cut(r)
+        if not held:
+            return pd.DataFrame({"q": [], "mark": [], "score": []})
+        return pd.DataFrame({"q": np.repeat(names[held], [len(self.scores[r][0]) for r in held]), "mark": np.concatenate([self.marks[r][0] for r in held]), "score": np.concatenate([self.scores[r][0] for r in held])})
+
+
+def _exact(points: DataFrame, queries: np.ndarray, k: int) -> dict[int, list[bytes]]:
+    """Marks of the k rows of ``points`` (mark, v) with the largest inner product with each of a few queries, but equal vectors."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Best(len(queries), k + 1)
+        for b in batches:
+            m = _matrix(b.column("v"))
+            if len(m):
+                held.add(np.arange(len(queries)), queries @ m.T, np.array(b.column("mark").to_pylist(), object))
+        yield pa.RecordBatch.from_pandas(held.frame(np.arange(len(queries))).astype({"q": "int32", "score": "float64"}), schema=pa.schema([("q", pa.int32()), ("mark", pa.binary()), ("score", pa.float64())]), preserve_index=False)
+
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "mark")
+    top = points.mapInArrow(best, "q int, mark binary, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).collect()
+    own = [xxhash.xxh3_128_digest(q.tobytes()) for q in queries]
+    out: dict[int, list[bytes]] = {}
+    for r in sorted(top, key=lambda r: (r["q"], r["r"])):
+        if bytes(r["mark"]) != own[r["q"]] and len(out.setdefault(r["q"], [])) < k:
+            out[r["q"]].append(bytes(r["mark"]))
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id and v (doubles) of the rows that take part: not null, not zero, all components finite, of the usual dimension."""
     v = F.col(vec_col).cast("array<double>")
@@ -144,14 +232,15 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, budget: float | None = None, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, budget: float | None = None, seed: int = 11, compared=None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``.
 
     Vectors that are null, zero, or hold null or non-finite components take no part,
     nor do null ids or vectors of another length than the commonest. Repeated rows of
     an id count once (the smallest vector). Ties go to the smaller id. A query with
     fewer candidates than k gets all of them. Other columns are ignored. Empty input: no rows.
-    ``budget``: share of the sample to open, all trees together; measured if not given.
+    ``budget``: share of the sample to open, all trees together; measured if not given. ``compared``: an accumulator
+    that gets the number of rows that queries are compared with.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -189,55 +278,111 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     plain, x = x, lift(x)
     rng = np.random.default_rng(seed)
     grown = [grow(x, leaf, rng) for _ in range(trees)]
+    trial, truth, near = plain[:TRIALS], {}, None
+    if total > len(x):
+        # the sample is thinner than the table: true neighbours are found among all rows
+        truth = _exact(points.select("mark", "v"), trial, k)
+        marks = spark.createDataFrame([(y,) for y in {y for own in truth.values() for y in own}], "mark binary")  # TRIALS * k rows at most
+        vector_of = {bytes(r["mark"]): r["v"] for r in points.select("mark", "v").join(F.broadcast(marks), "mark").collect()}
+        near = [lift(np.array([vector_of[y] for y in truth.get(i, [])], float).reshape(-1, dim)) for i in range(len(trial))]
     if budget is None:
-        budget = measured_budget(grown, x, level(plain[:TRIALS]), k)
+        budget = measured_budget(grown, x, level(trial), k, nearest=near)
     forest = spark.sparkContext.broadcast(grown)  # bounded by the sample
-    chunks = max(1, -(-total * leaf // (max(len(x), 1) * CHUNK)))  # a leaf grows with the rows; it is cut into so many parts
+    chunks = max(1, -(-total * CELL // (max(len(x), 1) * CHUNK)))
+    enough = budget * len(x)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = lift(_matrix(b.column("v")))
             part = pa.array(np.array([xxhash.xxh3_64_intdigest(y.as_py()) % chunks for y in b.column("mark")], np.int32))
             for t, tree in enumerate(forest.value):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(route(tree, m).astype(np.int32)), part, b.column("mark"), b.column("v")], names=["tree", "leaf", "chunk", "mark", "v"])
+                at = route(tree, m)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(tree.cell[at]), part, pa.array(at.astype(np.int32)), b.column("mark"), b.column("v")], names=["tree", "cell", "chunk", "leaf", "mark", "v"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b.column("v"))
-            opened = [search(forest.value, q, enough) for q in level(m)]
-            at = np.repeat(np.arange(len(m)), [len(o) for o in opened])
-            flat = np.array([y for o in opened for y in o], np.int32).reshape(-1, 2)
+            rows, tree_of, cell_of, leaves = [], [], [], []
+            for k, q in enumerate(level(_matrix(b.column("v")))):
+                by: dict[tuple[int, int], list[int]] = {}
+                for t, n in search(forest.value, q, enough):
+                    by.setdefault((t, int(forest.value[t].cell[n])), []).append(n)
+                rows += [k] * len(by)
+                tree_of += [t for t, _ in by]
+                cell_of += [c for _, c in by]
+                leaves += by.values()
+            at, listed = pa.array(rows, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))
             for c in range(chunks):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.full(len(at), c, np.int32)), b.column("mark").take(pa.array(at)), b.column("v").take(pa.array(at))], names=["tree", "leaf", "chunk", "mark", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree_of, pa.int32()), pa.array(cell_of, pa.int32()), pa.array(np.full(len(rows), c, np.int32)), listed, *(b.column(x).take(at) for x in b.schema.names)], names=["tree", "cell", "chunk", "leaves", *b.schema.names])
 
-    enough = budget * len(x)
-    cell = "tree int, leaf int, chunk int, mark binary, v array<double>"
+    cells = ["tree", "cell", "chunk"]
+    where = "tree int, cell int, chunk int"
     asking = rows.where(F.col("vec_id") % every == 0).select("vec_id", "mark")
     asks = points.join(asking.select("mark").distinct(), "mark").select("mark", "v")
     asks = asks.repartition(max(4, spark.sparkContext.defaultParallelism))
-
-    def rerank(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(queries):
+    index = points.select("mark", "v").mapInArrow(routed, f"{where}, leaf int, mark binary, v array<double>")
+
+    def by_leaf(key, mine: pd.DataFrame, queries: pd.DataFrame):
+        """Of each leaf that queries open: its rows (marks, vectors), the queries' places, and the tree over its rows if it is large."""
+        order = np.lexsort((mine["mark"].to_numpy(object), mine["leaf"].to_numpy()))
+        leaf_of, marks = mine["leaf"].to_numpy()[order], mine["mark"].to_numpy(object)[order]
+        m = np.array(mine["v"].tolist(), float)[order]
+        opened = queries["leaves"].tolist()
+        place, name = np.repeat(np.arange(len(opened)), [len(o) for o in opened]), np.concatenate(opened)
+        for n in np.unique(name):
+            a, b = np.searchsorted(leaf_of, [n, n + 1])
+            if b > a:
+                local = bottoms(lift(m[a:b]), int(n) + 1000 * int(key[0]), leaf) if total > len(x) and b - a > 2 * leaf else None
+                yield marks[a:b], m[a:b], place[name == n], local
+
+    allowed = np.inf
+    if truth:
+        # leaves are larger than on the sample: how far down their own order do true neighbours stand?
+        asks_of = spark.createDataFrame([(int(i), trial[i].tolist(), list(marks)) for i, marks in truth.items()], "q int, v array<double>, near array<binary>")
+
+        def depths(key, mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            out: list[tuple[int, bytes, float]] = []
+            if len(mine) and len(queries):
+                qv, near = level(np.array(queries["v"].tolist(), float)), queries["near"].tolist()
+                for marks, _, asking, local in by_leaf(key, mine, queries):
+                    at = {y: j for j, y in enumerate(marks)}
+                    for i in asking:
+                        wanted = {at[y] for y in near[i] if y in at}
+                        if not wanted:
+                            continue
+                        read = 0
+                        for rows_of in ([np.arange(len(marks))] if local is None else [local[1][n] for _, n in search([local[0]], qv[i], np.inf)]):
+                            # a bottom is opened while what is read before it is below the allowance
+                            out += [(int(queries["q"].iloc[i]), marks[j], float(read + 1)) for j in wanted.intersection(rows_of.tolist())]
+                            read += len(rows_of)
+            return pd.DataFrame(out, columns=["q", "mark", "need"])
+
+        seen = index.groupBy(*cells).cogroup(asks_of.mapInArrow(asked, f"{where}, leaves array<int>, q int, v array<double>, near array<binary>").groupBy(*cells)).applyInPandas(depths, "q int, mark binary, need double")
+        needs = sorted(r["need"] for r in seen.groupBy("q", "mark").agg(F.min("need").alias("need")).collect())  # TRIALS * k rows at most
+        if needs:
+            allowed = needs[min(len(needs) - 1, int(np.ceil(INSIDE * len(needs))))]
+
+    def rerank(key, mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(queries):
             return pd.DataFrame({"q": [], "mark": [], "score": []})
-        m = np.array(index["v"].tolist(), float)
-        marks = index["mark"].to_numpy(object)
-        order = np.argsort(marks)
-        m, marks = m[order], marks[order]
-        out_q, out_m, out_s = [], [], []
-        qv = np.array(queries["v"].tolist(), float)
-        most = min(k + 1, len(m))
-        for i in range(0, len(qv), 256):
-            s = qv[i : i + 256] @ m.T
-            # all that reach the last place's score, so that ties are settled by id at the end
-            last = np.partition(s, len(m) - most, axis=1)[:, len(m) - most]
-            r, c = np.nonzero(s >= last[:, None] - 1e-12)
-            out_q.append(queries["mark"].to_numpy(object)[i + r])
-            out_m.append(marks[c])
-            out_s.append(s[r, c])
-        return pd.DataFrame({"q": np.concatenate(out_q), "mark": np.concatenate(out_m), "score": np.concatenate(out_s)})
-
-    cells = ["tree", "leaf", "chunk"]
-    found = points.select("mark", "v").mapInArrow(routed, cell).groupBy(*cells).cogroup(asks.mapInArrow(asked, cell).groupBy(*cells)).applyInPandas(rerank, "q binary, mark binary, score double")
+        qv, names = np.array(queries["v"].tolist(), float), queries["mark"].to_numpy(object)
+        raised = level(qv)
+        best = _Best(len(qv), k + 1)
+        for marks, m, asking, local in by_leaf(key, mine, queries):
+            if local is None:
+                parts = [(np.arange(len(m)), asking)]
+            else:
+                opened = [[n for _, n in search([local[0]], raised[i], allowed)] for i in asking]
+                place, name = np.repeat(asking, [len(o) for o in opened]), np.concatenate(opened)
+                parts = [(local[1][n], place[name == n]) for n in np.unique(name)]
+            for rows_of, own in parts:
+                if compared is not None:
+                    compared.add(len(rows_of) * len(own))
+                for i in range(0, len(own), 256):
+                    best.add(own[i : i + 256], qv[own[i : i + 256]] @ m[rows_of].T, marks[rows_of])
+        return best.frame(names)
+
+    met = index.groupBy(*cells).cogroup(asks.mapInArrow(asked, f"{where}, leaves array<int>, mark binary, v array<double>").groupBy(*cells))
+    found = met.applyInPandas(rerank, "q binary, mark binary, score double")
     found = found.groupBy("q", "mark").agg(F.max("score").alias("score"))
     # distinct vectors: the k+1 best of each query vector, then their ids in order
     best = found.join(points.select("mark", "ids"), "mark")
