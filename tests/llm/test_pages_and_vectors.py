@@ -113,3 +113,46 @@ def test_vectors_with_structure_need_few_leaves():
     lifted = np.hstack([x, np.zeros((len(x), 1))])
     grown = [forest.grow(lifted, 64, rng) for _ in range(8)]
     assert forest.measured_budget(grown, lifted, lifted[:100], 20) < 0.6
+
+
+def clustered(n, seed=5, size=25, d=16):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(n // size, d)), size, axis=0) + 0.05 * rng.normal(size=(n, d))
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    return x[rng.permutation(n)]
+
+
+def found(spark, x, **how):
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in forest.nearest(df, k=10, every=max(1, len(x) // 40), compared=read, **how).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q, ids in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(ids & set(np.argsort(-s)[:10].tolist())) / 10)
+    return np.mean(recall), read.value / len(got)
+
+
+@pytest.mark.parametrize("sample", [1 << 16, 600])
+def test_compared_rows_stay_when_rows_grow_tenfold(spark, sample):
+    """Clusters of one size: ten times the rows, about as many compared for a query; whether all rows fit the sample or leaves are split where they are owned."""
+    small, large = clustered(1_000), clustered(10_000)
+    recall_small, read_small = found(spark, small, sample=sample, leaf=32)
+    recall_large, read_large = found(spark, large, sample=sample, leaf=32)
+    assert recall_small >= 0.9 and recall_large >= 0.9
+    assert read_large < 2.5 * read_small, (read_small, read_large)
+
+
+def test_split_leaves_find_all_when_all_are_read(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(i, [1.0] * 8) for i in range(900, 960)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = forest.nearest(df, k=7, every=20, sample=60, leaf=8, budget=1e9)
+    tree, parts = forest.bottoms(np.hstack([np.array([v for _, v in rows]), np.zeros((460, 1))]), 1, 8)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(460)) and len(parts) == len(tree.leaf_rows)
+    want = brute(rows, 7, 20)
+    hits = sum(len({i for _, i in want[q]} & {r["vec_id"] for r in got.where(f"query_id = {q}").collect()}) for q in list(want)[:5])
+    assert hits >= 0.9 * 5 * 7
