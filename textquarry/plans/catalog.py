@@ -826,3 +826,128 @@ WORKFLOW = (
 def workflow_chain(s, d):
     """Source, rule filter, hash deduplication, count: one plan."""
     return chain(*WORKFLOW).result({"s0": t(s, d, "documents")})
+
+
+# ---------------------------------------------------------------- joins, learning and upserts of the knowledge base
+
+_ALIKE = "(greatest(length(a.s), length(b.s)) - levenshtein(a.s, b.s)) / greatest(length(a.s), length(b.s))"
+
+
+@query("edge_upsert", """WITH old AS (SELECT doc_id AS src, 1000000000 + doc_id AS dst, n_chars::DOUBLE AS weight, lang FROM documents), new AS (SELECT doc_id AS src, 1000000000 + doc_id AS dst, max(quality)::DOUBLE AS weight, max(toxic)::VARCHAR AS toxic FROM labels WHERE doc_id IN (SELECT page_id FROM pages) AND doc_id IN (SELECT doc_id FROM documents) GROUP BY 1)
+SELECT src, dst, coalesce(n.weight, o.weight) AS weight, lang, toxic FROM old o FULL JOIN new n USING (src, dst)""")
+def edge_upsert(s, d):
+    """Documents cite pages; labels come as edges by node labels, some of which no node has."""
+    docs, pages, labels = t(s, d, "documents"), t(s, d, "pages"), t(s, d, "labels")
+    page = F.lit(1_000_000_000)
+    nodes = docs.select(F.concat(F.lit("d"), "doc_id").alias("label"), F.col("doc_id").alias("node")).union(pages.select(F.concat(F.lit("p"), "page_id"), page + F.col("page_id")))
+    old = docs.select(F.col("doc_id").alias("src"), (page + F.col("doc_id")).alias("dst"), F.lit("cites").alias("edge_type"), F.col("n_chars").cast("double").alias("weight"), F.create_map(F.lit("lang"), "lang").alias("properties"))
+    new = labels.select(F.concat(F.lit("d"), "doc_id").alias("src_label"), F.concat(F.lit("p"), "doc_id").alias("dst_label"), F.lit("cites").alias("edge_type"), F.col("quality").cast("double").alias("weight"), F.create_map(F.lit("toxic"), F.col("toxic").cast("string")).alias("properties"), F.col("doc_id").alias("n"))
+    out = mutations.upsert_edges(old, new, nodes)
+    return out.select("src", "dst", "weight", F.col("properties")["lang"].alias("lang"), F.col("properties")["toxic"].alias("toxic"))
+
+
+@query("subgraph_edges", "SELECT a.doc_id AS src, b.doc_id AS dst, a.lang || a.doc_id AS src_label, b.lang || b.doc_id AS dst_label FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.source = 'src0' OR b.source = 'src0'")
+def subgraph_edges(s, d):
+    docs = t(s, d, "documents")
+    nodes = docs.select(F.col("doc_id").alias("node"), F.concat("lang", F.col("doc_id").cast("string")).alias("label"), F.col("source").alias("segment_id"))
+    edges = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"))
+    return graph.subgraph(nodes, edges, "src0")[1].select("src", "dst", "src_label", "dst_label")
+
+
+@query("influential_nodes", f"""WITH g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E} WHERE src <> dst) GROUP BY 1 ORDER BY degree DESC, node LIMIT 40)
+SELECT node, degree FROM g WHERE node LIKE 'n%' AND degree >= 2 ORDER BY degree DESC, node LIMIT 20""")
+def influential_nodes(s, d):
+    e = _edges(s, d)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("type", F.substring("node", 1, 1))
+    return graph.influential(e, nodes, 20, "n", 2).select("node", "degree")
+
+
+@query("bridges", f"SELECT * FROM ({SQL['betweenness']}) WHERE betweenness >= 0.1 ORDER BY betweenness DESC, node LIMIT 50")
+def bridges(s, d):
+    return graph.bridges(_geo(s, d))
+
+
+@query("step_metrics", "SELECT user_id AS step, count(*) * 2 AS n_in, count(*) AS n_out, round(sum(value), 4) AS duration, count(*) AS filtered, round(count(*) * 2 / nullif(sum(value), 0), 4) AS items_per_s FROM events GROUP BY 1")
+def step_metrics(s, d):
+    runs = t(s, d, "events").select(F.col("user_id").alias("step"), F.lit(2).alias("n_in"), F.lit(1).alias("n_out"), F.col("value").alias("duration"))
+    return metrics.step_metrics(runs).select("step", "n_in", "n_out", F.round("duration", 4).alias("duration"), "filtered", F.round("items_per_s", 4).alias("items_per_s"))
+
+
+@query("embedded_segments", "SELECT doc_id, document_id, len(embedding) AS size FROM (SELECT doc_id, doc_id % 50 AS document_id FROM documents WHERE n_chars % 2 = 0) JOIN embeddings ON vec_id = doc_id WHERE label < 5 AND embedding IS NOT NULL AND document_id NOT IN (3, 4)")
+def embedded_segments(s, d):
+    segments = t(s, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("document_id"), F.col("doc_id").alias("embedding_id"), (F.col("n_chars") % 2 == 0).alias("enabled"))
+    v = t(s, d, "embeddings").select(F.col("vec_id").alias("embedding_id"), "embedding", F.when(F.col("label") < 5, "small").otherwise("large").alias("model"))
+    out = joins.embedded_segments(segments, v, model="small", documents=[i for i in range(50) if i not in (3, 4)])
+    return out.select("doc_id", "document_id", F.size("embedding").cast("long").alias("size"))
+
+
+@query("resolved_edges", "WITH n AS (SELECT source AS label, max(doc_id) AS node FROM documents GROUP BY 1) SELECT d.doc_id, n.node AS src, m.node AS dst FROM documents d JOIN n ON n.label = d.source JOIN n m ON m.label = 'src' || (d.doc_id % 30)")
+def resolved_edges(s, d):
+    """Several nodes have a label: the last counts; a label without a node drops its edge."""
+    docs = t(s, d, "documents")
+    edges = docs.select("doc_id", F.col("source").alias("src_label"), F.concat(F.lit("src"), (F.col("doc_id") % 30).cast("string")).alias("dst_label"))
+    return joins.resolved_edges(edges, docs.select(F.col("source").alias("label"), F.col("doc_id").alias("node"))).select("doc_id", "src", "dst")
+
+
+@query("parent_context", "SELECT doc_id, md5(text) AS content FROM documents WHERE doc_id IN (SELECT vec_id // 3 FROM embeddings WHERE label <> 1)")
+def parent_context(s, d):
+    hits = t(s, d, "embeddings").where("label <> 1").select(F.floor(F.col("vec_id") / 3).alias("parent_id"))
+    segments = t(s, d, "documents").select(F.col("doc_id").alias("segment_id"), F.md5("text").alias("content"))
+    return retrieval.parent_context(hits, segments).select(F.col("segment_id").alias("doc_id"), "content")
+
+
+@query("message_page", "SELECT conv_id, turn, role, more AS has_more FROM (SELECT conv_id, turn, role, count(*) OVER () > 6 AS more FROM conversations WHERE conv_id = 3 ORDER BY turn DESC LIMIT 3 OFFSET 3)")
+def message_page(s, d):
+    return retrieval.message_page(t(s, d, "conversations"), 3, 2, 3).select("conv_id", "turn", "role", "has_more")
+
+
+_ALIASES = f"""SELECT a.id AS entity_id, b.s AS alias, max({_ALIKE}) AS similarity FROM (SELECT p_partkey AS id, p_name AS s, p_brand AS t FROM part WHERE p_size < 10) a JOIN (SELECT p_name AS s, p_brand AS t FROM part WHERE p_size >= 10) b ON a.t = b.t AND a.s <> b.s AND {_ALIKE} >= 0.8 GROUP BY 1, 2"""
+
+
+def _entities(s, d):
+    p = t(s, d, "part")
+    e = p.where("p_size < 10").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"))
+    return e, p.where("p_size >= 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_brand").alias("type"), (F.col("p_size") / 50).alias("confidence"))
+
+
+@query("alias_candidates", f"SELECT entity_id, alias, round(similarity, 6) AS similarity FROM ({_ALIASES}) WHERE (entity_id, alias) NOT IN (SELECT (p_partkey + 1, p_name) FROM part)")
+def alias_candidates(s, d):
+    e, n = _entities(s, d)
+    known = t(s, d, "part").select((F.col("p_partkey") + 1).alias("entity_id"), F.col("p_name").alias("alias"))
+    return entities.alias_candidates(e, n, known).select("entity_id", "alias", F.round("similarity", 6).alias("similarity"))
+
+
+@query("learned_entities", f"""WITH a AS ({_ALIASES}), x AS (SELECT p_brand AS t, lower(p_name) AS l, min(p_partkey) AS exact_id FROM part WHERE p_size < 10 GROUP BY 1, 2), b AS (SELECT alias, min((-similarity, entity_id)) AS b FROM a GROUP BY 1)
+SELECT p_partkey AS id, CASE WHEN exact_id IS NOT NULL THEN 'use' WHEN b IS NOT NULL THEN 'alias' WHEN p_size / 50 >= 0.7 THEN 'create' ELSE 'skip' END AS action, coalesce(exact_id, b[2]) AS entity_id FROM part LEFT JOIN x ON t = p_brand AND l = lower(p_name) LEFT JOIN b ON alias = p_name WHERE p_size >= 10""")
+def learned_entities(s, d):
+    e, n = _entities(s, d)
+    return entities.learned(n, e).select("id", "action", "entity_id")
+
+
+_STATUS = "CASE doc_id % 3 WHEN 0 THEN 'embedding' WHEN 1 THEN 'completed' ELSE 'waiting' END"
+
+
+@query("unstuck_segments", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 11 > 5 THEN 'waiting' ELSE {_STATUS} END AS status FROM documents")
+def unstuck_segments(s, d):
+    now = F.lit("2024-01-10 12:00:00").cast("timestamp")
+    rows = t(s, d, "documents").select("doc_id", F.expr(_STATUS).alias("status"), (now - F.make_interval(mins=(F.col("doc_id") % 11).cast("int"))).alias("indexing_at"))
+    return mutations.unstuck(rows, now).select("doc_id", "status")
+
+
+@query("segments_to_embed", f"SELECT doc_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE vec_id IS NULL AND length(trim(text)) > 0 AND {_STATUS} <> 'completed'")
+def segments_to_embed(s, d):
+    rows = t(s, d, "documents").join(t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("embedding_id")), "doc_id", "left").withColumn("status", F.expr(_STATUS))
+    return rows.where(predicates.needs_embedding("embedding_id", "text", "status")).select("doc_id")
+
+
+@query("limited_arrays", "SELECT doc_id, array_to_string(w[:10], ' ') AS words, len(w)::INT AS words_total, len(w) > 10 AS words_limited FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
+def limited_arrays(s, d):
+    out = predicates.limited_arrays(t(s, d, "documents").select("doc_id", F.split("text", " ").alias("words")))
+    return out.select("doc_id", F.array_join("words", " ").alias("words"), "words_total", "words_limited")
+
+
+@query("records_as_posts", "SELECT sha256('doc' || doc_id || '|' || lang) AS hash, 'corpus' AS provider, source, lang AS title, doc_id::VARCHAR AS number, n_chars::VARCHAR AS size FROM documents")
+def records_as_posts(s, d):
+    docs = t(s, d, "documents").select("doc_id", "lang", "n_chars", "source")
+    out = records.as_post(docs, title="lang", provider="corpus", source=F.col("source"), fields={"doc_id": "meta.number", "n_chars": "meta.size"}, hash_fields=["doc_id", "lang"], prefix="doc")
+    return out.select("hash", "provider", "source", "title", F.get_json_object("meta", "$.number").alias("number"), F.get_json_object("meta", "$.size").alias("size"))
