@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,15 +128,6 @@ def weights_of(request: tuple | None, dataset: tuple | None) -> tuple[float, flo
     return pick(0), pick(1)
 
 
-def simulated_relevance(query: str, content: Column) -> Column:
-    """A stand-in for a cross-encoder: exact phrase 1, prefix .95, else up to .85 by share of terms and nearness of length."""
-    terms = [t for t in query.lower().split() if t]
-    low = F.lower(content)
-    share = sum((F.contains(low, F.lit(t)).cast("double") for t in terms), F.lit(0.0)) / max(len(terms), 1)
-    near = 1 / (1 + F.abs(F.length(content) - len(query)) / 1000)
-    return F.when(low == query.lower(), 1.0).when(F.contains(low, F.lit(query.lower())), 0.95).otherwise(F.least(F.lit(0.85), 0.7 * share + 0.15 * near))
-
-
 def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
     """The first n rows of each group. The rank limit lets each task drop rows before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
@@ -203,16 +195,16 @@ def retrieved(segments: DataFrame, query: list[float], k: int = 5, *, segment_id
 
 
 def reranked(both: DataFrame, key: str, weights: tuple[float, float] = DEFAULT_WEIGHTS, *, scorer=None, limit: int | None = None) -> DataFrame:
-    """Scaled fusion weighed by a model's score; without a scorer, or if it can't be planned, plain fusion.
+    """Scaled fusion weighed by a model's score; without a scorer, or if its column can't be planned, plain fusion.
 
-    ``scorer`` is a function of the DataFrame that gives the score's column; a score that is null leaves the sum as it is.
+    ``scorer`` is a function of the DataFrame that gives the score's column, or None where there is no model; its own errors are raised. A score that is null leaves the sum as it is.
     """
-    try:
-        score = scorer(both) if scorer else None
-        if score is not None:
-            both.select(score)  # names and types are settled here
-    except Exception:
-        score = None
+    score = scorer(both) if scorer else None
+    if score is not None:
+        try:
+            both.select(score).schema  # names and types are settled here
+        except AnalysisException:
+            score = None
     if score is None:
         return fused(both, key, weights, limit=limit)
     return fused(both, key, weights, scaled=True, model=F.coalesce(score, F.lit(1.0)), limit=limit)
