@@ -38,8 +38,8 @@ from .shared import settle
 
 #: Sampled vectors to fit on, trees, and sampled vectors in a leaf.
 SAMPLE, TREES, LEAF = 65_536, 8, 64
-#: Sampled vectors in a cell, at most.
-CELL = 1_024
+#: Cells of a tree, about.
+CELLS = 16
 #: Sampled vectors that the budget is measured with, and the share of their neighbours that it must meet;
 #: the share of those met in a leaf that must be met in the part of it that is read.
 TRIALS, TARGET, INSIDE = 100, 0.95, 0.98
@@ -58,7 +58,8 @@ class Tree:
     cell: np.ndarray  # of each leaf
 
 
-def grow(x: np.ndarray, leaf: int, rng: np.random.Generator, cell: int = CELL) -> Tree:
+def grow(x: np.ndarray, leaf: int, rng: np.random.Generator, cell: int = 1_024) -> Tree:
+    """A tree over rows ``x`` down to ``leaf`` of them; leaves below a node of at most ``cell`` rows are one cell."""
     normals, cuts, children, sizes, cells = [], [], [], [], []
     n_cells = 0
 
@@ -277,7 +278,8 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     level = lambda x: np.hstack([x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None] * top, np.zeros((len(x), 1))])
     plain, x = x, lift(x)
     rng = np.random.default_rng(seed)
-    grown = [grow(x, leaf, rng) for _ in range(trees)]
+    cell = len(x) // CELLS + 2
+    grown = [grow(x, leaf, rng, cell) for _ in range(trees)]
     trial, truth, near = plain[:TRIALS], {}, None
     if total > len(x):
         # the sample is thinner than the table: true neighbours are found among all rows
@@ -288,7 +290,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     if budget is None:
         budget = measured_budget(grown, x, level(trial), k, nearest=near)
     forest = spark.sparkContext.broadcast(grown)  # bounded by the sample
-    chunks = max(1, -(-total * CELL // (max(len(x), 1) * CHUNK)))
+    chunks = max(1, -(-total * cell // (max(len(x), 1) * CHUNK)))
     enough = budget * len(x)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +386,8 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "
     met = index.groupBy(*cells).cogroup(asks.mapInArrow(asked, f"{where}, leaves array<int>, mark binary, v array<double>").groupBy(*cells))
     found = met.applyInPandas(rerank, "q binary, mark binary, score double")
     found = found.groupBy("q", "mark").agg(F.max("score").alias("score"))
-    # distinct vectors: the k+1 best of each query vector, then their ids in order
+    # distinct vectors: the k+1 best of each query vector with all that tie with the last, then their ids in order
+    found = found.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9))))).where(F.col("r") <= k + 1).drop("r")
     best = found.join(points.select("mark", "ids"), "mark")
     best = best.select("q", F.struct((-F.col("score")).alias("s"), F.get("ids", F.lit(0)).alias("i"), "mark", "ids").alias("c"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("c"))).where(F.col("r") <= k + 1)
