@@ -1,7 +1,8 @@
 """Graph operators over edge tables (src, dst): frontier joins, components, centralities.
 
 All-pairs measures (closeness, betweenness, mean path length) hold a row for each
-reachable pair, as their definitions need; they are for graphs of bounded size.
+reachable pair, as their definitions need; they are for graphs of bounded size. Where the graph is large,
+``sketched_closeness`` and ``sketched_path_length`` hold one sketch a node instead.
 """
 
 from __future__ import annotations
@@ -123,6 +124,40 @@ def mean_path_length(edges: DataFrame) -> DataFrame:
     return distances(edges).where("src < dst").agg(F.avg("distance").alias("mean_path_length"), F.count("*").alias("pairs"))
 
 
+def neighbourhoods(edges: DataFrame, lg: int = 12) -> DataFrame:
+    """node, distance, n: about how many nodes lie within that distance of it (itself too), round by round until no more are met.
+
+    Each node keeps a HyperLogLog sketch of 2^lg counters of what it reaches; a round unites it with its neighbours' sketches,
+    in partial sums before the shuffle, so a node of many edges is no hot spot. The error is about 1.04 / sqrt(2^lg) of n; small n are as good as exact.
+    """
+    both = _cut(undirected(edges))
+    now = _cut(both.groupBy(F.col("src").alias("node")).agg(F.hll_sketch_agg("src", F.lit(lg)).alias("sketch")))
+    found = []
+    for d in count(1):
+        near = both.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "sketch")
+        new = near.unionByName(now).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
+        before = now.select("node", F.hll_sketch_estimate("sketch").alias("before"))
+        step = _cut(new.join(before, "node").withColumn("n", F.hll_sketch_estimate("sketch")))
+        if step.where("n > before").isEmpty():
+            break
+        found.append(step.select("node", F.lit(d).alias("distance"), (F.col("n") - F.col("before")).alias("n")))
+        now = step.select("node", "sketch")
+    out = found[0] if found else edges.select(F.col("src").alias("node"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("n")).limit(0)
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.where("n > 0")
+
+
+def sketched_closeness(edges: DataFrame, lg: int = 12) -> DataFrame:
+    """``closeness`` from sketches: one row a node and round instead of one a pair."""
+    return neighbourhoods(edges, lg).groupBy("node").agg((F.sum("n") / F.sum(F.col("n") * F.col("distance"))).alias("closeness"))
+
+
+def sketched_path_length(edges: DataFrame, lg: int = 12) -> DataFrame:
+    """``mean_path_length`` from sketches."""
+    return neighbourhoods(edges, lg).agg((F.sum(F.col("n") * F.col("distance")) / F.sum("n")).alias("mean_path_length"), F.floor(F.sum("n") / 2).alias("pairs"))
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
     """node and the number of unordered pairs whose one shortest path passes through it; of equal paths, the smallest.
 
@@ -185,6 +220,25 @@ def created(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return nodes.unionByName(new, allowMissingColumns=True).select(*nodes.columns)
 
 
+def without(nodes: DataFrame, edges: DataFrame, *, dataset: object = None, segment: object = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges without the graph of a dataset or of a segment, and one row of nodes_deleted and edges_deleted.
+
+    A dataset's edges carry its id themselves; a segment's edges are those that touch one of its nodes.
+    """
+    if (dataset is None) == (segment is None):
+        raise ValueError("one of dataset and segment")
+    mine = F.coalesce(F.col("dataset_id") == F.lit(dataset) if segment is None else F.col("segment_id") == F.lit(segment), F.lit(False))
+    kept = nodes.where(~mine)
+    if segment is None:
+        left = edges.where(~mine)
+    else:
+        gone = nodes.where(mine).select("node").distinct()
+        left = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*edges.columns)
+    number = lambda df, name: df.agg(F.count("*").alias(name))
+    sizes = number(nodes, "n").join(number(kept, "kept")).join(number(edges, "e")).join(number(left, "left"))  # one row each
+    return kept, left, sizes.select((F.col("n") - F.col("kept")).alias("nodes_deleted"), (F.col("e") - F.col("left")).alias("edges_deleted"))
+
+
 def linked(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """``edges`` with those of ``new`` whose ends exist and that are not there yet by (src, dst, edge_type); of equal new ones, one."""
     both = new.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")

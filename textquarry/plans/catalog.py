@@ -951,3 +951,26 @@ def records_as_posts(s, d):
     docs = t(s, d, "documents").select("doc_id", "lang", "n_chars", "source")
     out = records.as_post(docs, title="lang", provider="corpus", source=F.col("source"), fields={"doc_id": "meta.number", "n_chars": "meta.size"}, hash_fields=["doc_id", "lang"], prefix="doc")
     return out.select("hash", "provider", "source", "title", F.get_json_object("meta", "$.number").alias("number"), F.get_json_object("meta", "$.size").alias("size"))
+
+
+# stars: each customer or supplier hangs on its nation alone
+_STARS = f"(SELECT src, dst, count(*) OVER (PARTITION BY dst) AS k FROM {_E})"
+
+
+@query("closeness_sketch", f"SELECT src AS node, round(k / (1 + 2 * (k - 1)), 4) AS closeness FROM {_STARS} UNION ALL SELECT DISTINCT dst, 1.0 FROM {_E}")
+def closeness_sketch(s, d):
+    return graph.sketched_closeness(_edges(s, d)).withColumn("closeness", F.round("closeness", 4))
+
+
+@query("path_length_sketch", f"SELECT round((sum(k) + sum(k * (k - 1))) / sum(k + k * (k - 1) / 2), 3) AS mean_path_length FROM (SELECT dst, count(*)::DOUBLE AS k FROM {_E} GROUP BY 1)")
+def path_length_sketch(s, d):
+    return graph.sketched_path_length(_edges(s, d)).select(F.round("mean_path_length", 3).alias("mean_path_length"))
+
+
+@query("graph_delete", "SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.source <> 'src0' AND b.source <> 'src0' UNION ALL SELECT doc_id, doc_id + 1 FROM documents WHERE source <> 'src0' AND doc_id + 1 NOT IN (SELECT doc_id FROM documents)")
+def graph_delete(s, d):
+    """The edges left when the graph of one source is gone; documents are nodes in a chain."""
+    docs = t(s, d, "documents")
+    nodes = docs.select(F.col("doc_id").alias("node"), F.lit(1).alias("dataset_id"), F.col("source").alias("segment_id"))
+    edges = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit(1).alias("dataset_id"))
+    return graph.without(nodes, edges, segment="src0")[1].select("src", "dst")
