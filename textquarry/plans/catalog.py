@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import records, splitters, text
 from ..operators import brands, dedup, entities, graph, joins, lineage, metrics, mutations, postings, predicates, retrieval, vectors
 from ..sources import buckets, files, tables
+from ..streaming import timers
 from .workflow import chain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -974,3 +975,13 @@ def graph_delete(s, d):
     nodes = docs.select(F.col("doc_id").alias("node"), F.lit(1).alias("dataset_id"), F.col("source").alias("segment_id"))
     edges = docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit(1).alias("dataset_id"))
     return graph.without(nodes, edges, segment="src0")[1].select("src", "dst")
+
+
+@query("timeouts", """WITH e AS (SELECT user_id::VARCHAR AS id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'embedding' ELSE 'active' END AS status, ts FROM events),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY id ORDER BY ts, status) AS next, ts + CASE status WHEN 'completed' THEN INTERVAL 24 HOUR WHEN 'embedding' THEN INTERVAL 5 MINUTE ELSE INTERVAL 1 HOUR END AS due FROM e)
+SELECT id, CASE status WHEN 'embedding' THEN 'waiting' ELSE 'removed' END AS action, status, count(*) AS n FROM n WHERE due < coalesce(next, TIMESTAMP '2024-02-01') GROUP BY 1, 2, 3""")
+def timeouts(s, d):
+    """The rule of the timer stream over a finished table."""
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "view", "embedding").otherwise("active")
+    e = t(s, d, "events").select(F.col("user_id").alias("id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return timers.timed_out_by(e, "2024-02-01").groupBy("id", "action", "status").agg(F.count("*").alias("n"))
