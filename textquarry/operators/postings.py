@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,25 +52,21 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of bucket, term and document -> a row for each block."""
-
-    def block(rows: pa.RecordBatch) -> pa.RecordBatch:
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), x)
-        df = sum(1 for p in rows.column("positions") if len(p))
-        return pa.RecordBatch.from_arrays([rows.column("bucket")[:1], rows.column("term")[:1], pa.array([df], pa.int64()), one(rows.column("doc")), one(rows.column("len")), one(rows.column("kw")), one(rows.column("positions"))], names=["bucket", "term", "df", "doc", "len", "kw", "positions"])
-
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if len(batch) else held
-        start, listed = 0, batch.column("term").to_pylist()
-        for k in range(1, len(listed)):
-            if listed[k] != listed[start] or k - start == BLOCK:
-                yield block(batch.slice(start, k - start))
-                start = k
-        held = batch.slice(start) if len(batch) else None
-    if held is not None and len(held):
-        yield block(held)
+    """Rows in order of bucket, term and document -> a row for each block; a term's rows in two batches are two blocks."""
+    for rows in batches:
+        if not len(rows):
+            continue
+        code = rows.column("term").dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        # a term of many documents is cut every BLOCK rows
+        pieces = -(-sizes // BLOCK)
+        starts = np.repeat(starts, pieces) + BLOCK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        ends = pa.array(np.append(starts, len(rows)).astype(np.int32))
+        held = (np.diff(rows.column("positions").offsets.to_numpy()) > 0).astype(np.int64)
+        at = pa.array(starts)
+        lists = [pa.ListArray.from_arrays(ends, rows.column(c)) for c in ("doc", "len", "kw", "positions")]
+        yield pa.RecordBatch.from_arrays([rows.column("bucket").take(at), rows.column("term").take(at), pa.array(np.add.reduceat(held, starts)), *lists], names=["bucket", "term", "df", "doc", "len", "kw", "positions"])
 
 
 @dataclass(frozen=True)
