@@ -68,7 +68,8 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, weights: t
     null; the largest of repeated ids counts).
     Null text: size 0, nothing to take. Null source: a source of its own, last in order.
     Null doc_id: one fixed key. Repeated rows: each counts and is taken on its own.
-    Ties in the key go by doc_id, then size. Empty input: no rows.
+    Ties in the key go by doc_id, then size. Texts of any length are counted whole. Other columns are ignored.
+    Empty input: no rows.
     With ``whole`` each row also has ``row``, a struct of all its columns in ``docs``.
     """
     also = ["row"] if whole else []

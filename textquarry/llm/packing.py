@@ -97,7 +97,8 @@ def pack_documents(docs: DataFrame, *, row: int = ROW, path: str | None = None,
     cu_seqlens: 0 and the running end of each segment. input_ids: ``row`` little-endian
     int32, padded with ``pad``; position_ids: int32, from 0 in each segment, 0 in padding.
     Null and empty texts have no tokens and no segment. doc_id may be null or repeated:
-    each row of ``docs`` is packed on its own. Empty input: no rows.
+    each row of ``docs`` is packed on its own, equal texts too. Texts of any length are read whole and
+    split over rows without loss. Other columns are ignored. Empty input: no rows.
     """
     import public_tokenizers
 

@@ -415,7 +415,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, common: int =
 
     round_trip says whether decoding gives the text back (U+2581 in a text counts as a
     space, as the format has it). Null text: null piece_ids, 0 pieces, round_trip true.
-    Empty text: no pieces. Columns of these names are replaced. Empty input: no rows.
+    Empty text: no pieces. Texts of any length are encoded whole. Each row is its own, so ids may be null or repeated.
+    Columns of these names are replaced, the others stay. Empty input: no rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("piece_ids", "n_pieces", "round_trip")
@@ -443,7 +444,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, common: int =
 
 
 def decode_documents(docs: DataFrame, path: str | None = None, *, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the text of ``ids`` in column ``out``; null ids give null."""
+    """``docs`` with the text of ``ids`` in column ``out``; null ids give null, no ids an empty text.
+
+    Lists of any length are decoded whole; each row is its own. A column of the name ``out`` is replaced, the others
+    stay. Empty input: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load(path or default_path()))
     docs = docs.drop(out)
 

@@ -111,6 +111,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, *, rules: tuple[Rule, ...]
     ``outcomes`` has page_id and bad (0, 1 or null); a page with several counts as bad if one of them is.
     Null or malformed url: empty host and path, judged by the reputation of the empty host.
     Null page_id: no outcome. Repeated rows: each is judged, and each counts for its host.
+    Urls of any length are read whole; of rules of equal length the first by its text counts. Other columns are ignored.
     Empty pages: no rows. Without outcomes every rate is the prior.
     """
     host, path = host_and_path(F.col("url"))
