@@ -624,3 +624,11 @@ def test_viterbi_is_the_best_path():
         x = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
         ids = pieces.viterbi(v, x)
         assert "".join(by_id[i] for i in ids) == x and abs(sum(score[by_id[i]] for i in ids) - best(x)) < 1e-9
+
+
+def test_many_runs_of_neighbours(spark, tmp_path):
+    """Nullable ids of a file, more than 128 runs: the optimizer once put the expression of a run where its place was missing."""
+    spark.range(1200).select((F.col("id") * 3).alias("doc_id"), F.col("id").cast("string").alias("text")).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    got = {r["doc_id"]: (int(r["next_text"]), r["fingerprint"], r["next_fingerprint"]) for r in fingerprint.with_next(df, run_rows=4).collect()}
+    assert len(got) == 1200 and all(got[3 * k][0] == (k + 1) % 1200 and got[3 * k][2] == got[3 * ((k + 1) % 1200)][1] for k in range(1200))

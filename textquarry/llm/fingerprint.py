@@ -91,18 +91,19 @@ def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
         cuts = rows.agg(F.percentile_approx("place", [i / runs for i in range(1, runs)], 10_000).alias("cuts")).first()["cuts"]
         bounds = sorted({int(x) for x in cuts})
     run = lambda df: df.withColumn("run", _run_of(F.col("place"), bounds))
-    in_run = Window.partitionBy("run").orderBy("place", "text")
     # the fingerprint is found once, before the texts move
-    placed = run(rows).withColumn("fingerprint", digest(canonical("text")))
-    placed = placed.withColumn("next_text", F.lead("text").over(in_run)).withColumn("next_fingerprint", F.lead("fingerprint").over(in_run))
-    # one row a run: its first place, then the first text there, for the run before it
+    placed = run(rows).withColumn("fingerprint", digest(canonical("text"))).withColumn("after", F.lit(0))
+    # one row a run: its first place, then the first text there, which closes the run before it
     firsts = run(rows.select("place")).groupBy("run").agg(F.min("place").alias("place"))
     order = [r["run"] for r in firsts.select("run").orderBy("run").collect()]
     pairs = docs.sparkSession.createDataFrame(list(zip(order[1:] + order[:1], order, strict=True)), "run int, before int")  # at most MOST_RUNS rows of two numbers
-    heads = rows.select("place", "text").join(F.broadcast(firsts), "place").groupBy("run").agg(F.min("text").alias("head"))
-    heads = heads.join(F.broadcast(pairs), "run").select(F.col("before").alias("run"), "head", digest(canonical("head")).alias("head_fingerprint"))
-    out = placed.join(heads, "run", "left")
-    return out.select("doc_id", "text", "fingerprint", F.coalesce("next_text", "head").alias("next_text"), F.coalesce("next_fingerprint", "head_fingerprint").alias("next_fingerprint"))
+    heads = rows.select("place", "text").join(F.broadcast(firsts), "place").groupBy("run").agg(F.min("text").alias("text"))
+    none = F.lit(None).cast(docs.schema["doc_id"].dataType)
+    heads = heads.join(F.broadcast(pairs), "run").select(none.alias("doc_id"), "text", F.lit(None).cast("long").alias("place"), F.col("before").alias("run"), digest(canonical("text")).alias("fingerprint"), F.lit(1).alias("after"))
+    # heads come by a union, not by a join on run: from such a join the optimizer infers the expression of run for the other side, which has no place
+    in_run = Window.partitionBy("run").orderBy("after", "place", "text")
+    closed = placed.unionByName(heads).withColumn("next_text", F.lead("text").over(in_run)).withColumn("next_fingerprint", F.lead("fingerprint").over(in_run))
+    return closed.where("after = 0").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
 
 def fingerprint_query(docs: DataFrame) -> DataFrame:
