@@ -118,3 +118,23 @@ def test_short_labels_and_copies(spark):
     # ids divisible by 3 have no type and resemble nothing
     typed = {r["id"]: r["leader"] for r in entities.duplicate_groups(nodes, 0.75).collect()}
     assert typed == {k: k for k in range(10)} | {7: 8}
+
+
+def test_labels_are_compared_once_however_many_nodes_have_them(spark):
+    """40 labels on 4000 nodes: links between labels stay few, and pairs, aliases and actions are those of the nodes."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(40)]
+    nodes = spark.range(4000).select("id", F.element_at(F.lit(names), (F.col("id") % 40 + 1).cast("int")).alias("label"), (F.col("id") % 2).cast("string").alias("type"))
+    links = entities.label_links(nodes, 0.6)
+    assert links.count() < 40 * 40
+    found = {(r["type"], r["a"], r["b"]): r["similarity"] for r in links.collect()}
+    of = {}
+    for k in range(40):
+        of.setdefault((str(k % 2), names[k]), []).append(k)
+    few = nodes.where("id < 40")
+    want = {(i, j) for t, a in of for u, b in of if t == u and (a == b or (t, min(a, b), max(a, b)) in found) for i in of[t, a] for j in of[u, b] if i < j}
+    assert {(r["i"], r["j"]) for r in entities.label_pairs(few, 0.6).collect()} == want and want
+    ent = nodes.where("id < 2000").select(F.col("id").alias("entity_id"), F.col("label").alias("name"), "type")
+    known = spark.createDataFrame([], "entity_id long, alias string")
+    got = entities.alias_candidates(ent, nodes.where("id >= 2000"), known, 0.6)
+    assert {(r["entity_id"], r["alias"], r["similarity"]) for r in got.collect()} == {(e, x, s) for (t, a, b), s in found.items() for y, x in ((a, b), (b, a)) for k in of[t, y] for e in range(k, 2000, 40)}

@@ -10,32 +10,48 @@ from .dedup import leaders
 from .lineage import cut
 
 
-def label_pairs(nodes: DataFrame, threshold: float = 0.8, *, key: str = "id", label: str = "label", kind: str | None = "type") -> DataFrame:
-    """Pairs i < j with Levenshtein similarity of at least ``threshold``, within a type if ``kind`` is given. Exact.
+def label_links(nodes: DataFrame, threshold: float = 0.8, *, label: str = "label", kind: str | None = "type") -> DataFrame:
+    """type, a, b, similarity: pairs a < b of different labels with Levenshtein similarity of at least ``threshold``, within a type if ``kind`` is given. Exact.
+
+    Each label of a type takes part once, however many nodes have it; nodes join by (type, label).
 
     A label of length n and a longer one within the bound are at most d = floor((1 - t) floor(n / t)) edits
     apart, so of d + 1 pieces of the shorter one at least one stands in the longer: piece p so near its own place
     that the p pieces before it, or the d - p after it, have not taken more than an edit each. For each length that a shorter label
     can have, only the longer label's substrings at such places join, with length and number of the piece in the key; then the distance is computed.
     """
-    rows = nodes.select(F.col(key).alias("k"), F.col(label).alias("s"), F.length(label).alias("m"), (F.col(kind) if kind else F.lit("")).alias("t")).where("s IS NOT NULL")
+    rows = nodes.select((F.col(kind) if kind else F.lit("")).alias("t"), F.col(label).alias("s"), F.length(label).alias("m")).where("s IS NOT NULL AND t IS NOT NULL").distinct()
     most = lambda n: F.floor((1 - threshold) * F.floor(n / threshold + 1e-9) + 1e-9).cast("int")
     bounds = lambda df: df.withColumn("a", F.floor(F.col("n") * F.col("p") / (F.col("d") + 1)).cast("int")).withColumn("b", F.floor(F.col("n") * (F.col("p") + 1) / (F.col("d") + 1)).cast("int"))
     short = rows.withColumn("n", F.col("m")).withColumn("d", most(F.col("n"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d"))))
-    short = bounds(short).select("k", "t", "n", "p", F.substring("s", F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
+    short = bounds(short).select("t", "s", "n", "p", F.substring("s", F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
     long = rows.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * threshold - 1e-9).cast("int"), F.col("m")))).withColumn("d", most(F.col("n")))
     long = bounds(long.where(F.col("m") - F.col("n") <= F.col("d")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("d")))))
     more = F.col("m") - F.col("n")
     first = F.greatest(F.lit(0), F.col("a") - F.col("p"), F.col("a") + more - (F.col("d") - F.col("p")))
     last = F.least(F.col("m") - (F.col("b") - F.col("a")), F.col("a") + F.col("p"), F.col("a") + more + (F.col("d") - F.col("p")))
     long = long.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
-    long = long.select("k", "t", "n", "p", F.substring("s", F.col("at") + 1, F.col("b") - F.col("a")).alias("piece"))
+    long = long.select("t", "s", "n", "p", F.substring("s", F.col("at") + 1, F.col("b") - F.col("a")).alias("piece"))
     x, y = short.alias("x"), long.alias("y")
-    near = (F.col("x.t") == F.col("y.t")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.k") != F.col("y.k"))
-    cand = x.join(y, near).select(F.least("x.k", "y.k").alias("i"), F.greatest("x.k", "y.k").alias("j")).distinct()
-    s = lambda end: rows.select(F.col("k").alias(end), F.col("s").alias(f"{end}_label"))
-    out = cand.join(s("i"), "i").join(s("j"), "j").withColumn("similarity", levenshtein_similarity(F.col("i_label"), F.col("j_label")))
-    return out.where(F.col("similarity") >= threshold)
+    near = (F.col("x.t") == F.col("y.t")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.s") != F.col("y.s"))
+    cand = x.join(y, near).select(F.col("x.t").alias("type"), F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
+    return cand.withColumn("similarity", levenshtein_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
+
+
+def label_pairs(nodes: DataFrame, threshold: float = 0.8, *, key: str = "id", label: str = "label", kind: str | None = "type") -> DataFrame:
+    """Pairs i < j with Levenshtein similarity of at least ``threshold``, within a type if ``kind`` is given. Exact.
+
+    ``label_links`` spelt out for their nodes, and the pairs of nodes of one label: as many rows as there are pairs. Where
+    labels will do, take ``label_links``.
+    """
+    rows = nodes.select((F.col(kind) if kind else F.lit("")).alias("type"), F.col(label).alias("s"), F.col(key).alias("k")).where("s IS NOT NULL AND type IS NOT NULL")
+    # nodes compress well in files, so their size is no measure for a broadcast
+    of = lambda s, k: rows.select("type", F.col("s").alias(s), F.col("k").alias(k)).hint("merge")
+    one = label_links(nodes, threshold, label=label, kind=kind).join(of("a", "ka"), ["type", "a"]).join(of("b", "kb"), ["type", "b"]).where("ka <> kb")
+    swap = F.col("ka") > F.col("kb")
+    one = one.select(F.least("ka", "kb").alias("i"), F.greatest("ka", "kb").alias("j"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("i_label"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("j_label"), "similarity")
+    same = of("a", "i").join(of("a", "j"), ["type", "a"]).where("i < j")
+    return one.unionByName(same.select("i", "j", F.col("a").alias("i_label"), F.col("a").alias("j_label"), F.lit(1.0).alias("similarity")))
 
 
 def duplicate_groups(nodes: DataFrame, threshold: float = 0.8, *, key: str = "id", label: str = "label", kind: str | None = "type") -> DataFrame:
@@ -113,9 +129,12 @@ def dictionary_matches(docs: DataFrame, entities: DataFrame, *, threshold: float
 
 def alias_candidates(entities: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(entity_id, alias, similarity): labels of the same type that resemble a name, are not it and are not known."""
-    both = entities.select(F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("id"), F.col("name").alias("label"), "type").union(nodes.select(F.concat(F.lit("n"), F.col("id").cast("string")), "label", "type"))
-    pairs = label_pairs(both, threshold).where(F.col("i").startswith("e") & F.col("j").startswith("n") & (F.col("i_label") != F.col("j_label")))
-    found = pairs.select(F.expr("substring(i, 2)").cast(entities.schema["entity_id"].dataType).alias("entity_id"), F.col("j_label").alias("alias"), "similarity")
+    names, labels = entities.select("type", "name").distinct(), nodes.select("type", F.col("label").alias("alias")).distinct()
+    links = cut(label_links(names.withColumnRenamed("name", "label").unionByName(labels.withColumnRenamed("alias", "label")), threshold))
+    links = links.select("type", F.col("a").alias("name"), F.col("b").alias("alias"), "similarity").unionByName(links.select("type", F.col("b").alias("name"), F.col("a").alias("alias"), "similarity"))
+    # labels that both sides have met before the entities of a name are spelt out
+    links = links.join(names, ["type", "name"], "left_semi").join(labels, ["type", "alias"], "left_semi")
+    found = links.join(entities.select("type", "name", "entity_id"), ["type", "name"])
     return found.groupBy("entity_id", "alias").agg(F.max("similarity").alias("similarity")).join(known, ["entity_id", "alias"], "left_anti")
 
 
