@@ -45,9 +45,10 @@ def label_pairs(nodes: DataFrame, threshold: float = 0.8, *, key: str = "id", la
     labels will do, take ``label_links``.
     """
     rows = nodes.select((F.col(kind) if kind else F.lit("")).alias("type"), F.col(label).alias("s"), F.col(key).alias("k")).where("s IS NOT NULL AND type IS NOT NULL")
-    # nodes compress well in files, so their size is no measure for a broadcast
-    of = lambda s, k: rows.select("type", F.col("s").alias(s), F.col("k").alias(k)).hint("merge")
-    one = label_links(nodes, threshold, label=label, kind=kind).join(of("a", "ka"), ["type", "a"]).join(of("b", "kb"), ["type", "b"]).where("ka <> kb")
+    # the pairs are far more than the nodes that make them: a given number of tasks is neither merged into few nor replaced by a broadcast of all nodes
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda s, k: rows.select("type", F.col("s").alias(s), F.col("k").alias(k)).repartition(tasks, "type", s).hint("merge")
+    one = label_links(nodes, threshold, label=label, kind=kind).join(of("a", "ka"), ["type", "a"]).repartition(tasks, "type", "b").join(of("b", "kb"), ["type", "b"]).where("ka <> kb")
     swap = F.col("ka") > F.col("kb")
     one = one.select(F.least("ka", "kb").alias("i"), F.greatest("ka", "kb").alias("j"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("i_label"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("j_label"), "similarity")
     same = of("a", "i").join(of("a", "j"), ["type", "a"]).where("i < j")
