@@ -50,3 +50,21 @@ def test_graph_of_a_segment_or_dataset_goes(spark):
     assert tuple(graph.without(nodes, edges, segment="z")[2].first()) == (0, 0)
     with pytest.raises(ValueError):
         graph.without(nodes, edges)
+
+
+def test_leaves_hold_no_sketch(spark, monkeypatch):
+    """A star of 3000, a pair and a short chain: sketches are kept for the nodes inside alone, with the distances of all pairs."""
+    sketches, cut = [], graph._cut
+
+    def counted(df):
+        out = cut(df)
+        if "sketch" in out.columns:
+            sketches.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_cut", counted)
+    e = spark.range(1, 3001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).union(spark.createDataFrame([(9001, 9000), (9101, 9100), (9101, 9102), (9102, 9103)], "src long, dst long"))
+    got = {(r["node"], r["distance"]): r["n"] for r in graph.neighbourhoods(e).collect()}
+    assert sketches and max(sketches) <= 4
+    assert {k: v for k, v in got.items() if k[0] >= 9000} == {(9000, 1): 1, (9001, 1): 1, (9100, 1): 1, (9100, 2): 1, (9100, 3): 1, (9101, 1): 2, (9101, 2): 1, (9102, 1): 2, (9102, 2): 1, (9103, 1): 1, (9103, 2): 1, (9103, 3): 1}
+    assert got[0, 1] == pytest.approx(3000, rel=0.05) and all(got[k, 1] == 1 and got[k, 2] == pytest.approx(2999, rel=0.05) for k in range(1, 3001))

@@ -129,22 +129,32 @@ def neighbourhoods(edges: DataFrame, lg: int = 12) -> DataFrame:
 
     Each node keeps a HyperLogLog sketch of 2^lg counters of what it reaches; a round unites it with its neighbours' sketches,
     in partial sums before the shuffle, so a node of many edges is no hot spot. The error is about 1.04 / sqrt(2^lg) of n; small n are as good as exact.
+    A node with one edge keeps none: beyond distance 1 it reaches what its neighbour reaches one step earlier. Sketches
+    compress well in files, so their size there is no measure for a broadcast: they meet by merge joins.
     """
     both = _cut(undirected(edges))
-    now = _cut(both.groupBy(F.col("src").alias("node")).agg(F.hll_sketch_agg("src", F.lit(lg)).alias("sketch")))
-    found = []
-    for d in count(1):
-        near = both.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "sketch")
-        new = near.unionByName(now).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
-        before = now.select("node", F.hll_sketch_estimate("sketch").alias("before"))
+    ends = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.min("dst").alias("hub"))
+    degrees = ends.select(F.col("node").alias("hub"), F.col("degree").alias("more")).hint("merge")
+    # of two nodes that have only each other one is the leaf
+    leaves = _cut(ends.where("degree = 1").join(degrees, "hub").where("more > 1 OR node > hub").select("node", "hub"))
+    inner = both.join(leaves.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti")
+    core = _cut(inner.join(leaves.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti"))
+    reached = inner.select(F.col("src").alias("node"), "dst").unionByName(inner.select(F.col("src").alias("node"), F.col("src").alias("dst")).distinct())
+    now = _cut(reached.groupBy("node").agg(F.hll_sketch_agg("dst", F.lit(lg)).alias("sketch")).withColumn("n", F.hll_sketch_estimate("sketch")))
+    found = now.select("node", F.lit(1).alias("distance"), (F.col("n") - 1).alias("n"))
+    for d in count(2):
+        near = core.join(now.select(F.col("node").alias("dst"), "sketch").hint("merge"), "dst").select(F.col("src").alias("node"), "sketch")
+        new = near.unionByName(now.select("node", "sketch")).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
+        before = now.select("node", F.col("n").alias("before")).hint("merge")
         step = _cut(new.join(before, "node").withColumn("n", F.hll_sketch_estimate("sketch")))
         if step.where("n > before").isEmpty():
             break
-        found.append(step.select("node", F.lit(d).alias("distance"), (F.col("n") - F.col("before")).alias("n")))
-        now = step.select("node", "sketch")
-    out = found[0] if found else edges.select(F.col("src").alias("node"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("n")).limit(0)
-    for more in found[1:]:
-        out = out.unionByName(more)
+        found = found.unionByName(step.select("node", F.lit(d).alias("distance"), (F.col("n") - F.col("before")).alias("n")))
+        now = step.select("node", "sketch", "n")
+    later = leaves.join(found.withColumnRenamed("node", "hub"), "hub")
+    # of what the neighbour meets at once the leaf is one itself
+    later = later.select("node", (F.col("distance") + 1).alias("distance"), (F.col("n") - F.when(F.col("distance") == 1, 1).otherwise(0)).alias("n"))
+    out = found.unionByName(leaves.select("node", F.lit(1).alias("distance"), F.lit(1).cast("long").alias("n"))).unionByName(later)
     return out.where("n > 0")
 
 
