@@ -1,5 +1,6 @@
 """Operators on small tables with known answers."""
 
+import random
 import math
 
 import pytest
@@ -477,3 +478,45 @@ def test_inserts_are_checked(spark):
     for bad, error in (({"user_id": 8}, PermissionError), ({"dataset_id": 2}, ValueError), ({"document_id": 6}, ValueError)):
         with pytest.raises(error):
             mutations.inserted(segments, new, sets, docs, **{"dataset_id": 1, "document_id": 5, "user_id": 9, **bad})
+
+
+def test_keywords_are_counted_where_texts_are_read(spark, tmp_path):
+    """No shuffle by document, whole ties and order; rows that share an id are counted together."""
+    from textquarry.functions import text as texts
+
+    rows = [(k, " ".join(random.Random(k).choices(["alpha", "beta", "gamma", "delta", "the", "x1", "of"], k=k % 40))) for k in range(700)] + [(1000, None), (1001, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = texts.keywords(docs, 2)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+    def want(by):
+        for k, t in by.items():
+            listed = [w for w in t.split() if w.isalpha() and w not in ("the", "of")]
+            for r, w in enumerate(sorted(set(listed), key=lambda w: (-listed.count(w), listed.index(w)))[:2]):
+                yield k, r + 1, w, listed.count(w)
+
+    assert {tuple(r) for r in got.collect()} == set(want({k: t or "" for k, t in rows}))
+    twice = docs.where("doc_id < 50").union(spark.createDataFrame([(7, "omega omega omega omega omega omega omega omega"), (None, "beta beta"), (None, "gamma beta")], "doc_id long, text string"))
+    both = {tuple(r) for r in texts.keywords(twice, 1).collect()}
+    assert (7, 1, "omega", 8) in both and (None, 1, "beta", 3) in both and len([r for r in both if r[0] == 7]) == 1
+
+
+def test_chunks_of_two_levels_leave_in_small_batches():
+    """A batch of 200 texts is not held with all its chunks."""
+    import pyarrow as pa
+
+    from textquarry.functions import splitters
+
+    class Docs:
+        schema = {"doc_id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = splitters.split_hierarchy(Docs(), 20, 5)
+    out = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": ["one two three four five six seven"] * 200})])))
+    assert len(out) > 1 and [k for b in out for k in dict.fromkeys(b.column(0).to_pylist())] == list(range(200))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch whose tokens a task counts at a time.
+HELD = 256
+
 # English stop words of the keyword extractor.
 STOP_WORDS = (
     "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those",
@@ -152,15 +156,42 @@ def keyword_tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: t.rlike("^[a-z]{3,19}$") & ~t.isin(*STOP_WORDS))
 
 
+def _ranked(n: int):
+    """For mapInArrow over (key, tokens): key, rank, token, freq of each row's n commonest tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), HELD):
+                batch = whole.slice(start, HELD)
+                sizes, coded = np.diff(batch.column(1).offsets.to_numpy()), batch.column(1).flatten().dictionary_encode()
+                kinds = max(1, len(coded.dictionary))
+                cells, first, freq = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(), return_index=True, return_counts=True)
+                order = np.lexsort((first, -freq, cells // kinds))
+                row, token, freq = cells[order] // kinds, cells[order] % kinds, freq[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                top = rank <= n
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[top])), pa.array(rank[top], pa.int32()), coded.dictionary.take(pa.array(token[top])), pa.array(freq[top], pa.int64())], names=["key", "rank", "token", "freq"])
+
+    return run
+
+
 def keywords(docs: DataFrame, n: int = 10, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The n commonest tokens of each document (ties: first seen): key, rank, token, freq.
 
-    Tokens are counted in their document before anything is shuffled by it.
+    Tokens are counted where the text is read. Only those of rows that share a key (looked for at once, among the keys alone) are
+    shuffled, and counted together.
     """
-    each = docs.select(key, F.posexplode(keyword_tokens(F.col(text))).alias("pos", "token"))
-    counts = each.groupBy(key, "token").agg(F.count("*").alias("freq"), F.min("pos").alias("first"))
-    w = Window.partitionBy(key).orderBy(F.desc("freq"), "first")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(key, "rank", "token", "freq")
+    tokens = docs.select(F.col(key).alias("key"), keyword_tokens(F.col(text)).alias("tokens"))
+    again = tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"))
+    local = lambda df: df.mapInArrow(_ranked(n), f"key {tokens.schema['key'].dataType.simpleString()}, rank int, token string, freq long")
+    if again.isEmpty():
+        return local(tokens).withColumnRenamed("key", key)
+    shared = F.col("key").eqNullSafe(F.col("again"))
+    each = tokens.join(again, shared, "left_semi").select("key", F.posexplode("tokens").alias("pos", "token"))
+    counts = each.groupBy("key", "token").agg(F.count("*").alias("freq"), F.min("pos").alias("first"))
+    w = Window.partitionBy("key").orderBy(F.desc("freq"), "first")
+    some = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("key", "rank", "token", "freq")
+    return local(tokens.join(again, shared, "left_anti")).unionByName(some).withColumnRenamed("key", key)
 
 
 def stem(word: str) -> str:
