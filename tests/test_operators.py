@@ -520,3 +520,16 @@ def test_chunks_of_two_levels_leave_in_small_batches():
     run = splitters.split_hierarchy(Docs(), 20, 5)
     out = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": ["one two three four five six seven"] * 200})])))
     assert len(out) > 1 and [k for b in out for k in dict.fromkeys(b.column(0).to_pylist())] == list(range(200))
+
+
+def test_names_are_matched_where_texts_are_read(spark, monkeypatch):
+    """No text or word is shuffled for a small dictionary; the join for large ones finds the same."""
+    rng = random.Random(5)
+    letters = ["abc", "abd", "xyz", "xyzz", "hello", "hallo", "world", "no"]
+    docs = spark.createDataFrame([(k, None if k == 3 else " ".join(rng.choices(letters, k=k % 25))) for k in range(150)], "doc_id long, text string")
+    ent = spark.createDataFrame([(1, "abc xyz"), (2, "hello world"), (3, "hallo"), (4, "abc abc abc xyz"), (5, "no")], "entity_id long, name string")
+    near = entities.dictionary_matches(docs, ent)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, near.collect()))
+    monkeypatch.setattr(entities, "NEAR", 0)
+    assert got and sorted(map(tuple, entities.dictionary_matches(docs, ent).collect())) == got

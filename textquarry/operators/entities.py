@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,9 @@ from ..functions.text import levenshtein_similarity
 from .dedup import leaders
 from .lineage import cut
 
+#: Pairs of a word and a place in a name that go to all tasks, and texts whose matches a task holds at a time.
+NEAR, HELD = 500_000, 64
+
 
 def label_links(nodes: DataFrame, threshold: float = 0.8, *, label: str = "label", kind: str | None = "type") -> DataFrame:
     """type, a, b, similarity: pairs a < b of different labels with Levenshtein similarity of at least ``threshold``, within a type if ``kind`` is given. Exact.
@@ -103,12 +111,51 @@ def merged(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, *, key: str =
     return kept, edges, m.withColumn("confidence", F.lit(1.0)).withColumn("action", F.lit("merge"))
 
 
+def _matched(near: pa.Table, threshold: float):
+    """For mapInArrow over (key, w): the runs of words that match names. ``near``: word, exact, entity_id, name, n, place."""
+    near = near.sort_by("word").combine_chunks()
+    coded = near.column("word").combine_chunks().dictionary_encode()
+    vocabulary, code = coded.dictionary, coded.indices.to_numpy()
+    first, many = np.searchsorted(code, np.arange(len(vocabulary))), np.bincount(code, minlength=len(vocabulary))
+    names = near.select(["entity_id", "name", "n"]).group_by(["entity_id", "name", "n"]).aggregate([])
+    number = {x: k for k, x in enumerate(zip(*(names.column(c).to_pylist() for c in ("entity_id", "name", "n")), strict=True))}
+    entity = np.array([number[x] for x in zip(*(near.column(c).to_pylist() for c in ("entity_id", "name", "n")), strict=True)], np.int64)
+    place, exact, long = near.column("place").to_numpy(), near.column("exact").to_numpy(), names.column("n").to_numpy()
+    ids, labels = names.column("entity_id").combine_chunks(), names.column("name").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, len(whole), HELD):
+                batch = whole.slice(begin, HELD)
+                offsets, words = batch.column("w").offsets.to_numpy().astype(np.int64), batch.column("w").flatten()
+                offsets = offsets - offsets[0]
+                known = pc.index_in(words, value_set=vocabulary)
+                at = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+                c = known.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+                # a row for each word and place of a name that it is near to
+                slot = np.repeat(first[c], many[c]) + np.arange(many[c].sum()) - np.repeat(np.cumsum(many[c]) - many[c], many[c])
+                start, name = np.repeat(at, many[c]) - place[slot], entity[slot]
+                row = np.repeat(np.searchsorted(offsets, at, "right") - 1, many[c])
+                inside = (start >= offsets[row]) & (start + long[name] <= offsets[row + 1])
+                runs, back, n = np.unique(start[inside] * len(long) + name[inside], return_inverse=True, return_counts=True)
+                start, name = runs // len(long), runs % len(long)
+                score = np.where(np.bincount(back, exact[slot][inside], len(runs)) == long[name], 1.0, n / long[name])
+                good = score >= threshold
+                start, name = start[good], name[good]
+                row = np.searchsorted(offsets, start, "right") - 1
+                texts = pa.array([" ".join(words.slice(x, k).to_pylist()) for x, k in zip(start.tolist(), long[name].tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids.take(pa.array(name)), labels.take(pa.array(name)), texts, pa.array(start - offsets[row] + 1, pa.int32()), pa.array(score[good])], names=["key", "entity_id", "name", "matched", "at", "confidence"])
+
+    return run
+
+
 def dictionary_matches(docs: DataFrame, entities: DataFrame, *, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, entity_id, matched text and confidence, best first: names (entity_id, name) in runs of as many words.
 
     Words of more than two characters count. Exact runs score 1, others the share of
     words at edit distance of at most 1. Distinct words, not runs, are compared with
-    the words of names.
+    the words of names. Up to NEAR pairs of a word and a place in a name go to all tasks, which match each text where it
+    is read; more are joined.
     """
     words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", " ")), r"\s+"), lambda w: F.length(w) > 2)
     e = entities.select("entity_id", "name", words(F.col("name")).alias("ew")).where(F.size("ew") > 0)
@@ -120,8 +167,14 @@ def dictionary_matches(docs: DataFrame, entities: DataFrame, *, threshold: float
     mine = at.select("word").distinct().select("word", F.explode(forms(F.col("word"))).alias("form"))
     theirs = slots.select("entity_word").distinct().select("entity_word", F.explode(forms(F.col("entity_word"))).alias("form"))
     near = mine.join(theirs, "form").where(F.levenshtein("word", "entity_word") <= 1).select("word", "entity_word").distinct()
-    hits = at.join(near, "word").join(slots, "entity_word").withColumn("start", F.col("pos") - F.col("place")).where("start >= 0")
-    found = hits.groupBy(key, "entity_id", "n", "start").agg(F.count("*").alias("near"), F.count_if(F.col("word") == F.col("entity_word")).alias("exact"))
+    near = cut(near.join(slots, "entity_word").withColumn("exact", (F.col("word") == F.col("entity_word")).cast("int")))
+    if near.limit(NEAR + 1).count() <= NEAR:
+        held = near.join(F.broadcast(e.select("entity_id", "name", F.size("ew").alias("n")).distinct()), ["entity_id", "n"]).select("word", "exact", "entity_id", "name", "n", "place").distinct().toArrow()  # NEAR rows, a few for an id of several names
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        found = d.select(F.col(key).alias("key"), "w").mapInArrow(_matched(held, threshold), f"key {kind(d, key)}, entity_id {kind(e, 'entity_id')}, name string, matched string, at int, confidence double")
+        return found.withColumnRenamed("key", key)
+    hits = at.join(near, "word").withColumn("start", F.col("pos") - F.col("place")).where("start >= 0")
+    found = hits.groupBy(key, "entity_id", "n", "start").agg(F.count("*").alias("near"), F.sum("exact").alias("exact"))
     score = F.when(F.col("exact") == F.col("n"), 1.0).otherwise(F.col("near") / F.col("n"))
     found = found.withColumn("confidence", score).where(F.col("confidence") >= threshold)
     out = found.join(e.select("entity_id", "name"), "entity_id").join(d, key).where(F.size("w") >= F.col("start") + F.col("n"))
