@@ -79,3 +79,11 @@ def test_same_as_the_scan_and_only_the_terms_buckets_are_read(spark, docs, tmp_p
 def test_empty_index(spark, docs, tmp_path):
     index = postings.Postings.build(docs.where("doc_id = 1000"), str(tmp_path / "i"))
     assert index.search(spark.createDataFrame([(1, "alpha")], "query_id int, query string")).count() == 0
+
+
+def test_documents_of_a_term_lie_together_before_the_shuffle():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"doc": [5, 6, 7], "low": ["one two one", "two", ""], "kw": [["two"], [], ["six"]], "len": [3.0, 1.0, 0.0]}, schema=pa.schema([("doc", pa.int64()), ("low", pa.string()), ("kw", pa.list_(pa.string())), ("len", pa.float64())]))
+    got = {r["term"]: (r["df"], r["doc"], r["kw"], r["positions"]) for b in postings._posted(iter([rows])) for r in b.to_pylist()}
+    assert got == {"one": (1, [5], [0], [[0, 2]]), "two": (2, [5, 6], [1, 0], [[1], [0]]), "six": (0, [7], [1], [[]])}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .retrieval import K1, B, tokens
 
-#: Documents of a block, and tasks that the documents of one bucket are dealt to.
+#: Documents of a block, and tasks that the blocks of one bucket are dealt to.
 BLOCK, SALTS = 1024, 8
 #: Documents whose terms a task holds at a time.
 DOCS = 64
@@ -28,7 +28,7 @@ _RUN = re.compile("[a-z0-9_]+")
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, low, kw, len) -> a row for each document and term: counts in the text and among the keywords, positions among the terms."""
+    """(doc, low, kw, len) -> the blocks of DOCS documents, by term: counts in the text and among the keywords, positions among the terms."""
     for whole in batches:
         for start in range(0, len(whole), DOCS):
             batch = whole.slice(start, DOCS)
@@ -48,25 +48,28 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ends.append(len(positions))
             at = pa.array(ids, pa.int64())
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), batch.column("doc").take(at), batch.column("len").take(at), pa.array(kws, pa.int32()), listed], names=["term", "doc", "len", "kw", "positions"])
-
-
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of bucket, term and document -> a row for each block; a term's rows in two batches are two blocks."""
-    for rows in batches:
-        if not len(rows):
-            continue
-        code = rows.column("term").dictionary_encode().indices.to_numpy()
-        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        sizes = np.diff(np.append(starts, len(rows)))
-        # a term of many documents is cut every BLOCK rows
-        pieces = -(-sizes // BLOCK)
-        starts = np.repeat(starts, pieces) + BLOCK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        ends = pa.array(np.append(starts, len(rows)).astype(np.int32))
-        held = (np.diff(rows.column("positions").offsets.to_numpy()) > 0).astype(np.int64)
-        at = pa.array(starts)
-        lists = [pa.ListArray.from_arrays(ends, rows.column(c)) for c in ("doc", "len", "kw", "positions")]
-        yield pa.RecordBatch.from_arrays([rows.column("bucket").take(at), rows.column("term").take(at), pa.array(np.add.reduceat(held, starts)), *lists], names=["bucket", "term", "df", "doc", "len", "kw", "positions"])
+            code = pa.array(term, pa.string()).dictionary_encode()
+            # a term's documents lie together before anything is shuffled
+            by_term = pa.array(np.argsort(code.indices.to_numpy(), kind="stable"))
+            rows = pa.RecordBatch.from_arrays([code, batch.column("doc").take(at), batch.column("len").take(at), pa.array(kws, pa.int32()), listed], names=["term", "doc", "len", "kw", "positions"])
+            yield from _blocked(rows.take(by_term))
+
+
+def _blocked(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with the documents of each (encoded) term together -> a row for each block."""
+    if not len(rows):
+        return
+    code = rows.column("term").indices.to_numpy()
+    starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    sizes = np.diff(np.append(starts, len(rows)))
+    # a term of many documents is cut every BLOCK rows
+    pieces = -(-sizes // BLOCK)
+    starts = np.repeat(starts, pieces) + BLOCK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    ends = pa.array(np.append(starts, len(rows)).astype(np.int32))
+    held = (np.diff(rows.column("positions").offsets.to_numpy()) > 0).astype(np.int64)
+    lists = [pa.ListArray.from_arrays(ends, rows.column(c)) for c in ("doc", "len", "kw", "positions")]
+    term = rows.column("term").dictionary.take(pa.array(code[starts]))
+    yield pa.RecordBatch.from_arrays([term, pa.array(np.add.reduceat(held, starts)), *lists], names=["term", "df", "doc", "len", "kw", "positions"])
 
 
 @dataclass(frozen=True)
@@ -87,10 +90,9 @@ class Postings:
         base = docs.select(F.col(id_col).alias("doc"), low.alias("low"), kw.alias("kw"), size.alias("len"))
         kind = base.schema["doc"].dataType.simpleString()
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        rows = base.mapInArrow(_posted, f"term string, doc {kind}, len double, kw int, positions array<int>").withColumn("bucket", bucket)
+        blocks = base.mapInArrow(_posted, f"term string, df long, doc array<{kind}>, len array<double>, kw array<int>, positions array<array<int>>").withColumn("bucket", bucket)
         # a term that most documents have is dealt to several tasks
-        salted = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "doc")
-        blocks = salted.select("bucket", "term", "doc", "len", "kw", "positions").mapInArrow(_blocked, f"bucket int, term string, df long, doc array<{kind}>, len array<double>, kw array<int>, positions array<array<int>>")
+        blocks = blocks.repartition("bucket", F.pmod(F.xxhash64(F.get("doc", F.lit(0))), F.lit(SALTS))).sortWithinPartitions("bucket", "term")
         path = path.rstrip("/")
         blocks.write.partitionBy("bucket").parquet(f"{path}/postings")
         base.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).coalesce(1).write.parquet(f"{path}/statistics")
