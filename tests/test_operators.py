@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import random
+import re
 import math
 
 import pytest
@@ -533,3 +534,17 @@ def test_names_are_matched_where_texts_are_read(spark, monkeypatch):
     got = sorted(map(tuple, near.collect()))
     monkeypatch.setattr(entities, "NEAR", 0)
     assert got and sorted(map(tuple, entities.dictionary_matches(docs, ent).collect())) == got
+
+
+def test_stems_are_made_where_texts_are_read(spark):
+    """Without shared keys nothing is shuffled; rows that share a key are counted together, as before."""
+    texts = ["running runs ran running cats", None, "", "dogs dog running jumps", "the of and", "connection connected connections"]
+    tokens = lambda s: [w for w in re.findall(r"[a-z]+", s or "") if len(w) > 2 and w not in text.STOP_WORDS]
+    top = lambda ws: sorted(dict.fromkeys(ws), key=lambda w: (-ws.count(w), ws.index(w)))[:10]
+    want = lambda ts: list(dict.fromkeys([*ts, *map(text.stem, ts)]))[:8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = text.stemmed_keywords(df)
+    assert {r["doc_id"]: r["keywords"] for r in out.collect()} == {k: want(top(tokens(s))) for k, s in enumerate(texts) if tokens(s)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    both = spark.createDataFrame([(1, "cats cats dogs"), (2, "running"), (1, "cats birds"), (None, "mice")], "doc_id int, text string")
+    assert {r["doc_id"]: r["keywords"] for r in text.stemmed_keywords(both).collect()} == {2: want(["running"]), None: want(["mice"]), 1: want(["cats", "birds", "dogs"])}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -175,23 +176,29 @@ def _ranked(n: int):
     return run
 
 
-def keywords(docs: DataFrame, n: int = 10, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The n commonest tokens of each document (ties: first seen): key, rank, token, freq.
-
-    Tokens are counted where the text is read. Only those of rows that share a key (looked for at once, among the keys alone) are
-    shuffled, and counted together.
-    """
+def _by_key(docs: DataFrame, n: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """Tokens (key, tokens) of the rows that have their key alone, and the n commonest (key, rank, token, freq) of the others' keys, if there are any."""
     tokens = docs.select(F.col(key).alias("key"), keyword_tokens(F.col(text)).alias("tokens"))
     again = tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"))
-    local = lambda df: df.mapInArrow(_ranked(n), f"key {tokens.schema['key'].dataType.simpleString()}, rank int, token string, freq long")
     if again.isEmpty():
-        return local(tokens).withColumnRenamed("key", key)
+        return tokens, None
     shared = F.col("key").eqNullSafe(F.col("again"))
     each = tokens.join(again, shared, "left_semi").select("key", F.posexplode("tokens").alias("pos", "token"))
     counts = each.groupBy("key", "token").agg(F.count("*").alias("freq"), F.min("pos").alias("first"))
     w = Window.partitionBy("key").orderBy(F.desc("freq"), "first")
     some = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("key", "rank", "token", "freq")
-    return local(tokens.join(again, shared, "left_anti")).unionByName(some).withColumnRenamed("key", key)
+    return tokens.join(again, shared, "left_anti"), some
+
+
+def keywords(docs: DataFrame, n: int = 10, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The n commonest tokens of each document (ties: first seen): key, rank, token, freq.
+
+    Tokens are counted where the text is read. Only those of rows that share a key (looked for at once, among the keys alone) are
+    shuffled, and counted together.
+    """
+    alone, some = _by_key(docs, n, key, text)
+    out = alone.mapInArrow(_ranked(n), f"key {alone.schema['key'].dataType.simpleString()}, rank int, token string, freq long")
+    return (out if some is None else out.unionByName(some)).withColumnRenamed("key", key)
 
 
 def stem(word: str) -> str:
@@ -248,15 +255,30 @@ def stem(word: str) -> str:
 
 
 def stemmed_keywords(docs: DataFrame, n: int = 8, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document its ten commonest tokens followed by their stems, the first n distinct."""
-    top = keywords(docs, 10, key=key, text=text).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("tokens"))
+    """Per document its ten commonest tokens followed by their stems, the first n distinct.
+
+    As in ``keywords``, all is done where the text is read, but for rows that share a key.
+    """
+    alone, some = _by_key(docs, 10, key, text)
+    distinct = lambda ts: list(dict.fromkeys([*ts, *map(stem, ts)]))[:n]
+    batch_of = lambda keys, rows: pa.RecordBatch.from_arrays([keys, pa.array([distinct(ts) for ts in rows], pa.list_(pa.string()))], names=["key", "keywords"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _ranked(10)(batches):
+            # the tokens of a row stand together, from rank 1
+            first, tokens = np.flatnonzero(b.column(1).to_numpy() == 1), b.column(2).to_pylist()
+            yield batch_of(b.column(0).take(pa.array(first)), [tokens[x:y] for x, y in pairwise([*first, len(tokens)])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [list(dict.fromkeys([*ts, *map(stem, ts)]))[:n] for ts in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=[key, "keywords"])
-
-    return top.mapInArrow(run, f"`{key}` {top.schema[key].dataType.simpleString()}, keywords array<string>")
+            yield batch_of(b.column(0), b.column(1).to_pylist())
+
+    schema = f"key {alone.schema['key'].dataType.simpleString()}, keywords array<string>"
+    out = alone.mapInArrow(local, schema)
+    if some is not None:
+        listed = some.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("tokens"))
+        out = out.unionByName(listed.mapInArrow(run, schema))
+    return out.withColumnRenamed("key", key)
 
 
 def chinese_keywords(docs: DataFrame, n: int = 10, *, key: str = "doc_id", text: str = "text") -> DataFrame:
